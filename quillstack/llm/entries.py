@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing
+from . import covertree, jaccard, mixing, packing, spans
 from .common import table
 
 
@@ -12,12 +12,24 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_by_document(table(spark, sf_dir, "documents"))
 
 
+def op3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "words_removed")
+
+
+def op5_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
 def queries() -> dict:
-    return {"op4_mixing": op4_mixing, "op9_jaccard": op9_jaccard}
+    return {"op3_spans": op3_spans, "op4_mixing": op4_mixing, "op5_covertree": op5_covertree, "op6_packing": op6_packing, "op9_jaccard": op9_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
