@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .graph import connected_components
-from .shingles import WordHashes, shingle_set
+from .shingles import shingle_sets
 
 SLICES = 256
 
@@ -34,10 +34,10 @@ def _sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     width = max(1, (1 << bits) // SLICES)
 
     def count(batches):
-        hashes, total = WordHashes(), np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            sets = [shingle_set(t.as_py(), k, hashes) for t in batch.column(0)]
-            total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if sets else 0
+            for s in shingle_sets(batch.column(0), k):
+                np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
         total = total.astype(np.uint32)
         yield pa.RecordBatch.from_pydict({"slice": pa.array(np.arange((1 << bits) // width, dtype=np.int32)), "counts": pa.array([part.tobytes() for part in total.reshape(-1, width)], pa.binary())})
 
@@ -73,11 +73,10 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bit
     shift = np.uint64(64 - sketch_bits)
 
     def describe(batches):
-        hashes, counts = WordHashes(), sketch.value
+        counts = sketch.value
         for batch in batches:
             n, f1, f2, prefixes = [], [], [], []
-            for t in batch.column(1):
-                s = shingle_set(t.as_py(), k, hashes)
+            for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 if not len(s):
                     f1.append(None), f2.append(None), prefixes.append(None)
@@ -94,22 +93,23 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bit
     classes = written(classes, "jaccard-classes")
 
     # Shingles in two prefixes or more, with the smallest class that has each as its leader.
-    tokens = classes.select("rep", "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("l")).where("c > 1").select("token", F.col("l.rep").alias("leader"), F.col("l.n").alias("leader_n"))
-    shared = written(shared, "jaccard-shared")
+    tokens = classes.select("rep", F.explode("prefix").alias("token"))
+    shared = written(tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("rep").alias("leader")).where("c > 1").select("token", "leader"), "jaccard-shared")
     met = written(tokens.join(shared, "token"), "jaccard-met")
-
-    sets = written(_sets(docs, met.select(F.col("rep").alias("doc_id")).distinct(), k), "jaccard-sets")
-
-    # Groups: classes linked to the leader of one of their shingles.
-    fits = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
-    to_leader = written(met.where((F.col("rep") != F.col("leader")) & fits).select("rep", "leader").distinct(), "jaccard-to-leader")
+    lengths = classes.select("rep", "n")
+
+    # Groups: classes linked to the leader of some of their shingles.
+    to_leader = met.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("c"))
+    to_leader = to_leader.join(lengths, "rep").join(lengths.select(F.col("rep").alias("leader"), F.col("n").alias("m")), "leader")
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    to_leader = written(to_leader.where(fits & (F.col("c") >= _least_common(F.col("n"), F.col("m"), percent))).select("rep", "leader"), "jaccard-to-leader")
+    sets = written(_sets(docs, to_leader.select(F.col("rep").alias("doc_id")).unionByName(to_leader.select(F.col("leader").alias("doc_id"))).distinct(), k), "jaccard-leader-sets")
     a, b = sets.select(F.col("doc_id").alias("rep"), F.col("tokens").alias("x")), sets.select(F.col("doc_id").alias("leader"), F.col("tokens").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     linked = to_leader.join(a, "rep").join(b, "leader").where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("rep", "leader")
     grouped = written(connected_components(linked, "rep", "leader", "jaccard-leaders"), "jaccard-groups")
 
-    crossing = _crossing_links(met, grouped, sets, percent, block)
+    crossing = _crossing_links(met.join(lengths, "rep"), grouped, docs, k, percent, block)
     merged = written(connected_components(crossing, "a", "b", "jaccard-crossing"), "jaccard-merged")
 
     group_of = classes.select("f1", "f2", "rep").join(grouped.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -119,22 +119,29 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bit
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _least_common(n, m, percent: int):
+    """How many shingles the prefixes of sets of n and m must have in common if the sets
+    are to be similar: what lies behind the prefix that ends first can't make up the rest."""
+    overlap = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent) - 1e-6)
+    behind = F.ceil(F.lit(percent) * F.greatest(n, m) / F.lit(100) - 1e-6) - 1
+    return F.greatest(F.lit(1).cast("long"), overlap - behind)
+
+
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """doc_id, tokens: the shingle sets of the documents in ids."""
 
     def whole(batches):
-        hashes = WordHashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), k, hashes).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], ["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(batch.column(1), k)], pa.list_(pa.int64()))], ["doc_id", "tokens"])
 
     return docs.join(ids, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, tokens array<long>").where(F.size("tokens") > 0)
 
 
-def _crossing_links(met: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+def _crossing_links(met: DataFrame, grouped: DataFrame, docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """Links (a, b) between groups: those of a class against another group's blocks."""
     sizes = written(grouped.groupBy("component").agg(F.count("*").alias("members")), "jaccard-sizes")
     known = written(grouped.join(sizes, "component").select(F.col("node").alias("rep"), "component", "members"), "jaccard-known")
-    rows = met.select("token", "rep", "n").join(known, "rep", "left")
+    rows = met.join(known, "rep", "left")
     rows = rows.withColumn("component", F.coalesce("component", "rep")).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
     rows = written(rows, "jaccard-rows")
     several = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
@@ -145,9 +152,13 @@ def _crossing_links(met: DataFrame, grouped: DataFrame, sets: DataFrame, percent
     matrix = written(rows.groupBy("token", "component", "members", "block").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi")), "jaccard-matrix")
     asks = rows.select("token", "rep", "n", F.col("component").alias("c"), F.col("members").alias("m"))
     ahead = (F.col("m") < F.col("members")) | ((F.col("m") == F.col("members")) & (F.col("c") > F.col("component")))
-    fits = (F.col("n_hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("n_lo") * percent)
-    queries = asks.join(matrix, "token").where(ahead & fits).select("rep", F.col("c").alias("own"), "component", "block").distinct()
-    queries = written(queries, "jaccard-queries")
+    # A block can hold a match only if it shares enough of the prefix, for the most lenient of
+    # its lengths: the shortest or the longest, less one for rounding between them.
+    shortest = F.greatest("n_lo", F.ceil(F.col("n") * percent / 100 - 1e-6))
+    longest = F.least("n_hi", F.floor(F.col("n") * 100 / percent + 1e-6))
+    queries = asks.join(matrix, "token").where(ahead).groupBy("rep", "n", F.col("c").alias("own"), "component", "block").agg(F.count("*").alias("common"), F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"))
+    queries = queries.where((shortest <= longest) & (F.col("common") >= F.least(_least_common(F.col("n"), shortest, percent), _least_common(F.col("n"), longest, percent)) - 1))
+    queries = written(queries.select("rep", "own", "component", "block"), "jaccard-queries")
 
     # Blocks with very many queries are opened in several places.
     chunks = queries.groupBy("component", "block").agg(F.ceil(F.count("*") / 1024).alias("chunks"))
@@ -155,7 +166,9 @@ def _crossing_links(met: DataFrame, grouped: DataFrame, sets: DataFrame, percent
     asked = queries.join(chunks, ["component", "block"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
     members = rows.select("rep", "component", "block").distinct().join(chunks, ["component", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     both = asked.select("rep", "own", "component", "block", "chunk").unionByName(members.select("rep", F.lit(None).cast("long").alias("own"), "component", "block", "chunk"))
-    both = written(both, "jaccard-opened").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    both = written(both, "jaccard-opened")
+    sets = written(_sets(docs, both.select(F.col("rep").alias("doc_id")).distinct(), k), "jaccard-opened-sets")
+    both = both.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
 
     def opened(pdf):
         import pandas as pd

@@ -1,42 +1,107 @@
-"""Word shingles as 64-bit hashes, in batches, for code that runs in Arrow workers."""
+"""Words and word shingles as 64-bit hashes, vectorised over the bytes of an Arrow column.
 
-from __future__ import annotations
+A word's hash is a polynomial of its bytes modulo 2**64, got from prefix sums over the
+whole buffer, then mixed. No Python object is made for a text or a word.
+"""
 
-import numpy as np
-import xxhash
+from __future__ import annotations
 
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29))
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 
-class WordHashes(dict):
-    """Hash of each word seen; emptied when it has grown large, since any word's hash can be had again."""
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BASE = 0x5851F42D4C957F2D
+#: Bytes of text that are worked on at a time (more for a single longer text).
+CHUNK = 1 << 20
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+_powers: dict[str, np.ndarray] = {}
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cases A-Z only and splits at ASCII white space only, as bytes' own methods do."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** 0 to n - 1, modulo 2**64."""
+    key = f"{base}"
+    if key not in _powers or len(_powers[key]) < n:
+        p = np.full(max(n, CHUNK + 1), np.uint64(base))
+        p[0] = 1
+        np.multiply.accumulate(p, out=p)
+        if n > CHUNK + 1:
+            return p[:n]  # too large to keep
+        _powers[key] = p
+    return _powers[key][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _MIX[2])) * _MIX[0]
+    h = (h ^ (h >> np.uint64(29))) * _A
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; of all words where they are fewer; none without words."""
-    words = words_of(text)
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    width = min(k, len(words))
-    n = len(words) - width + 1
-    s = np.full(n, np.uint64(width), np.uint64)
-    for i in range(width):
-        s = mixed(s * _MIX[1] + h[i : i + n])
-    return np.unique(s)
+def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (one more than rows; null texts are empty) and bytes of a string column."""
+    if pa.types.is_large_string(column.type):
+        kind = np.int64
+    else:
+        column, kind = column.cast(pa.string()), np.int32
+    if column.null_count:
+        column = column.fill_null("")
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return offsets, np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+
+
+def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about CHUNK bytes."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
+        yield at, min(to, n)
+        at = to
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts in data, and where each text's words begin and end
+    (one more than texts). A-Z count as a-z; words end at ASCII white space only."""
+    low, high = int(offsets[0]), int(offsets[-1])
+    n = high - low
+    if not n:
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    b = data[low:high]
+    b = b + (((b >= 65) & (b <= 90)).astype(np.uint8) << 5)
+    inside = np.empty(n + 2, bool)
+    inside[0] = inside[-1] = False
+    inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
+    bounds = offsets - low
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+    ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
+    h = (sums[ends] - sums[starts]) * _power(pow(_BASE, -1, 1 << 64), n)[starts]
+    return mixed(h), np.searchsorted(starts, bounds)
+
+
+def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """For each text: the sorted distinct hashes of its k-word shingles; of all its words
+    where they are fewer than k; none without words."""
+    offsets, data = text_buffer(column)
+    for first, last in chunks(offsets):
+        words, at = word_hashes(data, offsets[first : last + 1])
+        whole = np.full(max(0, len(words) - k + 1), np.uint64(k), np.uint64)
+        for i in range(k):
+            whole = mixed(whole * _B + words[i : i + len(whole)])
+        for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if z - a >= k:
+                s = np.sort(whole[a : z - k + 1])
+                new = np.empty(len(s), bool)
+                new[0] = True
+                np.not_equal(s[1:], s[:-1], out=new[1:])
+                yield s[new]
+            elif z > a:
+                s = np.full(1, np.uint64(z - a), np.uint64)
+                for i in range(a, z):
+                    s = mixed(s * _B + words[i : i + 1])
+                yield s
+            else:
+                yield np.empty(0, np.uint64)
