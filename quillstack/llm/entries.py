@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, jaccard, mixing, packing, spans
+from . import covertree, jaccard, media, mixing, packing, spans, tokenfiles
 from .common import table
 
 
@@ -12,6 +13,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_by_document(table(spark, sf_dir, "documents"))
 
 
+def op2_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfiles.read_tokens(files)
+
+
 def op3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed", "words_removed")
 
@@ -24,12 +30,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store(table(spark, sf_dir, "documents")))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
 def queries() -> dict:
-    return {"op3_spans": op3_spans, "op4_mixing": op4_mixing, "op5_covertree": op5_covertree, "op6_packing": op6_packing, "op9_jaccard": op9_jaccard}
+    return {"op2_tokenfiles": op2_tokenfiles, "op3_spans": op3_spans, "op4_mixing": op4_mixing, "op5_covertree": op5_covertree, "op6_packing": op6_packing, "op8_webp": op8_webp, "op9_jaccard": op9_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
