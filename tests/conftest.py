@@ -20,5 +20,8 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from quillstack import attach
+
+    attach(session)
     yield session
     session.stop()
