@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, jaccard, media, mixing, packing, spans, tokenfiles
+from . import covertree, jaccard, media, mixing, packing, quality, spans, tokenfiles, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store(table(spark, sf_dir, "documents")))
 
@@ -38,8 +42,12 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op2_tokenfiles": op2_tokenfiles, "op3_spans": op3_spans, "op4_mixing": op4_mixing, "op5_covertree": op5_covertree, "op6_packing": op6_packing, "op8_webp": op8_webp, "op9_jaccard": op9_jaccard}
+    return {f.__name__: f for f in (op2_tokenfiles, op3_spans, op4_mixing, op5_covertree, op6_packing, op7_toxicity, op8_webp, op9_jaccard, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -107,6 +107,11 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bit
     a, b = sets.select(F.col("doc_id").alias("rep"), F.col("tokens").alias("x")), sets.select(F.col("doc_id").alias("leader"), F.col("tokens").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     linked = to_leader.join(a, "rep").join(b, "leader").where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("rep", "leader")
+    # An id of several texts ties their classes together.
+    of_id = sets_of_text.select("doc_id", "f1", "f2")
+    several = of_id.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    tied = of_id.join(several, "doc_id").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).where("doc_id <> rep").select(F.col("doc_id").alias("leader"), "rep")
+    linked = linked.unionByName(tied)
     grouped = written(connected_components(linked, "rep", "leader", "jaccard-leaders"), "jaccard-groups")
 
     crossing = _crossing_links(met.join(lengths, "rep"), grouped, docs, k, percent, block)
