@@ -1,8 +1,73 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents judged, thinned of near copies and of repeated passages, mixed and packed.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept and
+returns a DataFrame; run() writes each stage's result as Parquet in the shared folder and
+reads it again. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstack import attach
+from quillstack.llm import jaccard, mixing, packing, quality, spans
+from quillstack.llm.common import table, written
+
+#: Stages on word shingles take five words and a similarity of 0.8.
+SHINGLE, PERCENT = 5, 80
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it rejects go. An id goes if one of its rows is rejected; rows without an id stay."""
+    attach(spark)
+    judged = quality.score_documents(docs, table(spark, sf_dir, "labels"))
+    rejected = written(judged.where(~F.col("kept")).select("doc_id").distinct(), "pipeline-rejected")
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: one document of each group stays, the one with the smallest id."""
+    attach(spark)
+    return jaccard.one_of_each(docs, k=SHINGLE, percent=PERCENT)
+
+
+def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Substring dedup: sentences of non-first repeated spans go, and documents of which nothing is left."""
+    attach(spark)
+    done = spans.remove_repeats(docs)
+    done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return done.where("n_removed = 0 OR text <> ''").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Weighted fair queueing: documents in the order of the mix, a row for each time that one is taken."""
+    attach(spark)
+    mixed = mixing.mixed_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: a row for each piece of a document, with its bin."""
+    attach(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("substring dedup", drop_repeated_spans),
+    ("mixing", mix_sources),
+    ("best-fit packing", pack_bins),
+]
+
+#: A classifier is fitted on the way, which SQL can't express; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

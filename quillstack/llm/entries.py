@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, jaccard, media, mixing, packing, quality, spans, tokenfiles, toxicity
+from . import covertree, jaccard, media, mixing, packing, pages, quality, spans, tokenfiles, toxicity
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_by_document(table(spark, sf_dir, "documents"))
 
 
+def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenfiles.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return tokenfiles.read_tokens(files)
@@ -47,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_tokenfiles, op3_spans, op4_mixing, op5_covertree, op6_packing, op7_toxicity, op8_webp, op9_jaccard, op10_quality)}
+    return {f.__name__: f for f in (op1_pages, op2_tokenfiles, op3_spans, op4_mixing, op5_covertree, op6_packing, op7_toxicity, op8_webp, op9_jaccard, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
