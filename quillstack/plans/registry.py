@@ -1,11 +1,283 @@
-"""The reference queries by name, and SQL for those that SQL can express."""
+"""The engine's queries by name, and SQL that says the same from the tables alone.
+
+The SQL never parses Markdown: the corpora's constructs are known from how they are made.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scan, text
+from ..operators import constructs, lines, references, search, sections
+from ..sources import corpus, diffs
+from . import corpora
+from .corpora import table
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return register
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- text functions and the inline scan ---
+
+
+@query("tokens", "SELECT doc_id, CAST(strlen(text) // 4 AS BIGINT) AS tokens FROM documents")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
+
+
+#: The scan's patterns as RE2 reads them: there \b and \w are ASCII.
+_RE2 = {
+    "wiki_embed": (r"!\[\[([^\]|#^]+)(?:#([^\]|^]*))?(?:\^([^\]|]+))?(?:\|([^\]]+))?\]\]", 1),
+    "wiki_link": (r"(^|[^!])\[\[([^\]|#^]+)(?:#([^\]|^]*))?(?:\^([^\]|]+))?(?:\|([^\]]+))?\]\]", 2),
+    "entity": (r"&(?:#x[0-9A-Fa-f]+|#\d+|[A-Za-z][A-Za-z0-9]*);", 0),
+    "mention": (r"(^|[^\w/\\])@([A-Za-z0-9][A-Za-z0-9_-]{0,38})\b", 2),
+    "issue_ref": (r"(?:(^|[^\w/&])#(\d+))|(?:\b([A-Za-z][\w.-]*/[A-Za-z][\w.-]*)?#(\d+))|(?:\bGH-(\d+))", 0),
+    "commit_ref": (r"\b([0-9a-f]{7,40})\b", 1),
+    "emoji": (r":([a-z0-9_+-]{1,40}):", 1),
+    "inline_math": (r"\$([^$\n]+)\$", 1),
+    "url": (r"https?://[^\s<>)\]]+", 0),
+}
+
+
+def _counts_sql(id_col: str, text_col: str, source: str) -> str:
+    parts = ", ".join(f"CAST(len(regexp_extract_all({text_col}, '{p}', {g})) AS INTEGER) AS {name}" for name, (p, g) in _RE2.items())
+    return f"SELECT {id_col}, {parts} FROM {source}"
+
+
+def _register_scans() -> None:
+    for name, source, id_col, column in (("scan_documents", "documents", "doc_id", "text"), ("scan_pages", "pages", "page_id", "html")):
+        query(name, _counts_sql(id_col, column, source))(lambda spark, sf_dir, s=source, i=id_col, c=column: scan.counts(table(spark, sf_dir, s), c, i))
+    for family, (pattern, group) in _RE2.items():
+        value = "v"
+        if family == "url":
+            value = "regexp_replace(v, '[.,;:!?)]+$', '')"
+        elif family == "issue_ref":
+            value = "regexp_extract(v, '([0-9]+)$', 1)"
+        elif family in ("wiki_embed", "wiki_link", "inline_math"):
+            value = "trim(v)"
+        both = f"SELECT regexp_extract_all(t, '{pattern}', {group}) AS a FROM (SELECT text AS t FROM documents UNION ALL SELECT html FROM pages)"
+        sql = f"SELECT {value} AS value, count(*) AS n FROM (SELECT unnest(a) AS v FROM ({both})) GROUP BY 1"
+
+        def run(spark, sf_dir, family=family):
+            texts = table(spark, sf_dir, "documents").select(F.col("text").alias("t")).unionAll(table(spark, sf_dir, "pages").select("html"))
+            return texts.select(F.explode(scan.values(F.col("t"), family)).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+
+        query(f"values_{family}", sql)(run)
+
+
+_register_scans()
+
+
+@query("html_tags", "SELECT CASE WHEN starts_with(t, '<!--') THEN 'comment' ELSE regexp_extract(t, '^<([^ >\\n]*)', 1) END AS tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<[^>]*>')) AS t FROM pages) GROUP BY 1")
+def html_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<[^>]*>"), F.lit(0))).alias("raw"))
+    return tags.groupBy(text.html_tag(F.col("raw")).alias("tag")).agg(F.count("*").alias("n"))
+
+
+# --- conversation corpus: sections by construction ---
+
+_TURNS = """turns AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+         '# Conversation ' || conv_id AS head, 'Turn ' || turn || ': ' || role AS title FROM conversations),
+secs AS (
+  SELECT conv_id AS doc_id, 1 AS sec_id, 1 AS level, CAST(NULL AS INTEGER) AS parent_id, 'Conversation ' || conv_id AS title,
+         strlen('Conversation ' || conv_id) // 4 AS own_tokens FROM turns WHERE k = 1
+  UNION ALL
+  SELECT conv_id, k + 1, 2, 1, title, strlen(title) // 4 + strlen(replace(text, chr(10), '')) // 4 FROM turns)"""
+
+
+@query(
+    "inventory",
+    f"WITH {_TURNS} SELECT doc_id, 'conversation_' || doc_id || '.md' AS filename, count(*) AS sections, CAST(sum(own_tokens * level) AS BIGINT) AS total_tokens, CAST(sum(own_tokens) AS BIGINT) AS total_tokens_exact FROM secs GROUP BY doc_id",
+)
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpora.conversations(spark, sf_dir)
+    nodes = corpus.markdown_nodes(docs)
+    return constructs.inventory(docs, nodes, sections.sections(nodes)).select("doc_id", "filename", "sections", "total_tokens", "total_tokens_exact")
+
+
+@query(
+    "inventory_totals",
+    f"WITH {_TURNS} SELECT count(DISTINCT doc_id) AS files, count(*) AS sections, CAST(sum(own_tokens * level) AS BIGINT) AS total_tokens FROM secs",
+)
+def inventory_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpora.conversations(spark, sf_dir)
+    nodes = corpus.markdown_nodes(docs)
+    return constructs.totals(constructs.inventory(docs, nodes, sections.sections(nodes))).select("files", "sections", "total_tokens")
+
+
+@query(
+    "sections",
+    f"WITH {_TURNS} SELECT doc_id, CAST(sec_id AS INTEGER) AS sec_id, parent_id, level, title, CAST(own_tokens AS BIGINT) AS own_tokens, CAST(CASE WHEN level = 1 THEN sum(own_tokens) OVER (PARTITION BY doc_id) ELSE own_tokens END AS BIGINT) AS tokens FROM secs",
+)
+def conversation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sections.sections(corpus.markdown_nodes(corpora.conversations(spark, sf_dir)))
+    return found.select("doc_id", "sec_id", "parent_id", "level", "title", "own_tokens", "tokens")
+
+
+@query("breadcrumbs", f"WITH {_TURNS} SELECT doc_id, CAST(sec_id AS INTEGER) AS sec_id, CASE WHEN level = 1 THEN title ELSE 'Conversation ' || doc_id || ' > ' || title END AS breadcrumb FROM secs")
+def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.breadcrumbs(sections.sections(corpus.markdown_nodes(corpora.conversations(spark, sf_dir))))
+
+
+@query("find_section", f"WITH {_TURNS} SELECT doc_id, CAST(min(sec_id) AS INTEGER) AS sec_id, min_by(title, sec_id) AS title FROM secs WHERE contains(lower(title), 'assistant') GROUP BY doc_id")
+def find_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    secs = sections.sections(corpus.markdown_nodes(corpora.conversations(spark, sf_dir)))
+    return sections.find(secs, "ASSISTANT").select("doc_id", "sec_id", "title")
+
+
+@query("search", "WITH " + _TURNS + ", hits AS (SELECT conv_id AS doc_id, k + 1 AS sec_id, title, contains(lower(title), 'ing the') AS in_title, contains(lower(text), 'ing the') AS in_content FROM turns) SELECT doc_id, CAST(sec_id AS INTEGER) AS sec_id, title, in_title, in_content FROM hits WHERE in_title OR in_content")
+def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = corpus.markdown_nodes(corpora.conversations(spark, sf_dir))
+    return search.search(sections.sections(nodes), nodes, "Ing The").select("doc_id", "sec_id", "title", "in_title", "in_content")
+
+
+# --- region corpus: a deeper hierarchy ---
+
+_NATIONS = """n AS (SELECT n_regionkey AS doc_id, CASE WHEN n_nationkey % 3 = 0 THEN 4 ELSE 3 END AS level, n_name AS title, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 2 AS sec_id FROM nation),
+p AS (SELECT a.doc_id, a.sec_id, a.level, a.title, a.n_nationkey, CASE WHEN a.level = 4 THEN coalesce((SELECT max(b.sec_id) FROM n b WHERE b.doc_id = a.doc_id AND b.level = 3 AND b.sec_id < a.sec_id), 2) ELSE 2 END AS parent_id FROM n a),
+secs AS (SELECT r_regionkey AS doc_id, 1 AS sec_id, CAST(NULL AS INTEGER) AS parent_id, 1 AS level, r_name AS title FROM region UNION ALL SELECT r_regionkey, 2, 1, 2, 'Nations' FROM region UNION ALL SELECT doc_id, sec_id, parent_id, level, title FROM p)"""
+
+
+@query("outline", f"WITH {_NATIONS} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sec_id AS INTEGER) AS sec_id, CAST(parent_id AS INTEGER) AS parent_id, CAST(level AS INTEGER) AS level, title FROM secs")
+def region_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.sections(corpus.markdown_nodes(corpora.regions(spark, sf_dir))).select("doc_id", "sec_id", "parent_id", "level", "title")
+
+
+@query("section_filter", f"WITH {_NATIONS} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sec_id AS INTEGER) AS sec_id, title FROM secs WHERE sec_id >= 2")
+def section_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    secs = sections.sections(corpus.markdown_nodes(corpora.regions(spark, sf_dir)))
+    return sections.subtree(secs, "nations").select("doc_id", "sec_id", "title")
+
+
+@query("section_lines", f"WITH {_NATIONS}, last AS (SELECT doc_id, max(sec_id) AS m FROM secs GROUP BY doc_id) SELECT CAST(p.doc_id AS BIGINT) AS doc_id, CAST(sec_id AS INTEGER) AS sec_id, CAST(sec_id * 4 - 7 AS INTEGER) AS line_start FROM p UNION ALL SELECT CAST(r_regionkey AS BIGINT), 1, 1 FROM region UNION ALL SELECT CAST(r_regionkey AS BIGINT), 2, 3 FROM region")
+def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.sections(corpus.markdown_nodes(corpora.regions(spark, sf_dir))).select("doc_id", "sec_id", "line_start")
+
+
+@query("key_terms", f"WITH {_NATIONS} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sec_id AS INTEGER) AS sec_id, title || ',' || n_nationkey AS terms FROM p")
+def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    secs = sections.sections(corpus.markdown_nodes(corpora.regions(spark, sf_dir)))
+    return secs.where("sec_id > 2").select("doc_id", "sec_id", F.array_join("key_terms", ",").alias("terms"))
+
+
+@query("key_terms_text", None)
+def key_terms_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.key_terms(F.col("text")), "\n").alias("terms"))
+
+
+@query("expand", "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, 2 AS sec_id, 'Nations' AS title, '' AS content, 0 AS more FROM region")
+def expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    secs = sections.sections(corpus.markdown_nodes(corpora.regions(spark, sf_dir)))
+    return sections.expand(secs, "nations").select("doc_id", "sec_id", "title", F.array_join("lines", "\n").alias("content"), "more")
+
+
+@query("tree", f"WITH {_NATIONS} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sec_id AS INTEGER) AS sec_id, lead(sec_id) OVER (PARTITION BY doc_id, coalesce(parent_id, 0) ORDER BY sec_id) IS NULL AS last FROM secs")
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.tree(sections.sections(corpus.markdown_nodes(corpora.regions(spark, sf_dir)))).select("doc_id", "sec_id", "last")
+
+
+# --- order corpus: blocks by construction ---
+
+_LINES = "li AS (SELECT l_orderkey AS doc_id, count(*) AS n, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS done FROM lineitem GROUP BY 1), o AS (SELECT * FROM orders JOIN li ON o_orderkey = doc_id)"
+
+
+def _order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.markdown_nodes(corpora.orders(spark, sf_dir))
+
+
+@query("summary", f"WITH {_LINES} SELECT doc_id, CAST(1 AS BIGINT) AS callouts, CAST(1 AS BIGINT) AS tables, CAST(1 AS BIGINT) AS code_blocks, CAST(n AS BIGINT) AS tasks, CAST(done AS BIGINT) AS tasks_checked, CAST(1 AS BIGINT) AS issue_refs, CAST(0 AS BIGINT) AS wiki_links FROM o")
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constructs.summary(_order_nodes(spark, sf_dir)).select("doc_id", "callouts", "tables", "code_blocks", "tasks", "tasks_checked", "issue_refs", "wiki_links")
+
+
+@query("section_stats", f"WITH {_LINES} SELECT doc_id, 3 AS sec_id, CAST(n AS BIGINT) AS tasks, CAST(done AS BIGINT) AS tasks_checked, CAST(0 AS BIGINT) AS issue_refs FROM o UNION ALL SELECT doc_id, 4, 0, 0, 1 FROM o")
+def section_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = constructs.section_stats(_order_nodes(spark, sf_dir)).where("tasks + issue_refs > 0")
+    return stats.select("doc_id", "sec_id", "tasks", "tasks_checked", "issue_refs")
+
+
+@query("type_code", f"WITH {_LINES} SELECT doc_id, 4 AS sec_id, 'code_block' AS kind, CAST(17 + 2 * n AS INTEGER) AS line_start, CAST(18 + 2 * n AS INTEGER) AS line_end, 'sql' AS detail FROM o")
+def type_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constructs.drill_down(_order_nodes(spark, sf_dir), "codeblock", language="SQL").drop("n")
+
+
+@query("type_callout", f"WITH {_LINES} SELECT doc_id, 1 AS sec_id, 3 AS line_start, 'warning' AS detail FROM o WHERE o_orderstatus = 'O'")
+def type_callout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constructs.drill_down(_order_nodes(spark, sf_dir), "alert", variant="Warning").select("doc_id", "sec_id", "line_start", "detail")
+
+
+@query("type_table", f"WITH {_LINES} SELECT doc_id, 2 AS sec_id, 8 AS line_start, CAST(9 + n AS INTEGER) AS line_end, 'Line, Part, Flag' AS detail FROM o")
+def type_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constructs.drill_down(_order_nodes(spark, sf_dir), "table").select("doc_id", "sec_id", "line_start", "line_end", "detail")
+
+
+@query("type_task", f"WITH {_LINES} SELECT doc_id, 3 AS sec_id, CAST(n AS BIGINT) AS n FROM o")
+def type_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constructs.drill_down(_order_nodes(spark, sf_dir), "tasks").select("doc_id", "sec_id", "n")
+
+
+@query("references", f"WITH {_LINES} SELECT doc_id, 'customer' AS text, 'customer_' || o_custkey || '.md' AS target, CAST(20 + 2 * n AS INTEGER) AS line FROM o")
+def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references.references(_order_nodes(spark, sf_dir)).drop("ord")
+
+
+@query("hubs", f"WITH {_LINES} SELECT 'customer_' || o_custkey || '.md' AS target, count(*) AS links FROM o GROUP BY 1 HAVING count(*) >= 2 ORDER BY 2 DESC, 1 LIMIT 5")
+def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return references.hubs(references.references(_order_nodes(spark, sf_dir)))
+
+
+@query("ref_edges", f"WITH {_LINES} SELECT 'order_' || doc_id || '.md' AS filename, 'customer_' || o_custkey || '.md' AS target FROM o")
+def ref_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpora.orders(spark, sf_dir)
+    return references.edges(references.references(corpus.markdown_nodes(docs)), docs).select("filename", "target")
+
+
+@query("hunks", f"WITH {_LINES} SELECT doc_id, CAST(unnest([4, 6, n + 9, n + 10, n + 11]) AS INTEGER) AS line FROM o")
+def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffs.changed_lines(corpora.diffs(spark, sf_dir))
+
+
+@query("section_at", f"WITH {_LINES} SELECT doc_id, CAST(line AS INTEGER) AS line, CASE WHEN line < 6 OR line = n + 10 THEN 1 WHEN line < n + 10 THEN 2 ELSE 3 END AS sec_id FROM (SELECT doc_id, n, unnest([4, 6, n + 9, n + 10, n + 11]) AS line FROM o)")
+def section_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    secs = sections.sections(_order_nodes(spark, sf_dir))
+    points = diffs.changed_lines(corpora.diffs(spark, sf_dir))
+    return lines.section_at(secs, points).select("doc_id", "line", "sec_id")
+
+
+@query("node_at", f"WITH {_LINES} SELECT doc_id, CAST(line AS INTEGER) AS line, kind FROM (SELECT doc_id, unnest([4, 6, n + 9, n + 11]) AS line, unnest(['paragraph', 'heading', 'table_cell', 'heading']) AS kind FROM o)")
+def node_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = diffs.changed_lines(corpora.diffs(spark, sf_dir))
+    return lines.node_at(_order_nodes(spark, sf_dir), points).select("doc_id", "line", "kind")
+
+
+@query("changed_since", f"WITH {_LINES} SELECT doc_id, CAST(k AS INTEGER) AS sec_id, CAST(own AS BIGINT) AS own_lines FROM (SELECT doc_id, unnest([1, 2, 3]) AS k, unnest([2, 2, 1]) AS own FROM o)")
+def changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _order_nodes(spark, sf_dir)
+    changed = diffs.changed_lines(corpora.diffs(spark, sf_dir))
+    return lines.changed_sections(sections.sections(nodes), constructs.notables(nodes), changed).select("doc_id", "sec_id", "own_lines")
+
+
+@query("search_constructs", f"WITH {_LINES} SELECT doc_id, 4 AS sec_id, true AS in_constructs FROM o")
+def search_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _order_nodes(spark, sf_dir)
+    return search.search(sections.sections(nodes), nodes, "select * from").select("doc_id", "sec_id", "in_constructs")
