@@ -17,6 +17,7 @@ copies isn't written out as pairs.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 from .common import written
 from .graph import connected_components
 
-#: Added to pruning bounds: rounding of distances near 1 stays far below it.
-SLACK = 1e-6
+#: Added to pruning bounds, which are computed in single precision: a distance is off by
+#: less than 3e-3 near 0 and by far less elsewhere.
+SLACK = 5e-3
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -38,14 +40,18 @@ def units(x: np.ndarray) -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances between unit rows."""
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
 class Node:
     """A subtree: nets of centres (indices of rows), for each centre its parent in the net above and its covering radius."""
 
-    def __init__(self, rows: np.ndarray, smallest: float):
-        self.rows = rows
+    def __init__(self, rows: np.ndarray, smallest: float, nets: list | None = None):
+        self.rows, self.fast = rows, rows.astype(np.float32)
+        if nets is not None:
+            self.nets = nets
+            return
         n = len(rows)
         root_d = distances(rows[:1], rows)[0]
         group = np.zeros(n, np.int64)  # of each row: its centre's position in the net
@@ -77,14 +83,19 @@ def close_pairs(a: Node, b: Node, tau: float) -> np.ndarray | None:
     depth = max(len(a.nets), len(b.nets))
     open_ = np.ones((1, 1), bool)
     for level in range(depth):
-        (ca, pa_, ra), (cb, pb, rb) = (x.nets[min(level, len(x.nets) - 1)] for x in (a, b))
-        if level:
-            open_ = open_[pa_ if level < len(a.nets) else np.arange(len(ca))][:, pb if level < len(b.nets) else np.arange(len(cb))]
+        (ca, up_a, ra), (cb, up_b, rb) = (x.nets[min(level, len(x.nets) - 1)] for x in (a, b))
+        if level:  # children of what is open
+            open_ = open_[up_a if level < len(a.nets) else np.arange(len(ca))][:, up_b if level < len(b.nets) else np.arange(len(cb))]
         ia, ib = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
         if not len(ia):
             return None
-        d = distances(a.rows[ca[ia]], b.rows[cb[ib]])
-        part = open_[np.ix_(ia, ib)] & (d <= ra[ia][:, None] + rb[ib][None, :] + tau + SLACK)
+        # d <= bound, as 1 - bound ** 2 / 2 <= cosine
+        bound = (ra[ia].astype(np.float32) + np.float32(tau + SLACK))[:, None] + rb[ib].astype(np.float32)[None, :]
+        np.square(bound, out=bound)
+        near = a.fast[ca[ia]] @ b.fast[cb[ib]].T
+        near *= 2
+        near += bound
+        part = open_[np.ix_(ia, ib)] & (near >= 2)
         open_ = np.zeros_like(open_)
         open_[np.ix_(ia, ib)] = part
     return open_ if open_.any() else None
@@ -138,9 +149,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, node_size: int = 2
     rows = written(rows.withColumn("ok", F.coalesce(F.col("id").isNotNull() & finite, F.lit(False))), "cover-rows")
     distinct = written(rows.where("ok").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "cover-distinct")
 
-    # Top of the tree: so many centres of the sample that cells have about half a node.
+    # Top of the tree: so many centres of the sample that cells have about one node.
     total = distinct.count()
-    head = distinct.orderBy(F.xxhash64("v")).limit(min(sample, max(1, math.ceil(2 * total / node_size)))).select("v").collect()
+    head = distinct.orderBy(F.xxhash64("v")).limit(min(sample, max(1, math.ceil(total / node_size)))).select("v").collect()
     centres: dict[int, np.ndarray] = {}
     for n in {len(r["v"]) for r in head}:
         centres[n] = units(np.array([r["v"] for r in head if len(r["v"]) == n]))
@@ -161,7 +172,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, node_size: int = 2
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lengths.astype(np.int64)), pa.array(cells)], ["v", "rep", "copies", "dim", "cell"])
 
     placed = written(distinct.mapInArrow(assign, "v array<double>, rep long, copies long, dim long, cell long"), "cover-placed")
-    full = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / (node_size / 2)).alias("parts"))
+    full = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / node_size).alias("parts"))
     nodes = placed.join(full, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
 
     def plant(pdf):
@@ -170,9 +181,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, node_size: int = 2
 
         pdf = pdf.sort_values("rep")
         x = np.stack(pdf["v"].to_numpy())
-        return pd.DataFrame({"dim": pdf["dim"].iloc[:1].to_numpy(), "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "counts": [pdf["copies"].to_numpy(np.int64).tobytes()], "x": [units(x).tobytes()]})
+        nets = Node(units(x), tau / 8).nets
+        half = x.astype(np.float32)
+        raw = half if np.array_equal(half.astype(np.float64), x) else x  # as it came in: half the bytes for floats
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1].to_numpy(), "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "counts": [pdf["copies"].to_numpy(np.int64).tobytes()], "x": [raw.tobytes()], "nets": [pickle.dumps(nets)]})
 
-    packed = nodes.groupBy("dim", "cell", "part").applyInPandas(plant, "dim long, ids binary, counts binary, x binary")
+    packed = nodes.groupBy("dim", "cell", "part").applyInPandas(plant, "dim long, ids binary, counts binary, x binary, nets binary")
     packed = written(packed.withColumn("node", F.xxhash64("ids")), "cover-nodes")
     numbered = packed.select("node", F.col("dim").alias("d")).withColumn("no", F.row_number().over(Window.partitionBy("d").orderBy("node")) - 1).withColumn("all", F.count("*").over(Window.partitionBy("d")))
     numbered = written(numbered, "cover-numbers")
@@ -182,12 +196,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, node_size: int = 2
     def compare(pdf):
         import pandas as pd
 
-        read = lambda r: (np.frombuffer(r.ids, np.int64), np.frombuffer(r.counts, np.int64), np.frombuffer(r.x, np.float64).reshape(-1, r.dim))
+        def read(r):
+            ids = np.frombuffer(r.ids, np.int64)
+            x = np.frombuffer(r.x, np.float64 if len(r.x) == 8 * len(ids) * r.dim else np.float32).reshape(-1, r.dim)
+            return ids, np.frombuffer(r.counts, np.int64), Node(units(x), 0.0, pickle.loads(r.nets))
+
         own = [read(r) for r in pdf.sort_values("no").itertuples()]
-        smallest = tau / 8
-        (ia, na, xa), (ib, nb, xb) = own[0], own[-1]
-        ta = Node(xa, smallest)
-        tb = Node(xb, smallest) if len(own) > 1 else ta
+        (ia, na, ta), (ib, nb, tb) = own[0], own[-1]
         i, j = linked(ta, tb, threshold, tau)
         if len(own) == 1:
             i, j = i[i < j], j[i < j]
@@ -203,7 +218,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, node_size: int = 2
         n = np.concatenate((links[some], np.zeros(len(forest), np.int64)))
         return pd.DataFrame({"a": a, "b": b, "n": n})
 
-    found = pairs.select("d", "p", "q", "no", "dim", "ids", "counts", "x").groupBy("d", "p", "q").applyInPandas(compare, "a long, b long, n long")
+    found = pairs.select("d", "p", "q", "no", "dim", "ids", "counts", "x", "nets").groupBy("d", "p", "q").applyInPandas(compare, "a long, b long, n long")
     found = written(found, "cover-found")
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     comps = connected_components(found.where("n = 0"), "a", "b", "cover-links").select(F.col("node").alias("rep"), "component")
