@@ -14,7 +14,7 @@ import pyarrow as pa
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x5851F42D4C957F2D
 #: Bytes of text that are worked on at a time (more for a single longer text).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -50,6 +50,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
 
 
+def small(batches, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most so many rows, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about CHUNK bytes."""
     at, n = 0, len(offsets) - 1
@@ -59,27 +66,37 @@ def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of the texts in data, and where each text's words begin and end
-    (one more than texts). A-Z count as a-z; words end at ASCII white space only."""
-    low, high = int(offsets[0]), int(offsets[-1])
-    n = high - low
-    if not n:
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    b = data[low:high]
-    b = b + (((b >= 65) & (b <= 90)).astype(np.uint8) << 5)
+def word_bounds(b: np.ndarray, bounds: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in bytes b; no word goes over a text's bounds. Words end
+    at ASCII white space only, or also before the bytes marked in cuts."""
+    n = len(b)
     inside = np.empty(n + 2, bool)
     inside[0] = inside[-1] = False
     inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
-    bounds = offsets - low
-    edge = np.zeros(n + 1, bool)
+    edge = np.zeros(n + 1, bool) if cuts is None else cuts
     edge[bounds] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
     ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power(_BASE, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power(pow(_BASE, -1, 1 << 64), n)[starts]
-    return mixed(h), np.searchsorted(starts, bounds)
+    return starts, ends
+
+
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from starts to ends."""
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(b)), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _power(pow(_BASE, -1, 1 << 64), len(b))[starts])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts in data, and where each text's words begin and end
+    (one more than texts). A-Z count as a-z."""
+    low, high = int(offsets[0]), int(offsets[-1])
+    if low == high:
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    b = data[low:high]
+    b = b + (((b >= 65) & (b <= 90)).astype(np.uint8) << 5)
+    starts, ends = word_bounds(b, offsets - low)
+    return span_hashes(b, starts, ends), np.searchsorted(starts, offsets - low)
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:

@@ -15,6 +15,7 @@ more regular than the ids; the upper ones are nearly empty.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .shingles import chunks, text_buffer
+from .shingles import chunks, span_hashes, text_buffer, word_bounds
 
 MAGIC = b"QPL1"
 BLOCK = 1 << 16
@@ -92,65 +93,160 @@ def unpack_chunk(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
     return [None if z else d for d, z in zip(docs.tolist(), null.tolist(), strict=True)], lengths, ids
 
 
-class WordEncoder:
-    """A tokenizer whose text is cut at ASCII white space without changing its ids.
+class Numbers:
+    """Numbers, from 0 on, of 64-bit hashes in order of arrival: an open-addressing table in arrays."""
+
+    def __init__(self, bits: int):
+        self.mask, self.n = np.uint64((1 << bits) - 1), 0
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for those that aren't in."""
+        slot = (h & self.mask).astype(np.int64)
+        out = self.values[slot]
+        todo = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
+        while len(todo):
+            slot[todo] = slot[todo] + 1 & int(self.mask)
+            out[todo] = self.values[slot[todo]]
+            todo = todo[(out[todo] >= 0) & (self.keys[slot[todo]] != h[todo])]
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Numbers distinct hashes that aren't in."""
+        slot = (h & self.mask).astype(np.int64)
+        todo = np.arange(len(h))
+        number = np.arange(self.n, self.n + len(h), dtype=np.int32)
+        while len(todo):
+            free = self.values[slot[todo]] < 0
+            at = todo[free]
+            self.values[slot[at]] = number[at]  # of several for one slot, the last has it
+            won = np.zeros(len(todo), bool)
+            won[free] = self.values[slot[at]] == number[at]
+            self.keys[slot[todo[won]]] = h[todo[won]]
+            todo = todo[~won]
+            slot[todo] = slot[todo] + 1 & int(self.mask)
+        self.n += len(h)
+
+
+#: A pre-tokenizer that keeps runs of letters and of signs apart; white space goes.
+LETTERS_AND_SIGNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Signs next to which a cut changes nothing: not the apostrophe of contractions, nor those of special tokens.
+_SIGN = np.zeros(256, bool)
+_SIGN[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
+
 
-    That holds for the tokenizers whose pre-tokenizer drops white space, as the word
-    vocabulary's does: each word between white space is then encoded on its own. Words
-    are found and told apart by their bytes for a whole batch at once, each distinct
-    word is encoded by the library once, and ids are put together from these.
+class WordEncoder:
+    """A tokenizer whose text is cut into words without changing its ids.
+
+    That holds for tokenizers whose pre-tokenizer drops white space, as the word
+    vocabulary's does: what stands between white space is then encoded on its own. If it
+    also keeps letters and signs apart, words are cut between these too, and if it lowers
+    case, A-Z count as a-z. Words are found and told apart (by 64-bit hashes of their
+    bytes) for a whole part of a column at once, the library encodes each distinct word
+    once, and ids are put together from these. Words remembered are bounded by `most`;
+    past that they start afresh.
+
+    Distinct words go to the library many in one text: those of letters between spaces,
+    told apart again by the vocabulary's end-of-word tokens, others between a special
+    token; words that hold that token's sign, or come out uneven, on their own.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 2_000_000, bits: int = 22):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.bits = Tokenizer.from_file(path), min(most, 1 << bits - 1), bits
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
+        special = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.special = min(special, default=None)
+        rules = json.loads(self.tokenizer.to_str())
+        self.cuts = LETTERS_AND_SIGNS in json.dumps(rules["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
+        self.lowers = '"Lowercase"' in json.dumps(rules["normalizer"])
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.numbers = Numbers(self.bits)
         self.arena = np.zeros(1 << 20, np.uint32)
-        self.bounds = [0]
-
-    def lookup(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words among those encoded so far; encodes those that are new."""
-        if len(self.at) + len(words) > self.most:
-            self.forget()
-        new = [w for w in dict.fromkeys(words) if w not in self.at]
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False), strict=True):
-                ids, end = e.ids, self.bounds[-1]
-                if end + len(ids) > len(self.arena):
-                    self.arena = np.concatenate((self.arena, np.zeros(len(self.arena) + len(ids), np.uint32)))
+        self.bounds = np.zeros(1 << 18, np.int64)
+
+    def ids_of_text(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def ids_of_words(self, words: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of the words, and all their ids."""
+        text = [w.decode("utf-8", "surrogatepass") for w in words]
+        if plain and self.last.any():
+            ids = self.ids_of_text(" ".join(text))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                return np.diff(ends, prepend=0), ids
+        if self.special and not any(self.special[1][:1] in t for t in text):
+            ids = self.ids_of_text(self.special[1].join(text))
+            cuts = np.flatnonzero(ids == self.special[0])
+            if len(cuts) == len(words) - 1:
+                return np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1, ids[ids != self.special[0]]
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
+        return np.array([len(e) for e in each], np.int64), np.array([x for e in each for x in e], np.uint32)
+
+    def learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        """Encodes and remembers distinct new words."""
+        count = lambda mask: np.concatenate(([0], np.cumsum(mask)))
+        ascii_, letters = count(_LETTER[raw]), count(_LETTER[raw] | (raw >= 128))
+        sizes = ends - starts
+        kind = (ascii_[ends] - ascii_[starts] == sizes).astype(int) + (letters[ends] - letters[starts] == sizes)
+        text = raw.tobytes()
+        for of in range(3):
+            of_kind = np.flatnonzero(kind == of)
+            for k in range(0, len(of_kind), 2000):
+                at = of_kind[k : k + 2000]
+                sizes, ids = self.ids_of_words([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], of > 0)
+                n, end = self.numbers.n, int(self.bounds[self.numbers.n])
+                while n + len(at) + 1 > len(self.bounds):
+                    self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
+                while end + len(ids) > len(self.arena):
+                    self.arena = np.concatenate((self.arena, np.zeros_like(self.arena)))
                 self.arena[end : end + len(ids)] = ids
-                self.at[w] = len(self.bounds) - 1
-                self.bounds.append(end + len(ids))
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+                self.bounds[n + 1 : n + 1 + len(at)] = end + np.cumsum(sizes)
+                self.numbers.add(hashes[at])
 
     def encode(self, column: pa.Array, end: int):
         """For parts of a string column: (rows from, to, ids of each row, all ids); each text has the id `end` appended."""
         offsets, data = text_buffer(column)
         for first, last in chunks(offsets):
             low, high = int(offsets[first]), int(offsets[last])
-            raw = data[low:high]
-            bounds = offsets[first : last + 1] - low
-            inside = np.zeros(len(raw) + 2, bool)
-            inside[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
-            edge = np.zeros(len(raw) + 1, bool)
-            edge[bounds] = True
-            starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
-            ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
-            text = raw.tobytes()
-            at = self.lookup([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-            limits = np.array(self.bounds)
-            sizes = limits[at + 1] - limits[at]
-            ends_at = np.searchsorted(starts, bounds)  # of each text's words
+            raw, bounds = data[low:high], offsets[first : last + 1] - low
+            if low == high:
+                yield first, last, np.ones(last - first, np.int64), np.full(last - first, end, np.uint32)
+                continue
+            if self.lowers and not (raw == 60).any():  # "<": special tokens keep their case
+                raw = raw + (((raw >= 65) & (raw <= 90)).astype(np.uint8) << 5)
+            cuts = np.zeros(len(raw) + 1, bool)
+            if self.cuts:
+                letter, sign = _LETTER[raw], _SIGN[raw]
+                cuts[1:-1] = letter[:-1] & sign[1:] | sign[:-1] & letter[1:]
+            starts, ends = word_bounds(raw, bounds, cuts)
+            hashes = span_hashes(raw, starts, ends)
+            at = self.numbers.find(hashes)
+            if (at < 0).any():
+                new, where = np.unique(hashes[at < 0], return_index=True)
+                if self.numbers.n + len(new) > self.most:
+                    self.forget()
+                    new, where = np.unique(hashes, return_index=True)
+                else:
+                    where = np.flatnonzero(at < 0)[where]
+                self.learn(raw, starts[where], ends[where], new)
+                at = self.numbers.find(hashes)
+            begin = self.bounds[at]
+            sizes = self.bounds[at + 1] - begin
             before = np.concatenate(([0], np.cumsum(sizes)))
-            n = before[ends_at[1:]] - before[ends_at[:-1]] + 1
-            # Words' ids in a row, then the end ids put between texts.
-            source = np.repeat(limits[at] - before[:-1], sizes) + np.arange(before[-1])
-            ids = np.insert(self.arena[source], before[ends_at[1:]], np.uint32(end))
-            yield first, last, n, ids
+            ends_at = before[np.searchsorted(starts, bounds)]
+            # The words' ids in a row, with the end id of each text put in.
+            source = np.repeat(begin - before[:-1], sizes) + np.arange(before[-1])
+            ids = np.insert(self.arena[source], ends_at[1:], np.uint32(end))
+            yield first, last, np.diff(ends_at) + 1, ids
 
 
 _encoders: dict[str, WordEncoder] = {}
