@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import covertree, jaccard, media, mixing, packing, pages, quality, spans, tokenfiles, toxicity
+from . import covertree, jaccard, media, mixing, oracles, packing, pages, quality, spans, tokenfiles, toxicity
 from .common import table
 
 
@@ -55,4 +55,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": oracles.OP4, "op5_covertree": oracles.OP5, "op9_jaccard": oracles.OP9}
