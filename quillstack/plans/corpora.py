@@ -51,3 +51,19 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = li.groupBy("l_orderkey").agg(F.count("*").alias("n"))
     text = F.concat(F.lit("--- a\n+++ b\n@@ -4 +4 @@ x\n-a\n+b\n@@ -5,2 +6,0 @@\n-c\n@@ -9,1 +"), (F.col("n") + 9).cast("string"), F.lit(",3 @@\n+d\n"))
     return o.join(n, o["o_orderkey"] == n["l_orderkey"]).select(F.col("o_orderkey").alias("doc_id"), text.alias("diff"))
+
+
+def regions_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A YAML document for each region: its name, and its nations as a list of maps."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    item = F.concat(F.lit("  - name: "), "n_name", F.lit("\n    key: "), F.col("n_nationkey").cast("string"), F.lit("\n"))
+    per = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", item.alias("i")))), lambda x: x["i"]), "").alias("items"))
+    content = F.concat(F.lit("region: "), "r_name", F.lit("\nnations:\n"), "items")
+    return r.join(per, r["r_regionkey"] == per["n_regionkey"]).select(F.col("r_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("region_"), F.col("r_regionkey").cast("string"), F.lit(".yaml")).alias("filename"), F.lit("yaml").alias("format"), content.alias("content"))
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manifest for each region: its Markdown, a hidden file, and one of another kind."""
+    docs = regions(spark, sf_dir)
+    files = F.array(F.struct(F.col("filename").alias("path"), "content"), F.struct(F.lit(".hidden.md").alias("path"), F.lit("# H").alias("content")), F.struct(F.lit("notes.txt").alias("path"), F.lit("x").alias("content")))
+    return docs.select(F.to_json(F.struct(F.concat(F.lit("root"), "doc_id").alias("root"), files.alias("files"))).alias("manifest"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scan, text
-from ..operators import constructs, lines, references, search, sections
+from ..operators import constructs, export, lines, references, search, sections
 from ..sources import corpus, diffs
 from . import corpora
 from .corpora import table
@@ -281,3 +281,58 @@ def changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _order_nodes(spark, sf_dir)
     return search.search(sections.sections(nodes), nodes, "select * from").select("doc_id", "sec_id", "in_constructs")
+
+
+@query("notables", f"WITH {_LINES} SELECT doc_id, CAST(unnest([1, 2, 4]) AS INTEGER) AS sec_id, unnest(['callout', 'table', 'code_block']) AS kind FROM o")
+def notable_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constructs.notables(_order_nodes(spark, sf_dir)).select("doc_id", "sec_id", "kind")
+
+
+@query("ref_back_edges", f"WITH {_LINES} SELECT 'customer_' || o_custkey || '.md' AS target, count(*) AS files FROM o GROUP BY 1")
+def ref_back_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpora.orders(spark, sf_dir)
+    back = references.back_edges(references.references(corpus.markdown_nodes(docs)), docs)
+    return back.groupBy("target").agg(F.count("*").alias("files"))
+
+
+@query("node_kinds", f"WITH {_LINES}, k AS (SELECT unnest(['heading', 'callout', 'paragraph', 'table', 'table_row', 'table_cell', 'list', 'task_item', 'code_block', 'link', 'issue_ref']) AS kind, unnest([4, 1, 2 + n, 1, 1 + n, 3 + 3 * n, 1, n, 1, 1, 1]) AS c FROM o) SELECT kind, CAST(sum(c) AS BIGINT) AS n FROM k GROUP BY 1")
+def node_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_nodes(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("search_children", "WITH " + _TURNS + " SELECT DISTINCT conv_id AS doc_id, 1 AS sec_id, CAST(greatest(n - 5, 0) AS BIGINT) AS more, CAST(least(n, 5) AS INTEGER) AS shown FROM turns")
+def search_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = corpus.markdown_nodes(corpora.conversations(spark, sf_dir))
+    secs = sections.sections(nodes)
+    hits = search.search(secs, nodes, "conversation").where("in_title")
+    return search.with_children(hits, secs).select("doc_id", "sec_id", "more", F.size("children").alias("shown"))
+
+
+_YAML = """n AS (SELECT n_regionkey AS doc_id, n_name, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation),
+y AS (SELECT r_regionkey AS doc_id, 1 AS sec_id, CAST(NULL AS INTEGER) AS parent_id, 1 AS level, 'region' AS title, r_name AS content, 1 AS line_start FROM region
+UNION ALL SELECT r_regionkey, 2, NULL, 1, 'nations', '', 2 FROM region
+UNION ALL SELECT doc_id, 3 * k, 2, 2, n_name, '', 1 + 2 * k FROM n
+UNION ALL SELECT doc_id, 3 * k + 1, 3 * k, 3, 'name', n_name, 1 + 2 * k FROM n
+UNION ALL SELECT doc_id, 3 * k + 2, 3 * k, 3, 'key', CAST(n_nationkey AS VARCHAR), 2 + 2 * k FROM n)"""
+
+
+@query("yaml_sections", f"WITH {_YAML} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sec_id AS INTEGER) AS sec_id, CAST(parent_id AS INTEGER) AS parent_id, level, title, content, CAST(line_start AS INTEGER) AS line_start, CAST(strlen(content) // 4 AS BIGINT) AS own_tokens FROM y")
+def yaml_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = corpus.yaml_sections(corpora.regions_yaml(spark, sf_dir))
+    return found.select("doc_id", "sec_id", "parent_id", "level", "title", "content", "line_start", "own_tokens")
+
+
+@query("manifest_scan", "SELECT 'root' || r_regionkey AS root, 'region_' || r_regionkey || '.md' AS filename, 'md' AS format, CAST(count(*) + 2 AS BIGINT) AS headings FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
+def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.from_manifest(corpora.manifests(spark, sf_dir))
+    heads = corpus.markdown_nodes(docs).where("kind = 'heading'").groupBy("doc_id").agg(F.count("*").alias("headings"))
+    return docs.join(heads, "doc_id").select("root", "filename", "format", "headings")
+
+
+@query("json_export", f"WITH {_TURNS} SELECT 'conversation_' || doc_id || '.md' AS filename, CAST(sum(own_tokens * level) AS BIGINT) AS tokens, CAST(count(*) - 1 AS BIGINT) AS children FROM secs GROUP BY doc_id")
+def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpora.conversations(spark, sf_dir)
+    nodes = corpus.markdown_nodes(docs)
+    out = export.documents_json(docs, nodes, sections.sections(nodes), references.references(nodes))
+    parsed = F.from_json("json", "tokens long, sections array<struct<children array<struct<title string>>>>")
+    return out.select("filename", parsed.alias("j")).select("filename", "j.tokens", F.coalesce(F.size(F.col("j.sections")[0]["children"]), F.lit(0)).cast("long").alias("children"))
