@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstack import attach
 from quillstack.llm import jaccard, mixing, packing, quality, spans
-from quillstack.llm.common import table, written
+from quillstack.llm.common import forget, table, written
 
 #: Stages on word shingles take five words and a similarity of 0.8.
 SHINGLE, PERCENT = 5, 80
@@ -69,5 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

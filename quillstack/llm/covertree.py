@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 from .graph import connected_components
 
 #: Added to pruning bounds, which are computed in single precision: a distance is off by
@@ -187,7 +187,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, node_size: int = 2
         return pd.DataFrame({"dim": pdf["dim"].iloc[:1].to_numpy(), "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "counts": [pdf["copies"].to_numpy(np.int64).tobytes()], "x": [raw.tobytes()], "nets": [pickle.dumps(nets)]})
 
     packed = nodes.groupBy("dim", "cell", "part").applyInPandas(plant, "dim long, ids binary, counts binary, x binary, nets binary")
-    packed = written(packed.withColumn("node", F.xxhash64("ids")), "cover-nodes")
+    packed = packed_table = written(packed.withColumn("node", F.xxhash64("ids")), "cover-nodes")
     numbered = packed.select("node", F.col("dim").alias("d")).withColumn("no", F.row_number().over(Window.partitionBy("d").orderBy("node")) - 1).withColumn("all", F.count("*").over(Window.partitionBy("d")))
     numbered = written(numbered, "cover-numbers")
     pairs = packed.join(numbered, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("int"), F.col("all").cast("int") - 1)))
@@ -221,9 +221,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, node_size: int = 2
     found = pairs.select("d", "p", "q", "no", "dim", "ids", "counts", "x", "nets").groupBy("d", "p", "q").applyInPandas(compare, "a long, b long, n long")
     found = written(found, "cover-found")
     counts = found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
-    comps = connected_components(found.where("n = 0"), "a", "b", "cover-links").select(F.col("node").alias("rep"), "component")
+    comps_table = connected_components(found.where("n = 0"), "a", "b", "cover-links")
+    comps = comps_table.select(F.col("node").alias("rep"), "component")
     groups = distinct.join(counts, "rep", "left").join(comps, "rep", "left")
     groups = written(groups.select("v", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "cover-groups")
+    forget(distinct, placed, packed_table, numbered, found, comps_table)
     groups = groups.withColumnRenamed("v", "w")
     out = rows.join(groups, (rows["v"] == groups["w"]) & rows["ok"], "left")
     component = F.coalesce("component_id", "id")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def connected_components(edges: DataFrame, a: str, b: str, name: str = "cc") -> DataFrame:
@@ -24,16 +24,20 @@ def connected_components(edges: DataFrame, a: str, b: str, name: str = "cc") ->
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
-        low = low.withColumn("m", F.least("u", "m"))
+        lowest = written(both.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
+        low = lowest.withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, f"{name}-large")
+        forget(lowest, now)
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        forget(low, large)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break
         state = seen
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._table_path = now._table_path
+    return out

@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 from .graph import connected_components
-from .shingles import shingle_sets
+from .shingles import shingle_sets, small
 
 SLICES = 256
 
@@ -74,7 +74,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bit
 
     def describe(batches):
         counts = sketch.value
-        for batch in batches:
+        for batch in small(batches):
             n, f1, f2, prefixes = [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
@@ -112,16 +112,27 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 80, sketch_bit
     several = of_id.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     tied = of_id.join(several, "doc_id").join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).where("doc_id <> rep").select(F.col("doc_id").alias("leader"), "rep")
     linked = linked.unionByName(tied)
-    grouped = written(connected_components(linked, "rep", "leader", "jaccard-leaders"), "jaccard-groups")
+    grouped = _components(linked, "rep", "leader", "jaccard-groups")
+    forget(to_leader, sets, shared)
 
     crossing = _crossing_links(met.join(lengths, "rep"), grouped, docs, k, percent, block)
-    merged = written(connected_components(crossing, "a", "b", "jaccard-crossing"), "jaccard-merged")
+    merged = _components(crossing, "a", "b", "jaccard-merged")
+    forget(met, crossing)
 
     group_of = classes.select("f1", "f2", "rep").join(grouped.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     group_of = group_of.join(merged.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
     group_of = written(group_of.select("f1", "f2", F.coalesce("top", "component").alias("component_id")), "jaccard-class-groups")
     out = described.join(group_of, ["f1", "f2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = written(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")), "jaccard-result")
+    forget(described, classes, grouped, merged, group_of)
+    return out
+
+
+def _components(links: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    found = connected_components(links, a, b, name + "-steps")
+    out = written(found, name)
+    forget(found)
+    return out
 
 
 def _least_common(n, m, percent: int):
@@ -136,7 +147,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """doc_id, tokens: the shingle sets of the documents in ids."""
 
     def whole(batches):
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in shingle_sets(batch.column(1), k)], pa.list_(pa.int64()))], ["doc_id", "tokens"])
 
     return docs.join(ids, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, tokens array<long>").where(F.size("tokens") > 0)
@@ -148,10 +159,12 @@ def _crossing_links(met: DataFrame, grouped: DataFrame, docs: DataFrame, k: int,
     known = written(grouped.join(sizes, "component").select(F.col("node").alias("rep"), "component", "members"), "jaccard-known")
     rows = met.join(known, "rep", "left")
     rows = rows.withColumn("component", F.coalesce("component", "rep")).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
-    rows = written(rows, "jaccard-rows")
-    several = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    rows = written(rows.join(written(several, "jaccard-several"), "token"), "jaccard-crossing-rows")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / block)))
+    every = written(rows, "jaccard-rows")
+    several = every.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    several = written(several, "jaccard-several")
+    some = written(every.join(several, "token"), "jaccard-crossing-rows")
+    forget(every, several, sizes, known)
+    rows = some.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / block)))
 
     # The matrix, and the queries that meet it: the smaller group's classes ask.
     matrix = written(rows.groupBy("token", "component", "members", "block").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi")), "jaccard-matrix")
@@ -171,7 +184,7 @@ def _crossing_links(met: DataFrame, grouped: DataFrame, docs: DataFrame, k: int,
     asked = queries.join(chunks, ["component", "block"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")))
     members = rows.select("rep", "component", "block").distinct().join(chunks, ["component", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     both = asked.select("rep", "own", "component", "block", "chunk").unionByName(members.select("rep", F.lit(None).cast("long").alias("own"), "component", "block", "chunk"))
-    both = written(both, "jaccard-opened")
+    opened_rows = both = written(both, "jaccard-opened")
     sets = written(_sets(docs, both.select(F.col("rep").alias("doc_id")).distinct(), k), "jaccard-opened-sets")
     both = both.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
 
@@ -197,7 +210,9 @@ def _crossing_links(met: DataFrame, grouped: DataFrame, docs: DataFrame, k: int,
                     break
         return pd.DataFrame({"a": list(found), "b": list(found.values())}, dtype="int64")
 
-    return both.groupBy("component", "block", "chunk").applyInPandas(opened, "a long, b long")
+    found = written(both.groupBy("component", "block", "chunk").applyInPandas(opened, "a long, b long"), "jaccard-crossing")
+    forget(some, matrix, queries, chunks, opened_rows, sets)
+    return found
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

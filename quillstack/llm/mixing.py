@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import forget, n_words, written
 
 #: Weights by rank of the source in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -59,16 +59,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Returns doc_id, source, size (words), source_size, target, pass (0 for the first
     time), words (taken this time; under size where the target cuts the document),
     finish (virtual time) and position (words of the mix before it); with all_rows
-    also rows of no words, so that each document has its pass 0. source, doc_id, _sum
-    (checksum of the text) and _dup (number among equal rows) identify the input row.
+    also rows of no words, so that each document has its pass 0. _sum (a hash of id,
+    source and text) and _dup (number among equal rows) identify the input row.
 
     Null text: size 0. Null source: a source of its own, last in order. Repeated ids or
-    rows: rows of their own; ties in the hash fall back on size and checksum, and what
+    rows: rows of their own; ties in the hash fall back on size and that hash, and what
     is left after that is equal. Empty table or no words: no rows are taken, targets
     are 0. Other columns are dropped, so that clashing names don't matter.
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).cast("long").alias("size"), key.alias("_key"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_sum"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).cast("long").alias("size"), key.alias("_key"), F.xxhash64(id_col, source_col, text_col).alias("_sum"))
     rows = rows.withColumn("_bucket", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
     rows = written(rows.withColumn("_queue", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-rows")
 
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # A bucket of a source: its order, then its place behind the source's earlier buckets.
     own = Window.partitionBy("_queue", "_bucket").orderBy("_key", "size", "_sum")
-    same = Window.partitionBy("_queue", "_bucket", "doc_id", "_sum").orderBy("_key")
+    same = Window.partitionBy("_queue", "_bucket", "_sum").orderBy("_key")
     queued = rows.withColumn("_row", F.row_number().over(own)).withColumn("_to", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_dup", F.row_number().over(same))
     queued = queued.join(starts, ["_queue", "_bucket"])
     begin = F.col("_ahead") + F.col("_to") - F.col("size") + F.col("pass") * F.col("source_size")
@@ -94,6 +94,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("_slot", F.floor(F.col("finish") * buckets))
     )
     entries = written(entries.drop("_ahead", "_to", "_key"), "mix-entries")
+    forget(rows, starts)
 
     # Global order by virtual time: all queues are served evenly, so its slots are even.
     # Rows of no words all finish at 1 and don't move the total: they keep out of the order.
@@ -127,10 +128,10 @@ def taken_by_document(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: the columns of docs, a row for each time that a document is
     taken, in the order of the mix; a document that the target cuts keeps its first words."""
-    got = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("_sum").alias("_s"), F.col("_dup").alias("_d"), "size", "words", "position")
-    got = got.select("_id", "_src", "_s", "_d", F.col("size").alias("_size"), F.col("words").alias("_words"), F.col("position").alias("_position"))
-    full = docs.withColumn("_sum", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    full = full.withColumn("_dup", F.row_number().over(Window.partitionBy("doc_id", "source", "_sum").orderBy("_sum")))
-    rows = full.join(got, full["doc_id"].eqNullSafe(got["_id"]) & full["source"].eqNullSafe(got["_src"]) & (full["_sum"] == got["_s"]) & (full["_dup"] == got["_d"]))
+    got = mix(docs, **options).select("_sum", F.col("_dup").alias("_d"), F.col("size").alias("_size"), F.col("words").alias("_words"), F.col("position").alias("_position"))
+    full = docs.withColumn("_sum", F.xxhash64("doc_id", "source", "text"))
+    full = full.withColumn("_dup", F.row_number().over(Window.partitionBy("_sum").orderBy("_sum")))
+    # Joined by _sum alone, so that texts are dealt out once for the numbers and the join.
+    rows = full.join(got, "_sum").where("_dup - _d = 0")
     rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text")))
     return rows.orderBy("_position").select(docs.columns)

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
-from .shingles import mixed
+from .common import forget, written
+from .shingles import mixed, small
 
 _END = re.compile(r"(?<=[.!?])[ \t\r\f\v]+|[ \t\r\f\v]*\n\s*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Spans that a task holds before it sends them on.
-HELD = 2_000_000
+HELD = 500_000
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -93,7 +93,7 @@ def remove_repeats(docs: DataFrame, min_sentences: int = 2, min_words: int = 20,
     def spans(batches):
         rows = ([], [], [], [], [])
         held = 0
-        for batch in batches:
+        for batch in small(batches):
             for doc, text, crc in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 h, i, j = spans_of(text, min_sentences, min_words)
                 if not len(h):
@@ -144,6 +144,7 @@ def remove_repeats(docs: DataFrame, min_sentences: int = 2, min_words: int = 20,
     across = found.where("h IS NOT NULL").repartition("h").sortWithinPartitions("h", "doc", "crc", "i", "j").mapInArrow(later, "doc long, crc long, i int, j int")
     places = across.unionByName(found.where("h IS NULL").drop("h"))
     places = written(places.groupBy("doc", "crc").agg(F.collect_list("i").alias("_from"), F.collect_list("j").alias("_to")), "spans-places")
+    forget(found)
     places = places.withColumnRenamed("doc", "_doc").withColumnRenamed("crc", "_crc")
 
     rest = docs.drop("n_removed", "words_removed", "_from", "_to")
@@ -153,7 +154,7 @@ def remove_repeats(docs: DataFrame, min_sentences: int = 2, min_words: int = 20,
     at = names.index(text_col)
 
     def rebuild(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts, a, b = (batch.column(x).to_pylist() for x in (at, len(names), len(names) + 1))
             done = [(t, 0, 0) if not x else without(t, np.array((x, y))) for t, x, y in zip(texts, a, b, strict=True)]
             columns = batch.columns[: len(names)]
