@@ -222,4 +222,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     first = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.monotonically_increasing_id())).orderBy("text")
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns)
+    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(docs.columns)

@@ -128,10 +128,10 @@ def taken_by_document(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: the columns of docs, a row for each time that a document is
     taken, in the order of the mix; a document that the target cuts keeps its first words."""
-    got = mix(docs, **options).select("_sum", F.col("_dup").alias("_d"), F.col("size").alias("_size"), F.col("words").alias("_words"), F.col("position").alias("_position"))
-    full = docs.withColumn("_sum", F.xxhash64("doc_id", "source", "text"))
-    full = full.withColumn("_dup", F.row_number().over(Window.partitionBy("_sum").orderBy("_sum")))
-    # Joined by _sum alone, so that texts are dealt out once for the numbers and the join.
-    rows = full.join(got, "_sum").where("_dup - _d = 0")
-    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("_size"), first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text")))
-    return rows.orderBy("_position").select(docs.columns)
+    got = mix(docs, **options).select(F.col("_sum").alias("__sum"), F.col("_dup").alias("__d"), F.col("size").alias("__size"), F.col("words").alias("__words"), F.col("position").alias("__position"))
+    full = docs.withColumn("__sum", F.xxhash64("doc_id", "source", "text"))
+    full = full.withColumn("__dup", F.row_number().over(Window.partitionBy("__sum").orderBy("__sum")))
+    # Joined by the hash alone, so that texts are dealt out once for the numbers and the join.
+    rows = full.join(got, "__sum").where("__dup - __d = 0")
+    rows = rows.withColumn("text", F.when(F.col("__words") < F.col("__size"), first_words(F.col("text"), F.col("__words"))).otherwise(F.col("text")))
+    return rows.orderBy("__position").select(docs.columns)

@@ -143,13 +143,13 @@ def remove_repeats(docs: DataFrame, min_sentences: int = 2, min_words: int = 20,
     found = written(key.mapInArrow(spans, "h long, doc long, crc long, i int, j int"), "spans-local")
     across = found.where("h IS NOT NULL").repartition("h").sortWithinPartitions("h", "doc", "crc", "i", "j").mapInArrow(later, "doc long, crc long, i int, j int")
     places = across.unionByName(found.where("h IS NULL").drop("h"))
-    places = written(places.groupBy("doc", "crc").agg(F.collect_list("i").alias("_from"), F.collect_list("j").alias("_to")), "spans-places")
+    places = written(places.groupBy("doc", "crc").agg(F.collect_list("i").alias("__from"), F.collect_list("j").alias("__to")), "spans-places")
     forget(found)
-    places = places.withColumnRenamed("doc", "_doc").withColumnRenamed("crc", "_crc")
+    places = places.withColumnRenamed("doc", "__doc").withColumnRenamed("crc", "__crc")
 
-    rest = docs.drop("n_removed", "words_removed", "_from", "_to")
-    joined = rest.withColumn("_k", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long"))).withColumn("_c", F.crc32(F.col(text_col).cast("binary")))
-    joined = joined.join(places, (F.col("_k") == F.col("_doc")) & (F.col("_c") == F.col("_crc")), "left").drop("_k", "_c", "_doc", "_crc")
+    rest = docs.drop("n_removed", "words_removed")
+    joined = rest.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long"))).withColumn("__sum", F.crc32(F.col(text_col).cast("binary")))
+    joined = joined.join(places, (F.col("__key") == F.col("__doc")) & (F.col("__sum") == F.col("__crc")), "left").drop("__key", "__sum", "__doc", "__crc")
     names = rest.columns
     at = names.index(text_col)
 

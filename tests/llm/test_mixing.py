@@ -57,7 +57,7 @@ def test_targets_and_words(spark):
 
 
 def test_positions_and_documents(spark):
-    df = spark.createDataFrame(corpus(), "doc_id long, text string, source string").repartition(3)
+    df = spark.createDataFrame([(*r, 1, "x") for r in corpus()], "doc_id long, text string, source string, _sum int, _position string").repartition(3)
     rows = sorted(mixing.mix(df).collect(), key=lambda r: r.position)
     at = 0
     for r in rows:

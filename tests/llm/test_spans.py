@@ -56,7 +56,7 @@ def test_edges(spark):
     rows = [(1, passage, "x", 1), (2, "Own start here now. " + passage + " Own end.", "x", 2), (3, None, "x", 3), (4, "", "x", 4), (None, passage, "y", 5), (5, "clean  text.\n\n Untouched ", "x", 6), (1, passage, "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_removed string, _from int")
     got = spans.remove_repeats(df).collect()
-    assert len(got) == 7
+    assert len(got) == 7 and sorted(r._from for r in got) == [1, 1, 2, 3, 4, 5, 6]
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
