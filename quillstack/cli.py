@@ -70,7 +70,7 @@ class Views:
     def tree(self, secs: DataFrame | None = None) -> str:
         shown = sections.tree(self.sections if secs is None else secs)
         stats = constructs.section_stats(self.nodes)
-        own = constructs.notables(self.nodes).withColumn("tag", html_tag(F.col("raw"))).groupBy("doc_id", "sec_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "kind", "line_start", "line_end", "variant", "headers", "language", "fenced", "ref_id", "label", "tag"))).alias("own"))
+        own = constructs.notables(self.nodes).withColumn("tag", html_tag(F.col("raw"))).groupBy("doc_id", "sec_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "kind", "line_start", "line_end", "variant", "headers", "language", "fenced", "ref_id", "label", "number", "tag"))).alias("own"))
         rows = self.rows(shown.join(stats, ["doc_id", "sec_id"], "left").join(own, ["doc_id", "sec_id"], "left"), "sec_id")
         for r in rows:
             r["note"] = render.annotation([n.asDict() for n in r["own"] or []], {k: r[k] or 0 for k in STATS}, r["key_terms"] or [])

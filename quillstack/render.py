@@ -82,7 +82,8 @@ def annotation(nodes: list[dict], stats: dict, key_terms: list[str]) -> str:
             continue
         text = ", ".join(map(piece, shown))
         label = LABELS[kind]
-        parts.append(f"{len(shown)} {label}{'' if label == 'math' else plural(len(shown))} {text}" if label else text)
+        count = sum(n["number"] or 0 for n in shown) if kind == "definition_list" else len(shown)
+        parts.append(f"{count} {label}{'' if label == 'math' else plural(count)} {text}" if label else text)
     if stats.get("tasks"):
         parts.append(f"{stats['tasks']} task{plural(stats['tasks'])} ({stats['tasks_checked']} done)")
     for name, label in (("wiki_links", "wiki"), ("wiki_embeds", "embed"), ("mentions", "mention"), ("issue_refs", "issue"), ("commit_refs", "commit"), ("emojis", "emoji")):

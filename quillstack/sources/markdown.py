@@ -406,6 +406,8 @@ class Parser:
             if node.kind == "list_item" and node.kids and node.kids[0].attributes.get("_task") is not None:
                 node.kind = "task_item"
                 node.attributes["checked"] = node.kids[0].attributes["_task"]
+            if node.kind == "definition_list":
+                node.attributes["number"] = sum(k.kind == "definition_term" for k in node.kids)
             if node.kind == "table":
                 node.attributes["headers"] = [c.attributes["_text"] for c in node.kids[0].kids]
 

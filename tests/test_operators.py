@@ -128,6 +128,7 @@ def test_render():
     zero = dict.fromkeys(constructs.COUNTERS, 0)
     assert render.summary_lines(zero) == [] and render.summary_lines(zero | {"callouts": 5, "tasks": 1, "tasks_checked": 1, "mentions": 2}) == ["5 callouts", "1 task (1 done)", "2 @mentions"]
     assert render.annotation([{"kind": "callout", "variant": "note", "line_start": 10}, {"kind": "callout", "variant": "warning", "line_start": 20}], {}, []) == "note :10, warning :20"
+    assert render.annotation([{"kind": "definition_list", "number": 3, "line_start": 7}], {}, []) == "3 terms :7"
     assert render.annotation([], {"wiki_embeds": 2}, ["x"]) == "2 embeds" and render.annotation([], {}, ["a", "b"]) == "a, b"
 
 
