@@ -36,6 +36,20 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+_PARSED: dict = {}
+
+
+def parsed(spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """The nodes of a corpus, parsed once in a session and kept for its later queries.
+
+    Kept in memory and on disk by Spark; what is lost or cleared is parsed again.
+    """
+    key = spark.sparkContext.applicationId, sf_dir, build.__name__
+    if key not in _PARSED:
+        _PARSED[key] = corpus.markdown_nodes(build(spark, sf_dir)).persist()
+    return _PARSED[key]
+
+
 # --- text functions and the inline scan ---
 
 
@@ -110,8 +124,7 @@ secs AS (
     f"WITH {_TURNS} SELECT doc_id, 'conversation_' || doc_id || '.md' AS filename, count(*) AS sections, CAST(sum(own_tokens * level) AS BIGINT) AS total_tokens, CAST(sum(own_tokens) AS BIGINT) AS total_tokens_exact FROM secs GROUP BY doc_id",
 )
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpora.conversations(spark, sf_dir)
-    nodes = corpus.markdown_nodes(docs)
+    docs, nodes = corpora.conversations(spark, sf_dir), parsed(spark, sf_dir, corpora.conversations)
     return constructs.inventory(docs, nodes, sections.sections(nodes)).select("doc_id", "filename", "sections", "total_tokens", "total_tokens_exact")
 
 
@@ -120,8 +133,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_TURNS} SELECT count(DISTINCT doc_id) AS files, count(*) AS sections, CAST(sum(own_tokens * level) AS BIGINT) AS total_tokens FROM secs",
 )
 def inventory_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpora.conversations(spark, sf_dir)
-    nodes = corpus.markdown_nodes(docs)
+    docs, nodes = corpora.conversations(spark, sf_dir), parsed(spark, sf_dir, corpora.conversations)
     return constructs.totals(constructs.inventory(docs, nodes, sections.sections(nodes))).select("files", "sections", "total_tokens")
 
 
@@ -130,24 +142,24 @@ def inventory_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_TURNS} SELECT doc_id, CAST(sec_id AS INTEGER) AS sec_id, parent_id, level, title, CAST(own_tokens AS BIGINT) AS own_tokens, CAST(CASE WHEN level = 1 THEN sum(own_tokens) OVER (PARTITION BY doc_id) ELSE own_tokens END AS BIGINT) AS tokens FROM secs",
 )
 def conversation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sections.sections(corpus.markdown_nodes(corpora.conversations(spark, sf_dir)))
+    found = sections.sections(parsed(spark, sf_dir, corpora.conversations))
     return found.select("doc_id", "sec_id", "parent_id", "level", "title", "own_tokens", "tokens")
 
 
 @query("breadcrumbs", f"WITH {_TURNS} SELECT doc_id, CAST(sec_id AS INTEGER) AS sec_id, CASE WHEN level = 1 THEN title ELSE 'Conversation ' || doc_id || ' > ' || title END AS breadcrumb FROM secs")
 def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.breadcrumbs(sections.sections(corpus.markdown_nodes(corpora.conversations(spark, sf_dir))))
+    return sections.breadcrumbs(sections.sections(parsed(spark, sf_dir, corpora.conversations)))
 
 
 @query("find_section", f"WITH {_TURNS} SELECT doc_id, CAST(min(sec_id) AS INTEGER) AS sec_id, min_by(title, sec_id) AS title FROM secs WHERE contains(lower(title), 'assistant') GROUP BY doc_id")
 def find_section(spark: SparkSession, sf_dir: str) -> DataFrame:
-    secs = sections.sections(corpus.markdown_nodes(corpora.conversations(spark, sf_dir)))
+    secs = sections.sections(parsed(spark, sf_dir, corpora.conversations))
     return sections.find(secs, "ASSISTANT").select("doc_id", "sec_id", "title")
 
 
 @query("search", "WITH " + _TURNS + ", hits AS (SELECT conv_id AS doc_id, k + 1 AS sec_id, title, contains(lower(title), 'ing the') AS in_title, contains(lower(text), 'ing the') AS in_content FROM turns) SELECT doc_id, CAST(sec_id AS INTEGER) AS sec_id, title, in_title, in_content FROM hits WHERE in_title OR in_content")
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = corpus.markdown_nodes(corpora.conversations(spark, sf_dir))
+    nodes = parsed(spark, sf_dir, corpora.conversations)
     return search.search(sections.sections(nodes), nodes, "Ing The").select("doc_id", "sec_id", "title", "in_title", "in_content")
 
 
@@ -160,23 +172,23 @@ secs AS (SELECT r_regionkey AS doc_id, 1 AS sec_id, CAST(NULL AS INTEGER) AS par
 
 @query("outline", f"WITH {_NATIONS} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sec_id AS INTEGER) AS sec_id, CAST(parent_id AS INTEGER) AS parent_id, CAST(level AS INTEGER) AS level, title FROM secs")
 def region_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.sections(corpus.markdown_nodes(corpora.regions(spark, sf_dir))).select("doc_id", "sec_id", "parent_id", "level", "title")
+    return sections.sections(parsed(spark, sf_dir, corpora.regions)).select("doc_id", "sec_id", "parent_id", "level", "title")
 
 
 @query("section_filter", f"WITH {_NATIONS} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sec_id AS INTEGER) AS sec_id, title FROM secs WHERE sec_id >= 2")
 def section_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    secs = sections.sections(corpus.markdown_nodes(corpora.regions(spark, sf_dir)))
+    secs = sections.sections(parsed(spark, sf_dir, corpora.regions))
     return sections.subtree(secs, "nations").select("doc_id", "sec_id", "title")
 
 
 @query("section_lines", f"WITH {_NATIONS}, last AS (SELECT doc_id, max(sec_id) AS m FROM secs GROUP BY doc_id) SELECT CAST(p.doc_id AS BIGINT) AS doc_id, CAST(sec_id AS INTEGER) AS sec_id, CAST(sec_id * 4 - 7 AS INTEGER) AS line_start FROM p UNION ALL SELECT CAST(r_regionkey AS BIGINT), 1, 1 FROM region UNION ALL SELECT CAST(r_regionkey AS BIGINT), 2, 3 FROM region")
 def section_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.sections(corpus.markdown_nodes(corpora.regions(spark, sf_dir))).select("doc_id", "sec_id", "line_start")
+    return sections.sections(parsed(spark, sf_dir, corpora.regions)).select("doc_id", "sec_id", "line_start")
 
 
 @query("key_terms", f"WITH {_NATIONS} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sec_id AS INTEGER) AS sec_id, title || ',' || n_nationkey AS terms FROM p")
 def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    secs = sections.sections(corpus.markdown_nodes(corpora.regions(spark, sf_dir)))
+    secs = sections.sections(parsed(spark, sf_dir, corpora.regions))
     return secs.where("sec_id > 2").select("doc_id", "sec_id", F.array_join("key_terms", ",").alias("terms"))
 
 
@@ -187,13 +199,13 @@ def key_terms_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("expand", "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, 2 AS sec_id, 'Nations' AS title, '' AS content, 0 AS more FROM region")
 def expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    secs = sections.sections(corpus.markdown_nodes(corpora.regions(spark, sf_dir)))
+    secs = sections.sections(parsed(spark, sf_dir, corpora.regions))
     return sections.expand(secs, "nations").select("doc_id", "sec_id", "title", F.array_join("lines", "\n").alias("content"), "more")
 
 
 @query("tree", f"WITH {_NATIONS} SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(sec_id AS INTEGER) AS sec_id, lead(sec_id) OVER (PARTITION BY doc_id, coalesce(parent_id, 0) ORDER BY sec_id) IS NULL AS last FROM secs")
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.tree(sections.sections(corpus.markdown_nodes(corpora.regions(spark, sf_dir)))).select("doc_id", "sec_id", "last")
+    return sections.tree(sections.sections(parsed(spark, sf_dir, corpora.regions))).select("doc_id", "sec_id", "last")
 
 
 # --- order corpus: blocks by construction ---
@@ -202,7 +214,7 @@ _LINES = "li AS (SELECT l_orderkey AS doc_id, count(*) AS n, sum(CASE WHEN l_lin
 
 
 def _order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.markdown_nodes(corpora.orders(spark, sf_dir))
+    return parsed(spark, sf_dir, corpora.orders)
 
 
 @query("summary", f"WITH {_LINES} SELECT doc_id, CAST(1 AS BIGINT) AS callouts, CAST(1 AS BIGINT) AS tables, CAST(1 AS BIGINT) AS code_blocks, CAST(n AS BIGINT) AS tasks, CAST(done AS BIGINT) AS tasks_checked, CAST(1 AS BIGINT) AS issue_refs, CAST(0 AS BIGINT) AS wiki_links FROM o")
@@ -249,7 +261,7 @@ def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ref_edges", f"WITH {_LINES} SELECT 'order_' || doc_id || '.md' AS filename, 'customer_' || o_custkey || '.md' AS target FROM o")
 def ref_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpora.orders(spark, sf_dir)
-    return references.edges(references.references(corpus.markdown_nodes(docs)), docs).select("filename", "target")
+    return references.edges(references.references(_order_nodes(spark, sf_dir)), docs).select("filename", "target")
 
 
 @query("hunks", f"WITH {_LINES} SELECT doc_id, CAST(unnest([4, 6, n + 9, n + 10, n + 11]) AS INTEGER) AS line FROM o")
@@ -291,7 +303,7 @@ def notable_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ref_back_edges", f"WITH {_LINES} SELECT 'customer_' || o_custkey || '.md' AS target, count(*) AS files FROM o GROUP BY 1")
 def ref_back_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpora.orders(spark, sf_dir)
-    back = references.back_edges(references.references(corpus.markdown_nodes(docs)), docs)
+    back = references.back_edges(references.references(_order_nodes(spark, sf_dir)), docs)
     return back.groupBy("target").agg(F.count("*").alias("files"))
 
 
@@ -302,7 +314,7 @@ def node_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("search_children", "WITH " + _TURNS + " SELECT DISTINCT conv_id AS doc_id, 1 AS sec_id, CAST(greatest(n - 5, 0) AS BIGINT) AS more, CAST(least(n, 5) AS INTEGER) AS shown FROM turns")
 def search_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = corpus.markdown_nodes(corpora.conversations(spark, sf_dir))
+    nodes = parsed(spark, sf_dir, corpora.conversations)
     secs = sections.sections(nodes)
     hits = search.search(secs, nodes, "conversation").where("in_title")
     return search.with_children(hits, secs).select("doc_id", "sec_id", "more", F.size("children").alias("shown"))
@@ -331,8 +343,7 @@ def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("json_export", f"WITH {_TURNS} SELECT 'conversation_' || doc_id || '.md' AS filename, CAST(sum(own_tokens * level) AS BIGINT) AS tokens, CAST(count(*) - 1 AS BIGINT) AS children FROM secs GROUP BY doc_id")
 def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpora.conversations(spark, sf_dir)
-    nodes = corpus.markdown_nodes(docs)
+    docs, nodes = corpora.conversations(spark, sf_dir), parsed(spark, sf_dir, corpora.conversations)
     out = export.documents_json(docs, nodes, sections.sections(nodes), references.references(nodes))
-    parsed = F.from_json("json", "tokens long, sections array<struct<children array<struct<title string>>>>")
-    return out.select("filename", parsed.alias("j")).select("filename", "j.tokens", F.coalesce(F.size(F.col("j.sections")[0]["children"]), F.lit(0)).cast("long").alias("children"))
+    fields = F.from_json("json", "tokens long, sections array<struct<children array<struct<title string>>>>")
+    return out.select("filename", fields.alias("j")).select("filename", "j.tokens", F.coalesce(F.size(F.col("j.sections")[0]["children"]), F.lit(0)).cast("long").alias("children"))
