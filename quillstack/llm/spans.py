@@ -113,6 +113,8 @@ def remove_repeats(docs: DataFrame, min_sentences: int = 2, min_words: int = 20,
         h, doc, crc, i, j = (np.concatenate(x) for x in rows)
         order = np.lexsort((j, i, crc, doc, h))
         h, doc, crc, i, j = (x[order] for x in (h, doc, crc, i, j))
+        new = np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in (h, doc, crc, i, j)])))
+        h, doc, crc, i, j = (x[new] for x in (h, doc, crc, i, j))  # rows with the same id and text are one document
         first = np.concatenate(([True], h[1:] != h[:-1]))
         rest = np.flatnonzero(~first)
         rest = rest[np.lexsort((i[rest], crc[rest], doc[rest]))]
@@ -132,13 +134,19 @@ def remove_repeats(docs: DataFrame, min_sentences: int = 2, min_words: int = 20,
         yield from out.to_batches(max_chunksize=50_000)
 
     def later(batches):
-        """Of a stream sorted by span and place: all but the first of each span."""
+        """Of a stream sorted by span and place: all but the first place of each span, which repeated rows share."""
         last = None
         for batch in batches:
-            h = batch.column(0).to_numpy()
-            same = np.concatenate(([len(h) > 0 and last is not None and h[0] == last], h[1:] == h[:-1])) if len(h) else np.empty(0, bool)
-            last = h[-1] if len(h) else last
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(same)).columns[1:], ["doc", "crc", "i", "j"])
+            if not len(batch):
+                continue
+            rows = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in range(5)])
+            new = np.concatenate(([last is None or rows[0, 0] != last[0]], rows[0, 1:] != rows[0, :-1]))
+            at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+            lead = rows[:, at]
+            if last is not None:
+                lead[:, at < 0] = last[:, None]
+            last = lead[:, -1]
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array((rows != lead).any(axis=0))).columns[1:], ["doc", "crc", "i", "j"])
 
     found = written(key.mapInArrow(spans, "h long, doc long, crc long, i int, j int"), "spans-local")
     across = found.where("h IS NOT NULL").repartition("h").sortWithinPartitions("h", "doc", "crc", "i", "j").mapInArrow(later, "doc long, crc long, i int, j int")

@@ -65,6 +65,19 @@ def test_edges(spark):
     assert spans.remove_repeats(df.where("false")).count() == 0
 
 
+def test_repeated_rows_keep_their_text(spark):
+    passage = "One two three four five six seven. Eight nine ten eleven twelve thirteen fourteen. A b c d e f g h i j k."
+    rows = [(1, passage), (1, passage), (1, passage + " Own end."), (2, "Own start here now. " + passage)]
+    for n in (1, 4):  # in one task and in several
+        got = spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+        assert sorted((r.doc_id, r.n_removed) for r in got) in ([(1, 0), (1, 0), (1, 3), (2, 3)], [(1, 0), (1, 3), (1, 3), (2, 3)])
+        assert any(passage in r.text for r in got)
+    alone = spark.createDataFrame(rows[:2] * 2 + rows[3:], "doc_id long, text string")
+    for n in (1, 4):
+        got = spans.remove_repeats(alone.repartition(n)).collect()
+        assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == [(1, passage, 0)] * 4 + [(2, "Own start here now.", 3)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab .!?\n\té", max_size=80))
 def test_sentences_cover_the_text(text):
