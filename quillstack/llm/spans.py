@@ -6,6 +6,12 @@ directions make the spans of a repeated passage cover it to its last sentence, w
 the passage starts. All spans are hashed and joined globally; of equal spans the first,
 by doc_id and place, stays, and the sentences of the others are removed.
 
+A sentence of more than REACH words is several units, each of which counts as a sentence
+in runs: of any REACH neighbouring places between its words, the one with the least hash
+of the two words at it is a cut. Cuts depend on the words nearby only, so that a passage
+is cut alike wherever it stands, but for its first and last REACH words where the text
+around it runs on without a sentence mark.
+
 A task drops its own repeats of a span before the shuffle, so a span that very many
 documents share costs one row for each task, and the rows of a span are then read as a
 sorted stream, never as a group in memory.
@@ -23,13 +29,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import forget, written
-from .shingles import mixed, small
+from .shingles import mixed, small, span_hashes
 
 _END = re.compile(r"(?<=[.!?])[ \t\r\f\v]+|[ \t\r\f\v]*\n\s*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Spans that a task holds before it sends them on.
 HELD = 500_000
+#: Words of the longest unit.
+REACH = 12
+#: White space of str.split().
+_WHITE = np.fromiter((chr(c).isspace() for c in range(0x3002)), bool)
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -40,10 +50,43 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
+def cuts_within(text: str, starts: np.ndarray) -> np.ndarray:
+    """Where long sentences, which begin at starts, are cut: places of words, in order."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    b = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.concatenate(([False], ~_WHITE[np.minimum(b, 0x3001)], [False]))
+    first = np.flatnonzero(inside[1:] & ~inside[:-1])
+    if len(first) <= REACH:
+        return np.empty(0, np.int64)
+    words = span_hashes(b, first, np.flatnonzero(inside[:-1] & ~inside[1:]))
+    pairs = mixed(words[:-1] * _BASE + words[1:])  # at the place before each word but the first
+    owner = np.searchsorted(starts, first, side="right")
+    across = np.concatenate(([0], np.cumsum(owner[1:] != owner[:-1])))
+    whole = np.flatnonzero(across[REACH:] == across[:-REACH])  # windows in one sentence
+    windows = np.lib.stride_tricks.sliding_window_view(pairs, REACH)
+    parts = (whole[at : at + HELD // REACH] for at in range(0, len(whole), HELD // REACH))
+    least = [p + REACH - windows[p, ::-1].argmin(axis=1) for p in parts]  # the last of equals
+    return first[np.unique(np.concatenate(least))] if least else np.empty(0, np.int64)
+
+
+def units(text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Start and end of each unit, which together cover the text, and the number of the sentence that it is in."""
+    places = sentences(text)
+    starts = np.fromiter((a for a, _ in places), np.int64, len(places))
+    more = cuts_within(text, starts)
+    if not len(more):
+        return places, np.arange(len(places))
+    cuts = np.union1d(starts, more)
+    both = [*cuts.tolist(), len(text)]
+    return list(zip(both[:-1], both[1:], strict=True)), np.searchsorted(starts, cuts, side="right") - 1
+
+
 def spans_of(text: str, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first sentence and end sentence (exclusive) of each span."""
+    """Hash, first unit and end unit (exclusive) of each span."""
     none = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    parts = [text[a:b].split() for a, b in sentences(text)]
+    parts = [text[a:b].split() for a, b in units(text)[0]]
     n = len(parts)
     if n < min_sentences:
         return none
@@ -68,20 +111,20 @@ def spans_of(text: str, min_sentences: int, min_words: int) -> tuple[np.ndarray,
 
 
 def without(text: str, gone: np.ndarray) -> tuple[str, int, int]:
-    """The text without the sentences marked in gone (start, end pairs), their number and the words removed."""
-    places = sentences(text)
+    """The text without the units marked in gone (start, end pairs), the number of sentences that lose words, and the words removed."""
+    places, owner = units(text)
     flags = np.zeros(len(places) + 1, np.int64)
     np.add.at(flags, gone[0], 1)
     np.add.at(flags, gone[1], -1)
     flags = np.cumsum(flags)[:-1] > 0
     lost = sum(len(text[a:b].split()) for (a, b), f in zip(places, flags, strict=True) if f)
     kept = "".join(text[a:b] for (a, b), f in zip(places, flags, strict=True) if not f)
-    return (kept.rstrip() if flags[-1] else kept), int(flags.sum()), lost
+    return (kept.rstrip() if flags[-1] else kept), len(np.unique(owner[flags])), lost
 
 
 def remove_repeats(docs: DataFrame, min_sentences: int = 2, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the text column rewritten, and n_removed (sentences) and
-    words_removed added, in place of columns that have these names.
+    """The rows of docs with the text column rewritten, and n_removed (sentences that
+    lose words) and words_removed added, in place of columns that have these names.
 
     Null text: stays null, nothing removed. Texts without a repeated span: unchanged to
     the byte. A text of repeated spans only: empty. Rows with the same id and text are

@@ -78,6 +78,34 @@ def test_repeated_rows_keep_their_text(spark):
         assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == [(1, passage, 0)] * 4 + [(2, "Own start here now.", 3)]
 
 
+def test_long_sentences(spark):
+    rnd = random.Random(3)
+
+    def words(n):
+        return " ".join("".join(rnd.choice("abcdeÉ") for _ in range(5)) for _ in range(n))
+
+    whole, inner, behind = words(60), words(60), words(30) + ". " + words(30) + "."
+    rows = [(1, whole), (2, whole.upper()), (3, f"{words(30)} {inner} {words(30)}"), (4, f"{words(40)} {inner} {words(9)}. Own end."), (5, behind), (6, f"{words(15)} {behind}")]
+    rows += [(7, "Short one here. " + words(20) + ". Own."), (8, words(300))]
+    by = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for k in (1, 3, 5, 7, 8):
+        assert by[k].text == dict(rows)[k] and by[k].n_removed == 0
+    assert by[2].text == "" and by[2].n_removed == 1 and by[2].words_removed == 60
+    own = rows[3][1].replace(inner, "").split()
+    left = by[4].text.split()
+    assert by[4].words_removed >= 60 - 2 * spans.REACH and by[4].n_removed == 1
+    assert [w for w in left if w not in inner.split()] == own
+    assert by[6].words_removed >= 60 - spans.REACH and by[6].n_removed == 2 and by[6].text.startswith(rows[5][1][:80])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="aB .\n\té\u2003İ", max_size=200))
+def test_units_cover_the_text_and_are_short(text):
+    places, owner = spans.units(text)
+    assert "".join(text[a:b] for a, b in places) == text and all(len(text[a:b].split()) <= spans.REACH for a, b in places)
+    assert len(owner) == len(places) and {a for a, _ in spans.sentences(text)} <= {a for a, _ in places}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab .!?\n\té", max_size=80))
 def test_sentences_cover_the_text(text):
