@@ -35,6 +35,10 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in class, id and role that mark what isn't the article: whole words, and beginnings.
 HINTS = frozenset("ad ads adv advert adverts advertisement advertising adslot sponsor sponsored promo promoted promotion sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs pager pagination footer foot copyright masthead topbar cookie cookies consent gdpr notice notices banner alert popup modal overlay paywall subscribe subscription newsletter signup login share sharing social related recommended recommendations trending popular widget comment comments commentlist discussion disqus respond reply replies tags toolbar skip complementary contentinfo search hidden".split())
 STARTS = ("advert", "sidebar", "comment", "cookie", "breadcrumb", "newsletter", "sponsor", "pagination", "navbar", "navigation")
+# What follows these in a class is about the page or its subject, not what the element is (has-sidebar, tag-search).
+ABOUT = frozenset("has have with without no category tag".split())
+# Of hinted elements, those that are often longer than the article.
+LONG = ("comment", "discussion", "disqus", "respond", "repl", "cookie", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "paywall")
 SITE_HEADERS = frozenset("header siteheader pageheader".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
@@ -43,20 +47,26 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("children", "classes", "parent", "score", "skipped", "tag")
+    __slots__ = ("children", "classes", "hint", "parent", "score", "skipped", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, classes: str = "", skipped: bool = False):
-        self.tag, self.parent, self.classes, self.skipped = tag, parent, classes, skipped
+    def __init__(self, tag: str, parent: Node | None, classes: str = "", skipped: bool = False, hint: str = ""):
+        self.tag, self.parent, self.classes, self.skipped, self.hint = tag, parent, classes, skipped or bool(hint), hint
         self.children: list = []
         self.score = 0.0
 
 
-def _describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised classes, and whether the element is skipped."""
+def _words(name: str) -> list[str]:
+    """Words of a class, id or role that say what the element is."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    return words[: next((k for k, w in enumerate(words[:-1]) if w in ABOUT), len(words))]
+
+
+def _describe(tag: str, attributes: str) -> tuple[str, bool, str]:
+    """Generalised classes, whether the element is skipped, and the words that hint at its not being of the article."""
     skipped = tag in SKIPPED
     if not attributes or attributes.isspace():
-        return "", skipped
-    classes, named = "", ""
+        return "", skipped, ""
+    classes, named, hint = "", "", ""
     for m in _ATTRIBUTE.finditer(attributes):
         name = (m[1] or "hidden").lower()
         value = m[2] or m[3] or m[4] or ""
@@ -68,23 +78,66 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool]:
         elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             skipped = True
     if named and tag not in ("body", "html", "main", "article"):
-        words = [w.lower() for w in _WORD.findall(named)]
-        skipped = skipped or any(w in HINTS or w.startswith(STARTS) for w in words) or tag != "header" and any(w in SITE_HEADERS for w in words) and not any(w in ("article", "entry", "post", "story") for w in words)
+        words = [w for n in named.split() for w in _words(n)]
+        found = {w for w in words if w in HINTS or w.startswith(STARTS)}
+        if tag != "header" and not any(w in ("article", "entry", "post", "story") for w in words):
+            found |= SITE_HEADERS.intersection(words)
+        hint = " ".join(sorted(found))
     elif named and tag == "article":
         skipped = skipped or any(w.startswith("comment") for w in (x.lower() for x in _WORD.findall(named)))
-    return ".".join(sorted({re.sub(r"\d+", "#", c.lower()) for c in classes.split()})[:3]), skipped
+    return ".".join(sorted({re.sub(r"\d+", "#", c.lower()) for c in classes.split()})[:3]), skipped, hint
+
+
+def _judge(root: Node) -> None:
+    """Hinted elements stay skipped only where the page has other running text to be its article.
+
+    Elements with the same hints, within elements with the same hints, are judged together,
+    those with most text first: they count as part of the page where they hold over four
+    times the running text of what does so far (those in LONG: twenty times).
+    """
+    kinds: dict[tuple[int, str], int] = {}
+    above, hints, held = [-1], [""], [0]
+    nodes: list[tuple[Node, int]] = []
+    todo: list[tuple[Node, int, bool]] = [(root, 0, False)]
+    while todo:
+        node, kind, header = todo.pop()
+        for c in node.children:
+            if isinstance(c, str):
+                held[kind] += 0 if header else len("".join(c.split()))
+            elif c.hint:
+                if (kind, c.hint) not in kinds:
+                    kinds[kind, c.hint] = len(held)
+                    above.append(kind)
+                    hints.append(c.hint)
+                    held.append(0)
+                own = kinds[kind, c.hint]
+                nodes.append((c, own))
+                todo.append((c, own, header))
+            elif not c.skipped and c.tag != "a":
+                todo.append((c, kind, c.tag not in HEADINGS and (header or c.tag == "header")))
+    kept = {0}
+    long = [any(w.startswith(LONG) for w in h.split()) for h in hints]
+    for k in sorted(range(1, len(held)), key=lambda k: (long[k], -held[k], k)):
+        if k not in kept and held[k] > (20 if long[k] else 4) * sum(held[x] for x in kept):
+            while k not in kept:
+                kept.add(k)
+                k = above[k]
+    for node, k in nodes:
+        node.skipped = k not in kept
 
 
 def parse(html: str) -> Node:
     """The element tree; text is in children as strings. Whatever the markup, no text is lost."""
     root = Node("html", None)
-    now, at = root, 0
+    now, at, hinted = root, 0, False
     while True:
         m = _TAG.search(html, at)
         if m is None:
             rest = html[at:]
             if rest:
                 now.children.append(rest)
+            if hinted:
+                _judge(root)
             return root
         if m.start() > at:
             now.children.append(html[at : m.start()])
@@ -119,8 +172,10 @@ def parse(html: str) -> Node:
                 up = up.parent
             if up is not None and up.tag in ends:
                 now = up.parent
-        classes, skipped = _describe(tag, m[3])
-        node = Node(tag, now, classes, skipped)
+        classes, skipped, hint = _describe(tag, m[3])
+        hint = "" if skipped else hint
+        hinted = hinted or hint != ""
+        node = Node(tag, now, classes, skipped, hint)
         now.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|</{tag}\Z", re.I).search(html, at)

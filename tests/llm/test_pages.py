@@ -30,6 +30,21 @@ def test_main_text(html, want):
     assert pages.main_text(html, None)[0] == want
 
 
+@pytest.mark.parametrize("name", ["id='page' class='has-sidebar'", "class='content-with-banner'", "class='post category-popular'", "class='entry tag-search'", "class='two-column sidebar-right'", "class='overflow-hidden'", "class='post comments-open'"])
+def test_wrappers_with_hints(name):
+    side = "<div class='sidebar'><p>Short, other text.</p></div>"
+    html = f"<body><div class='top'>Site</div><div {name}><div class='story'><p>{WORDS}</p><p>{WORDS} More.</p></div>{side}</div></body>"
+    for path in (None, pages.candidates(pages.parse(html), 1) and pages.path_of(pages.candidates(pages.parse(html), 1)[0][1])):
+        assert pages.main_text(html, path)[0] == f"{WORDS}\n{WORDS} More."
+
+
+def test_long_comments_and_many_widgets():
+    html = f"<div class='story'><p>{WORDS}</p></div><div class='comments'>{f'<p>{WORDS} No.</p>' * 9}</div>"
+    assert pages.main_text(html, None)[0] == WORDS
+    html = f"<div class='page'>{''.join(f'<div class=widget><p>{WORDS} {k}</p></div>' for k in range(4))}</div>"
+    assert pages.main_text(html, 'div.page')[0].count(WORDS) == 4
+
+
 def test_deep_and_broken():
     deep = "<div>" * 20000 + "x" + "</p></span>" * 10
     assert pages.main_text(deep, None)[0] == "x"
