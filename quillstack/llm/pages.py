@@ -85,7 +85,7 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool, str]:
         hint = " ".join(sorted(found))
     elif named and tag == "article":
         skipped = skipped or any(w.startswith("comment") for w in (x.lower() for x in _WORD.findall(named)))
-    return ".".join(sorted({re.sub(r"\d+", "#", c.lower()) for c in classes.split()})[:3]), skipped, hint
+    return ".".join(sorted({re.sub(r"\d+", "#", c.lower()) for c in classes.split()})), skipped, hint
 
 
 def _judge(root: Node) -> None:

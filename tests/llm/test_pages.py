@@ -45,6 +45,13 @@ def test_long_comments_and_many_widgets():
     assert pages.main_text(html, 'div.page')[0].count(WORDS) == 4
 
 
+def test_paths_tell_all_classes_apart():
+    html = f"<div class='row'><div class='col col-md-8 col-sm-12 story'><p>{WORDS}</p></div><div class='col col-md-4 col-sm-12 teaser'><p>{WORDS[:40]}</p></div></div>"
+    best = pages.candidates(pages.parse(html), 1)[0][1]
+    assert pages.path_of(best) == "div.row/div.col.col-md-#.col-sm-#.story"
+    assert pages.main_text(html, pages.path_of(best))[0] == WORDS
+
+
 def test_deep_and_broken():
     deep = "<div>" * 20000 + "x" + "</p></span>" * 10
     assert pages.main_text(deep, None)[0] == "x"
