@@ -96,15 +96,15 @@ def pack(docs: DataFrame, capacity: int = 2048, source_limit: int = 3, group_siz
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     cluster = F.xxhash64(F.col(cluster_col)) if cluster_col else F.xxhash64(F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " ")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), cluster.alias("cluster"), n_words(text).cast("long").alias("words"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), cluster.alias("cluster"), n_words(text).cast("long").alias("words"), F.monotonically_increasing_id().alias("salt"))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("words") / capacity), F.lit(1).cast("long")) - 1)))
     start = F.col("piece") * capacity
-    pieces = pieces.select("doc_id", "source", "cluster", "piece", start.alias("start_word"), F.least(F.lit(capacity).cast("long"), F.col("words") - start).alias("n_words"))
+    pieces = pieces.select("doc_id", "source", "cluster", "piece", start.alias("start_word"), F.least(F.lit(capacity).cast("long"), F.col("words") - start).alias("n_words"), "salt")
     pieces = written(pieces.withColumn("source_key", F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit("")))), "packing-pieces")
 
     some = pieces.where("n_words > 0")
     groups = max(1, math.ceil(some.count() / group_size))
-    some = some.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.lit(7)), F.lit(groups)))
+    some = some.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "salt", F.lit(7)), F.lit(groups)))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pack_group(pdf, capacity, source_limit)

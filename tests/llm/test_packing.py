@@ -43,3 +43,12 @@ def test_pack(spark):
     pairs = [(r.bin_id, r.cluster) for r in got if r.n_words]
     assert len(set(pairs)) == len(pairs)
     assert packing.pack(df.where("false")).count() == 0
+
+
+def test_hot_ids_and_equal_rows_are_dealt_out(spark):
+    rows = [(None, f"a b c {k}", "x") for k in range(400)] + [(7, "one two three", "y")] * 400
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), group_size=50).collect()
+    assert len(got) == 800
+    for doc in (None, 7):
+        groups = [r.bin_id >> 32 for r in got if r.doc_id == doc]
+        assert len(groups) == 400 and max(map(groups.count, set(groups))) < 100
