@@ -1,7 +1,9 @@
 """Words and word shingles as 64-bit hashes, vectorised over the bytes of an Arrow column.
 
-A word's hash is a polynomial of its bytes modulo 2**64, got from prefix sums over the
-whole buffer, then mixed. No Python object is made for a text or a word.
+A word's hash is a sum over its bytes of pseudo-random numbers, one for each byte and place
+in the word, got from prefix sums over the whole buffer and mixed with its length. (A
+polynomial modulo 2**64 would give some long repetitive words one hash, whatever its base.)
+No Python object is made for a text or a word.
 """
 
 from __future__ import annotations
@@ -11,26 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_BASE = 0x5851F42D4C957F2D
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Bytes of text that are worked on at a time (more for a single longer text).
 CHUNK = 1 << 18
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 to n - 1, modulo 2**64."""
-    key = f"{base}"
-    if key not in _powers or len(_powers[key]) < n:
-        p = np.full(max(n, CHUNK + 1), np.uint64(base))
-        p[0] = 1
-        np.multiply.accumulate(p, out=p)
-        if n > CHUNK + 1:
-            return p[:n]  # too large to keep
-        _powers[key] = p
-    return _powers[key][:n]
-
 
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * _A
@@ -81,10 +67,23 @@ def word_bounds(b: np.ndarray, bounds: np.ndarray, cuts: np.ndarray | None = Non
 
 
 def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes from starts to ends."""
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(b)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _power(pow(_BASE, -1, 1 << 64), len(b))[starts])
+    """Hashes of the elements (bytes or code points) from starts to ends, which are in order and don't overlap."""
+    n = len(b)
+    at = np.arange(n)
+    first = np.zeros(n, np.int64)
+    first[starts] = starts
+    x = (at - np.maximum.accumulate(first)).astype(np.uint64)  # place in the span; of no meaning between spans
+    x <<= np.uint64(21)
+    x |= b
+    x += np.uint64(1)
+    x *= _A
+    x ^= x >> np.uint64(32)
+    x *= _B
+    x ^= x >> np.uint64(29)
+    x *= _C
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(x, out=sums[1:])
+    return mixed(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64) * _B)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -137,16 +137,52 @@ _SIGN = np.zeros(256, bool)
 _SIGN[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
 
 
+#: White space that pre-tokenizers drop, and normalizers that work within words, or on runs of white space, alone.
+_DROPS = ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+_INNER = ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents")
+
+
+def splits_at_white_space(rules: dict) -> bool:
+    """Whether a tokenizer, given by its rules, encodes what stands between white space on its own."""
+    first, normalizer = rules.get("pre_tokenizer") or {}, rules.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    if first.get("type") == "Sequence":
+        first = (first["pretokenizers"] or [{}])[0]
+    steps = normalizer["normalizers"] if normalizer["type"] == "Sequence" else [normalizer]
+    squeezes = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    keeps = {"type": "Split", "pattern": {"Regex": LETTERS_AND_SIGNS}, "behavior": "Removed", "invert": True}
+    return (first.get("type") in _DROPS or first == keeps) and all(s["type"] in _INNER or s == squeezes for s in steps)
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of so many places for each start, in a row."""
+    before = np.concatenate(([0], np.cumsum(sizes)))
+    return np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])
+
+
+def appended(bounds: np.ndarray, store: np.ndarray, n: int, sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """bounds and store, grown where needed, with entries of these sizes put behind the first n."""
+    end = int(bounds[n])
+    while n + len(sizes) + 1 > len(bounds):
+        bounds = np.concatenate((bounds, np.zeros_like(bounds)))
+    while end + len(values) > len(store):
+        store = np.concatenate((store, np.zeros_like(store)))
+    store[end : end + len(values)] = values
+    bounds[n + 1 : n + 1 + len(sizes)] = end + np.cumsum(sizes)
+    return bounds, store
+
+
 class WordEncoder:
     """A tokenizer whose text is cut into words without changing its ids.
 
     That holds for tokenizers whose pre-tokenizer drops white space, as the word
-    vocabulary's does: what stands between white space is then encoded on its own. If it
-    also keeps letters and signs apart, words are cut between these too, and if it lowers
-    case, A-Z count as a-z. Words are found and told apart (by 64-bit hashes of their
-    bytes) for a whole part of a column at once, the library encodes each distinct word
-    once, and ids are put together from these. Words remembered are bounded by `most`;
-    past that they start afresh.
+    vocabulary's does: what stands between white space is then encoded on its own. Others
+    (by_words is false) encode whole texts with the library. If the pre-tokenizer also
+    keeps letters and signs apart, words are cut between these too, and if it lowers
+    case, A-Z count as a-z. Words are found for a whole part of a column at once, looked up
+    by 64-bit hashes and compared byte by byte with the word remembered; a text with a word
+    that differs is encoded by the library. The library encodes each distinct word once,
+    and ids are put together from these. Words remembered are bounded by `most`; past that
+    they start afresh.
 
     Distinct words go to the library many in one text: those of letters between spaces,
     told apart again by the vocabulary's end-of-word tokens, others between a special
@@ -163,6 +199,7 @@ class WordEncoder:
         special = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.special = min(special, default=None)
         rules = json.loads(self.tokenizer.to_str())
+        self.by_words = splits_at_white_space(rules)
         self.cuts = LETTERS_AND_SIGNS in json.dumps(rules["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
         self.lowers = '"Lowercase"' in json.dumps(rules["normalizer"])
         self.forget()
@@ -171,6 +208,8 @@ class WordEncoder:
         self.numbers = Numbers(self.bits)
         self.arena = np.zeros(1 << 20, np.uint32)
         self.bounds = np.zeros(1 << 18, np.int64)
+        self.bytes = np.zeros(1 << 20, np.uint8)  # of the words, by number
+        self.byte_bounds = np.zeros(1 << 18, np.int64)
 
     def ids_of_text(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -203,20 +242,29 @@ class WordEncoder:
             for k in range(0, len(of_kind), 2000):
                 at = of_kind[k : k + 2000]
                 sizes, ids = self.ids_of_words([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], of > 0)
-                n, end = self.numbers.n, int(self.bounds[self.numbers.n])
-                while n + len(at) + 1 > len(self.bounds):
-                    self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
-                while end + len(ids) > len(self.arena):
-                    self.arena = np.concatenate((self.arena, np.zeros_like(self.arena)))
-                self.arena[end : end + len(ids)] = ids
-                self.bounds[n + 1 : n + 1 + len(at)] = end + np.cumsum(sizes)
+                own = raw[runs(starts[at], ends[at] - starts[at])]
+                self.bounds, self.arena = appended(self.bounds, self.arena, self.numbers.n, sizes, ids)
+                self.byte_bounds, self.bytes = appended(self.byte_bounds, self.bytes, self.numbers.n, ends[at] - starts[at], own)
                 self.numbers.add(hashes[at])
 
+    def differs(self, numbers: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bool:
+        """Whether a word isn't the one that its number stands for."""
+        at, sizes = self.byte_bounds[numbers], ends - starts
+        return not np.array_equal(self.byte_bounds[numbers + 1] - at, sizes) or not np.array_equal(self.bytes[runs(at, sizes)], raw[runs(starts, sizes)])
+
+    def whole_texts(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids and ids of the texts, each encoded by the library in one piece."""
+        rows = [np.append(self.ids_of_text(t or ""), np.uint32(end)) for t in column.to_pylist()]
+        return np.array([len(r) for r in rows], np.int64), np.concatenate(rows) if rows else np.empty(0, np.uint32)
+
     def encode(self, column: pa.Array, end: int):
         """For parts of a string column: (rows from, to, ids of each row, all ids); each text has the id `end` appended."""
         offsets, data = text_buffer(column)
         for first, last in chunks(offsets):
             low, high = int(offsets[first]), int(offsets[last])
+            if not self.by_words:
+                yield first, last, *self.whole_texts(column.slice(first, last - first), end)
+                continue
             raw, bounds = data[low:high], offsets[first : last + 1] - low
             if low == high:
                 yield first, last, np.ones(last - first, np.int64), np.full(last - first, end, np.uint32)
@@ -239,12 +287,15 @@ class WordEncoder:
                     where = np.flatnonzero(at < 0)[where]
                 self.learn(raw, starts[where], ends[where], new)
                 at = self.numbers.find(hashes)
+            if self.differs(at, raw, starts, ends):
+                yield first, last, *self.whole_texts(column.slice(first, last - first), end)
+                continue
             begin = self.bounds[at]
             sizes = self.bounds[at + 1] - begin
             before = np.concatenate(([0], np.cumsum(sizes)))
             ends_at = before[np.searchsorted(starts, bounds)]
             # The words' ids in a row, with the end id of each text put in.
-            source = np.repeat(begin - before[:-1], sizes) + np.arange(before[-1])
+            source = runs(begin, sizes)
             ids = np.insert(self.arena[source], ends_at[1:], np.uint32(end))
             yield first, last, np.diff(ends_at) + 1, ids
 

@@ -67,3 +67,10 @@ def test_one_of_each(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.text or "") for r in jaccard.one_of_each(df).collect())
     assert got == [(0, "q r s"), (0, "q r s"), (1, "A b c d e f g h"), (2, "z y x"), (5, ""), (6, "")]
+
+
+def test_long_repetitive_words_differ(spark):
+    one = "".join("ab"[bin(k).count("1") & 1] for k in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, one), (2, other), (3, one.upper())], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.similar_documents(df, k=3, percent=90).collect()} == {1: 1, 2: 2, 3: 1}

@@ -47,6 +47,45 @@ def test_words_give_the_same_ids(texts):
     assert got == want
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+
+
+def ids_by(encoder, texts):
+    import pyarrow as pa
+
+    got = []
+    for _, _, n, ids in encoder.encode(pa.array(texts, pa.string()), 2):
+        ends = np.cumsum(n)
+        got += [ids[a:b].tolist() for a, b in zip(ends - n, ends, strict=True)]
+    return got
+
+
+def test_words_of_one_polynomial_hash():
+    plain = Tokenizer.from_file(PATH)
+    one = thue_morse(2048)
+    texts = [one, one.translate(str.maketrans("ab", "ba"))]
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert want[0] != want[1] and ids_by(tokenfiles.WordEncoder(PATH), texts) == want
+
+
+def test_words_of_one_hash(monkeypatch):
+    plain = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(tokenfiles, "span_hashes", lambda b, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    texts = ["one two three", "four five", None, "", "one two four", "six"]
+    encoder = tokenfiles.WordEncoder(PATH)
+    for _ in range(2):
+        assert ids_by(encoder, texts) == [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_tokenizers_that_keep_white_space():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = tokenfiles.WordEncoder(path), Tokenizer.from_file(path)
+    texts = ["two  words", " a b\n c", None]
+    assert not encoder.by_words and tokenfiles.WordEncoder(PATH).by_words
+    assert ids_by(encoder, texts) == [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_write_and_read(spark):
     rows = [(5, "Hello World's end"), (3, None), (None, "first"), (4, ""), (9, "word " * 5000), (5, "Hello World's end"), (7, "é\n\nça va")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
