@@ -215,11 +215,34 @@ def _crossing_links(met: DataFrame, grouped: DataFrame, docs: DataFrame, k: int,
     return found
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose id is their component's, one row each; documents without
-    words or id all stay."""
-    found = similar_documents(docs, **options)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    first = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.monotonically_increasing_id())).orderBy("text")
-    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(docs.columns)
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of docs for each group of similar texts: of the smallest id and, of its texts
+    in the group, the first by a hash.
+
+    Documents are told apart by id and text, so that an id of several texts loses none of
+    them but to a text that is similar. Rows without an id are compared too, and come
+    last in a group. Texts without words all stay. Repeated rows: one stays. Empty table:
+    no rows. Very long texts: whole. Other columns may have any names.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    blank = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    solid = rows.where(~blank).select("row", "id", "text", F.xxhash64("text").alias("s1"), F.xxhash64(F.lit(31), "text").alias("s2"))
+
+    # What a document is known by: its id; where that is null or has several texts, a hash of both.
+    sums = solid.groupBy("id").agg(*[f(s).alias(f"{f.__name__}_{s}") for f in (F.min, F.max) for s in ("s1", "s2")])
+    several = sums.where("id IS NOT NULL AND (min_s1 <> max_s1 OR min_s2 <> max_s2)").select(F.col("id").alias("of_several"))
+    several = written(several, "jaccard-several-texts")
+    known_by = F.when(F.col("id").isNull() | F.col("of_several").isNotNull(), F.xxhash64("id", "s1", "s2")).otherwise(F.col("id"))
+    keyed = solid.join(several, solid["id"] == several["of_several"], "left").select("row", "id", "text", "s1", "s2", known_by.alias("key"))
+
+    found = similar_documents(keyed.select("key", "text"), k=k, percent=percent, id_col="key", **options)
+    groups = found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct()
+    head = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "s1", "s2", "key"))["key"]
+    heads = keyed.select("key", "id", "s1", "s2").distinct().join(groups, "key").groupBy("component").agg(head.alias("head"))
+    gone = written(groups.join(heads, "component").where("key <> head").select("key"), "jaccard-gone")
+    forget(found)
+
+    of_key = Window.partitionBy("key").orderBy(F.xxhash64("row"))
+    kept = keyed.join(gone, "key", "left_anti").withColumn("n", F.row_number().over(of_key)).where("n = 1")
+    return kept.select("row").unionByName(rows.where(blank).select("row")).select("row.*")

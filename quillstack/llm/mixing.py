@@ -53,14 +53,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return filled.withColumn("target", target).drop("w", "cap", "ratio", "all_w", "level")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, buckets: int = 4096, all_rows: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17, buckets: int = 4096, all_rows: bool = False, row_col: str | None = None) -> DataFrame:
     """The mix: a row for each time that a document is taken.
 
     Returns doc_id, source, size (words), source_size, target, pass (0 for the first
     time), words (taken this time; under size where the target cuts the document),
     finish (virtual time) and position (words of the mix before it); with all_rows
-    also rows of no words, so that each document has its pass 0. _sum (a hash of id,
-    source and text) and _dup (number among equal rows) identify the input row.
+    also rows of no words, so that each document has its pass 0. _queue, _bucket and _row
+    identify the input row; _id is its row_col, if one is named.
 
     Null text: size 0. Null source: a source of its own, last in order. Repeated ids or
     rows: rows of their own; ties in the hash fall back on size and that hash, and what
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     are 0. Other columns are dropped, so that clashing names don't matter.
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).cast("long").alias("size"), key.alias("_key"), F.xxhash64(id_col, source_col, text_col).alias("_sum"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).cast("long").alias("size"), key.alias("_key"), F.xxhash64(id_col, source_col, text_col).alias("_sum"), (F.col(row_col) if row_col else F.lit(None).cast("long")).alias("_id"))
     rows = rows.withColumn("_bucket", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
     rows = written(rows.withColumn("_queue", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-rows")
 
@@ -80,9 +80,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # A bucket of a source: its order, then its place behind the source's earlier buckets.
     own = Window.partitionBy("_queue", "_bucket").orderBy("_key", "size", "_sum")
-    same = Window.partitionBy("_queue", "_bucket", "_sum").orderBy("_key")
-    queued = rows.withColumn("_row", F.row_number().over(own)).withColumn("_to", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_dup", F.row_number().over(same))
-    queued = queued.join(starts, ["_queue", "_bucket"])
+    queued = rows.withColumn("_row", F.row_number().over(own)).withColumn("_to", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    # Both sides are dealt by queue and bucket already; the starts grow with the sources, so they aren't broadcast.
+    queued = queued.join(starts.hint("merge"), ["_queue", "_bucket"])
     begin = F.col("_ahead") + F.col("_to") - F.col("size") + F.col("pass") * F.col("source_size")
     passes = F.sequence(F.lit(0), F.lit(max(0, math.ceil(most) - 1)))
     entries = (
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("finish", F.when(F.col("target") > 0, F.least(F.lit(1.0), (F.col("_begin") + F.col("words")) / F.col("target"))).otherwise(F.lit(1.0)))
         .withColumn("_slot", F.floor(F.col("finish") * buckets))
     )
-    entries = written(entries.drop("_ahead", "_to", "_key"), "mix-entries")
+    entries = written(entries.drop("_ahead", "_to", "_key", "_sum"), "mix-entries")
     forget(rows, starts)
 
     # Global order by virtual time: all queues are served evenly, so its slots are even.
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = some.withColumn("_run", F.sum("words").over(order)).join(F.broadcast(slots), "_slot")  # buckets + 1 rows at most
     placed = placed.withColumn("position", F.col("_before") + F.col("_run") - F.col("words"))
     placed = placed.withColumn("words", F.least("words", F.greatest(F.lit(0).cast("long"), F.floor("budget") - F.col("position")))).where("words > 0")
-    columns = ["doc_id", "source", "size", "source_size", "target", "pass", "words", "finish", "position", "_queue", "_bucket", "_row", "_sum", "_dup"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "pass", "words", "finish", "position", "_queue", "_bucket", "_row", "_id"]
     if all_rows:
         none = entries.where("words = 0").withColumn("position", F.lit(None).cast("long"))
         return placed.select(columns).unionByName(none.select(columns))
@@ -127,11 +127,11 @@ def taken_by_document(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: the columns of docs, a row for each time that a document is
-    taken, in the order of the mix; a document that the target cuts keeps its first words."""
-    got = mix(docs, **options).select(F.col("_sum").alias("__sum"), F.col("_dup").alias("__d"), F.col("size").alias("__size"), F.col("words").alias("__words"), F.col("position").alias("__position"))
-    full = docs.withColumn("__sum", F.xxhash64("doc_id", "source", "text"))
-    full = full.withColumn("__dup", F.row_number().over(Window.partitionBy("__sum").orderBy("__sum")))
-    # Joined by the hash alone, so that texts are dealt out once for the numbers and the join.
-    rows = full.join(got, "__sum").where("__dup - __d = 0")
-    rows = rows.withColumn("text", F.when(F.col("__words") < F.col("__size"), first_words(F.col("text"), F.col("__words"))).otherwise(F.col("text")))
-    return rows.orderBy("__position").select(docs.columns)
+    taken, in the order of the mix; a document that the target cuts keeps its first words.
+    Nulls, ties and repeated rows as in mix; other columns may have any names."""
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*docs.columns).alias("row")), "mix-documents")
+    got = mix(numbered.select("row_id", "row.doc_id", "row.source", "row.text"), row_col="row_id", **options).select(F.col("_id").alias("row_id"), "size", "words", "position")
+    # Row numbers are unique, so that copies of a row don't meet each other here.
+    rows = numbered.join(got, "row_id")
+    text = F.when(F.col("words") < F.col("size"), first_words(F.col("row.text"), F.col("words"))).otherwise(F.col("row.text"))
+    return rows.withColumn("row", F.col("row").withField("text", text)).orderBy("position").select("row.*")

@@ -54,7 +54,8 @@ def _logit(p: Column) -> Column:
 
 def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", label: str = "quality", most: int = 5_000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns for each row of docs: doc_id, host, path, evidence (of the text alone, a
-    probability), host_posterior, path_posterior, quality and kept (quality >= threshold).
+    probability), host_posterior, path_posterior, quality, kept (quality >= threshold) and
+    text_sum (a 64-bit hash of the text, to tell rows of one id apart).
 
     most bounds the labelled rows of each value that the classifier is fitted on.
     Null host or path: a host or path of its own. Null, empty or blank text: no words to
@@ -63,7 +64,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pa
     long texts: whole. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.xxhash64(text_col).alias("text_sum"))
     sample, stands_for = labelled_sample(rows.where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")), labels.select("doc_id", label), label, most)
 
     def measured(batches):
@@ -81,14 +82,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: str = "source", pa
         for batch in batches:
             x = np.array([features_of(t.as_py()) for t in batch.column(1)], float).reshape(-1, FEATURES)
             p = 1 / (1 + np.exp(-logits(model.value, x)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(np.where(x.any(axis=1), p, 0.0))], ["doc_id", "host", "path", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(np.where(x.any(axis=1), p, 0.0))], ["doc_id", "host", "path", "text_sum", "evidence"])
 
-    judged = written(rows.mapInArrow(judge, "doc_id long, host string, path string, evidence double"), "quality-evidence")
+    judged = written(rows.mapInArrow(judge, "doc_id long, host string, path string, text_sum long, evidence double"), "quality-evidence")
     return combine(judged, threshold)
 
 
 def combine(judged: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Adds the posteriors to (doc_id, host, path, evidence) and decides."""
+    """Adds the posteriors to (doc_id, host, path, evidence) and decides; other columns come last."""
+    others = [c for c in judged.columns if c not in ("doc_id", "host", "path", "evidence")]
     p = F.col("evidence")
     paths = written(judged.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("s"), F.sum(p * p).alias("q")), "quality-paths")
     hosts = written(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")), "quality-hosts")
@@ -115,4 +117,4 @@ def combine(judged: DataFrame, threshold: float = 0.5) -> DataFrame:
     own = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), F.col("evidence")))
     z = _logit(own) + _logit(bounded(F.col("path_posterior"))) - _logit(F.lit(rate))
     quality = F.when(F.col("evidence") > 0, 1 / (1 + F.exp(-z))).otherwise(F.lit(0.0))
-    return out.select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", quality.alias("quality")).withColumn("kept", F.col("quality") >= threshold)
+    return out.select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", quality.alias("quality"), (quality >= threshold).alias("kept"), *others)

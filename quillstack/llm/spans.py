@@ -3,8 +3,10 @@
 A span is a run of several consecutive sentences: from each sentence on, and up to each
 sentence, the shortest run that has at least min_sentences and min_words. Runs in both
 directions make the spans of a repeated passage cover it to its last sentence, wherever
-the passage starts. All spans are hashed and joined globally; of equal spans the first,
-by doc_id and place, stays, and the sentences of the others are removed.
+the passage starts. A longer repeated run adds nothing to these: at each of its places
+but the first, the shortest runs in it are repeats too, and cover it. All spans are hashed
+and joined globally; of equal spans the first, by doc_id and place, stays, and the
+sentences of the others are removed.
 
 A sentence of more than REACH words is several units, each of which counts as a sentence
 in runs: of any REACH neighbouring places between its words, the one with the least hash
@@ -128,53 +130,54 @@ def remove_repeats(docs: DataFrame, min_sentences: int = 2, min_words: int = 20,
 
     Null text: stays null, nothing removed. Texts without a repeated span: unchanged to
     the byte. A text of repeated spans only: empty. Rows with the same id and text are
-    one document; null ids are an id, first in order. Copies of a whole document lose
-    all their spans but those of the first. Very long texts: whole. Empty table: no rows.
+    one document; rows without an id are told apart by their texts and come first, in the
+    order of a hash. Copies of a whole document lose all their spans but those of the
+    first. Very long texts: whole. Empty table: no rows. Other columns may have any names.
     """
-    key = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.crc32(F.col(text_col).cast("binary")).alias("crc")).where("t IS NOT NULL")
+    # A document: whether it has an id, the id (without one: a second hash of the text), and a hash of the text.
+    has, own = F.col(id_col).cast("long").isNotNull().cast("byte"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit(29), text_col))
+    named = (has.alias("has"), own.alias("doc"), F.xxhash64(text_col).alias("sum"))
+    key = docs.select(*named, F.col(text_col).alias("t")).where("t IS NOT NULL")
 
     def spans(batches):
-        rows = ([], [], [], [], [])
+        rows = ([], [], [], [], [], [])
         held = 0
         for batch in small(batches):
-            for doc, text, crc in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for known, doc, text_sum, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 h, i, j = spans_of(text, min_sentences, min_words)
                 if not len(h):
                     continue
-                doc = -(2**63) if doc is None else doc
-                for part, x in zip(rows, (h.view(np.int64), np.full(len(h), doc), np.full(len(h), crc), i, j), strict=True):
+                for part, x in zip(rows, (h.view(np.int64), np.full(len(h), known), np.full(len(h), doc), np.full(len(h), text_sum), i, j), strict=True):
                     part.append(x)
                 held += len(h)
                 if held > HELD:
                     yield from firsts(rows)
-                    rows, held = ([], [], [], [], []), 0
+                    rows, held = ([], [], [], [], [], []), 0
         if held:
             yield from firsts(rows)
 
     def firsts(rows):
         """One row for each span of this part: the first; a row with no hash for each place that others cover."""
-        h, doc, crc, i, j = (np.concatenate(x) for x in rows)
-        order = np.lexsort((j, i, crc, doc, h))
-        h, doc, crc, i, j = (x[order] for x in (h, doc, crc, i, j))
-        new = np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in (h, doc, crc, i, j)])))
-        h, doc, crc, i, j = (x[new] for x in (h, doc, crc, i, j))  # rows with the same id and text are one document
-        first = np.concatenate(([True], h[1:] != h[:-1]))
-        rest = np.flatnonzero(~first)
-        rest = rest[np.lexsort((i[rest], crc[rest], doc[rest]))]
-        if len(rest):  # touching and overlapping places of a document become one
-            d, c, a, b = doc[rest], crc[rest], i[rest], j[rest]
-            own = np.concatenate(([0], np.cumsum((d[1:] != d[:-1]) | (c[1:] != c[:-1]))))
-            wide = int(j.max()) + 2
-            top = np.maximum.accumulate(b + own * wide)
-            new = np.concatenate(([True], a[1:] + own[1:] * wide > top[:-1]))
-            starts = np.flatnonzero(new)
-            d, c, a, b = d[starts], c[starts], a[starts], (top - own * wide)[np.concatenate((starts[1:], [len(rest)])) - 1]
-        else:
-            d, c, a, b = (np.empty(0, np.int64) for _ in range(4))
-        keep = np.flatnonzero(first)
-        hash_col = pa.array(np.concatenate((h[keep], np.zeros(len(d), np.int64))), mask=np.concatenate((np.zeros(len(keep), bool), np.ones(len(d), bool))))
-        out = pa.table({"h": hash_col, "doc": np.concatenate((doc[keep], d)), "crc": np.concatenate((crc[keep], c)), "i": np.concatenate((i[keep], a)).astype(np.int32), "j": np.concatenate((j[keep], b)).astype(np.int32)})
-        yield from out.to_batches(max_chunksize=50_000)
+        rows = np.stack([np.concatenate(x) for x in rows])
+        rows = rows[:, np.lexsort(rows[::-1])]
+        rows = rows[:, np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))]  # rows with the same id and text are one document
+        first = np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))
+        rest = rows[1:, ~first]
+        rest = rest[:, np.lexsort((rest[3], *rest[2::-1]))]
+        if rest.shape[1]:  # touching and overlapping places of a document become one
+            a, b = rest[3], rest[4]
+            of = np.concatenate(([0], np.cumsum((rest[:3, 1:] != rest[:3, :-1]).any(axis=0))))
+            wide = int(b.max()) + 2
+            top = np.maximum.accumulate(b + of * wide)
+            new = np.concatenate(([True], a[1:] + of[1:] * wide > top[:-1]))
+            ends = np.concatenate((np.flatnonzero(new)[1:], [len(a)])) - 1
+            rest = np.concatenate((rest[:4, new], [(top - of * wide)[ends]]))
+        keep, n = rows[:, first], rest.shape[1]
+        columns = np.concatenate((keep, np.concatenate((np.zeros((1, n), np.int64), rest))), axis=1)
+        mask = np.arange(columns.shape[1]) >= keep.shape[1]
+        kinds = (np.int64, np.int8, np.int64, np.int64, np.int32, np.int32)
+        arrays = [pa.array(c.astype(k), mask=mask if at == 0 else None) for at, (c, k) in enumerate(zip(columns, kinds, strict=True))]
+        yield from pa.table(arrays, ["h", "has", "doc", "sum", "i", "j"]).to_batches(max_chunksize=50_000)
 
     def later(batches):
         """Of a stream sorted by span and place: all but the first place of each span, which repeated rows share."""
@@ -182,33 +185,33 @@ def remove_repeats(docs: DataFrame, min_sentences: int = 2, min_words: int = 20,
         for batch in batches:
             if not len(batch):
                 continue
-            rows = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in range(5)])
+            rows = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in range(6)])
             new = np.concatenate(([last is None or rows[0, 0] != last[0]], rows[0, 1:] != rows[0, :-1]))
             at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
             lead = rows[:, at]
             if last is not None:
                 lead[:, at < 0] = last[:, None]
             last = lead[:, -1]
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array((rows != lead).any(axis=0))).columns[1:], ["doc", "crc", "i", "j"])
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array((rows != lead).any(axis=0))).columns[1:], ["has", "doc", "sum", "i", "j"])
 
-    found = written(key.mapInArrow(spans, "h long, doc long, crc long, i int, j int"), "spans-local")
-    across = found.where("h IS NOT NULL").repartition("h").sortWithinPartitions("h", "doc", "crc", "i", "j").mapInArrow(later, "doc long, crc long, i int, j int")
+    of = ("has", "doc", "sum")
+    found = written(key.mapInArrow(spans, "h long, has byte, doc long, sum long, i int, j int"), "spans-local")
+    across = found.where("h IS NOT NULL").repartition("h").sortWithinPartitions("h", *of, "i", "j").mapInArrow(later, "has byte, doc long, sum long, i int, j int")
     places = across.unionByName(found.where("h IS NULL").drop("h"))
-    places = written(places.groupBy("doc", "crc").agg(F.collect_list("i").alias("__from"), F.collect_list("j").alias("__to")), "spans-places")
+    places = written(places.groupBy(*of).agg(F.collect_list("i").alias("i"), F.collect_list("j").alias("j")), "spans-places")
     forget(found)
-    places = places.withColumnRenamed("doc", "__doc").withColumnRenamed("crc", "__crc")
 
+    # The input's columns go along as one, so that their names can't clash with these.
     rest = docs.drop("n_removed", "words_removed")
-    joined = rest.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long"))).withColumn("__sum", F.crc32(F.col(text_col).cast("binary")))
-    joined = joined.join(places, (F.col("__key") == F.col("__doc")) & (F.col("__sum") == F.col("__crc")), "left").drop("__key", "__sum", "__doc", "__crc")
     names = rest.columns
     at = names.index(text_col)
+    joined = rest.select(F.struct(*rest.columns).alias("row"), *named).join(places, [*of], "left").select("row", "i", "j")
 
     def rebuild(batches):
         for batch in small(batches):
-            texts, a, b = (batch.column(x).to_pylist() for x in (at, len(names), len(names) + 1))
+            columns = batch.column(0).flatten()
+            texts, a, b = columns[at].to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             done = [(t, 0, 0) if not x else without(t, np.array((x, y))) for t, x, y in zip(texts, a, b, strict=True)]
-            columns = batch.columns[: len(names)]
             columns[at] = pa.array([x[0] for x in done], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64())], [*names, "n_removed", "words_removed"])
 

@@ -63,10 +63,14 @@ def test_null_ids_and_empty(spark):
 
 
 def test_one_of_each(spark):
-    rows = [(3, "a b c d e f g h"), (1, "A b c d e f g h"), (2, "z y x"), (2, "z y x"), (5, None), (6, ""), (None, "q r s"), (None, "q r s")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id or 0, r.text or "") for r in jaccard.one_of_each(df).collect())
-    assert got == [(0, "q r s"), (0, "q r s"), (1, "A b c d e f g h"), (2, "z y x"), (5, ""), (6, "")]
+    long, other = "a b c d e f g h", "quite another text under the same id as this"
+    rows = [(3, long), (1, "A b c d e f g h"), (2, "z y x"), (2, "z y x"), (5, None), (6, ""), (6, ""), (None, "q r s"), (None, "q r s"), (None, "t u v"), (3, other), (9, other), (9, long), (None, long)]
+    df = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, __n int, key int")
+    got = jaccard.one_of_each(df.repartition(3))
+    assert got.columns == df.columns and {(r["__n"], r.key) for r in got.collect()} == {(7, 8)}
+    want = [(0, "q r s"), (0, "t u v"), (1, "A b c d e f g h"), (2, "z y x"), (3, other), (5, ""), (6, ""), (6, "")]
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == want
+    assert jaccard.one_of_each(df.where("false")).count() == 0
 
 
 def test_long_repetitive_words_differ(spark):

@@ -78,6 +78,19 @@ def test_repeated_rows_keep_their_text(spark):
         assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == [(1, passage, 0)] * 4 + [(2, "Own start here now.", 3)]
 
 
+def test_names_and_null_ids(spark):
+    passage = "One two three four five six seven. Eight nine ten eleven twelve thirteen fourteen. A b c d e f g h i j k."
+    texts = [passage, "Own start here now. " + passage, "Another start of it. " + passage + " Own end.", passage]
+    names = ["i", "j", "h", "doc", "has", "sum", "row", "__from", "__to", "__key"]
+    df = spark.createDataFrame([(None, t, *[k] * len(names)) for k, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    for n in (1, 3):
+        got = spans.remove_repeats(df.repartition(n)).collect()
+        assert len(got) == 4 and all(len({r[x] for x in names}) == 1 for r in got)
+        # Of three texts one keeps the passage (two rows, if it is the repeated one).
+        assert sum(passage in r.text for r in got) == (2 if passage in {r.text for r in got} else 1)
+        assert {r.text.replace(passage, "").split(" ")[0] for r in got} == {"", "Own", "Another"}
+
+
 def test_long_sentences(spark):
     rnd = random.Random(3)
 
