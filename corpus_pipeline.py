@@ -19,21 +19,40 @@ SHINGLE, PERCENT = 5, 80
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents that it rejects go. An id goes if one of its rows is rejected; rows without an id stay."""
+    """Quality classifier: documents that it rejects go.
+
+    Rows are judged one by one, so that of rows with one id those that are good stay; rows
+    without an id are judged like any other. Null, empty and blank texts have no words to
+    judge and go. Very long texts are judged whole. Repeated rows are judged alike and
+    all stay, or go. Empty table, or no labels of one value: no row goes for its evidence.
+    """
     attach(spark)
     judged = quality.score_documents(docs, table(spark, sf_dir, "labels"))
-    rejected = written(judged.where(~F.col("kept")).select("doc_id").distinct(), "pipeline-rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    rejected = written(judged.where(~F.col("kept")).select(F.struct("doc_id", "text_sum", "host", "path").alias("is")).distinct(), "pipeline-rejected")
+    row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_sum"), F.col("source").cast("string").alias("host"), F.col("lang").cast("string").alias("path"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row.alias("is"))
+    return rows.join(rejected, "is", "left_anti").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: one document of each group stays, the one with the smallest id."""
+    """N-gram Jaccard join: one document of each group stays, the one with the smallest id.
+
+    A document is an id with a text: an id's other texts stay if nothing is similar to
+    them. Of repeated rows one stays. Rows without an id are compared and give way to
+    those with one. Null, empty and blank texts are similar to nothing and stay. Very
+    long texts are compared whole. Empty table: no rows.
+    """
     attach(spark)
     return jaccard.one_of_each(docs, k=SHINGLE, percent=PERCENT)
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Substring dedup: sentences of non-first repeated spans go, and documents of which nothing is left."""
+    """Substring dedup: sentences of non-first repeated spans go, and documents of which nothing is left.
+
+    Repeated rows, and rows with the same id and text, are one document and keep or lose
+    the same sentences. Rows without an id are told apart by their texts. Null, empty and
+    blank texts stay as they are. Very long texts are read whole. Empty table: no rows.
+    """
     attach(spark)
     done = spans.remove_repeats(docs)
     done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -41,14 +60,26 @@ def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Weighted fair queueing: documents in the order of the mix, a row for each time that one is taken."""
+    """Weighted fair queueing: documents in the order of the mix, a row for each time that one is taken.
+
+    Null source: a source of its own, last in order. Null, empty and blank texts have no
+    words and aren't taken. Repeated rows and rows without an id are rows of their own;
+    ties in the shuffling hash go by size and content. The last document of a source is
+    cut at its target, a very long one too. Empty table: no rows.
+    """
     attach(spark)
     mixed = mixing.mixed_documents(docs)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing: a row for each piece of a document, with its bin."""
+    """Best-fit packing: a row for each piece of a document, with its bin.
+
+    Texts over the capacity are several pieces. Null, empty and blank texts: one piece of
+    no words in no bin. Null source: a source of its own. Repeated rows and rows without
+    an id are rows of their own; ties in size go by id, piece and cluster. Empty table:
+    no rows.
+    """
     attach(spark)
     return packing.pack(docs)
 
@@ -61,7 +92,7 @@ STAGES = [
     ("best-fit packing", pack_bins),
 ]
 
-#: A classifier is fitted on the way, which SQL can't express; tests/llm/test_pipeline.py has a brute-force version.
+#: A classifier is fitted on the way, which SQL can't express; tests/llm/test_entries.py has a brute-force version.
 ORACLE_SQL = None
 
 
