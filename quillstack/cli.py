@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attach, render
-from .functions.text import html_tag
-from .operators import constructs, export, lines, references, search, sections
-from .operators.constructs import COUNTERS, STATS
+from .functions.display import NAMES
+from .operators import constructs, export, lines, references, search, sections, views
 from .sources import corpus, diffs, pdf
 
 USAGE = """usage: python -m quillstack.cli [TARGET] [options]
@@ -68,19 +67,14 @@ class Views:
         return [r.asDict() for r in df.join(self.docs.select("doc_id", "filename"), "doc_id").orderBy("filename", *order).collect()]
 
     def tree(self, secs: DataFrame | None = None) -> str:
-        shown = sections.tree(self.sections if secs is None else secs)
-        stats = constructs.section_stats(self.nodes)
-        own = constructs.notables(self.nodes).withColumn("tag", html_tag(F.col("raw"))).groupBy("doc_id", "sec_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "kind", "line_start", "line_end", "variant", "headers", "language", "fenced", "ref_id", "label", "number", "tag"))).alias("own"))
-        rows = self.rows(shown.join(stats, ["doc_id", "sec_id"], "left").join(own, ["doc_id", "sec_id"], "left"), "sec_id")
-        for r in rows:
-            r["note"] = render.annotation([n.asDict() for n in r["own"] or []], {k: r[k] or 0 for k in STATS}, r["key_terms"] or [])
-        return render.tree(rows)
+        shown = views.indents(sections.tree(self.sections if secs is None else secs))
+        return render.tree(self.rows(shown.join(views.notes(self.nodes, self.sections), ["doc_id", "sec_id"], "left"), "sec_id"))
 
     def inventory(self, name: str) -> str:
         per = constructs.inventory(self.docs, self.nodes, self.sections)
-        total = constructs.totals(per).first().asDict()
-        head = [f"{total['files']} files · {total['sections']} sections · ~{render.tokens(total['total_tokens'])} tokens", *render.summary_lines(total)]
-        body = [f"{r['filename']} ({render.tokens(r['total_tokens'])}, {r['sections']} section{render.plural(r['sections'])})" + "".join(f"  {x}" for x in render.summary_lines({c: r[c] for c in COUNTERS})) for r in (x.asDict() for x in per.orderBy("filename").collect())]
+        total = constructs.totals(per).withColumn("rows", views.summary_rows()).first().asDict()
+        head = [f"{total['files']} files · {total['sections']} sections · ~{render.tokens(total['total_tokens'])} tokens", *total["rows"]]
+        body = [r["line"] for r in per.select("filename", views.digest().alias("line")).orderBy("filename").collect()]
         return "\n".join([render.box(name + "/", head), "", *body])
 
     def search(self, query: str) -> str:
@@ -104,16 +98,28 @@ class Views:
         return json.dumps({"root": root, "total_tokens": sum(d["tokens"] for d in docs), "total_docs": len(docs), "documents": docs}, ensure_ascii=False)
 
     def types(self, name: str, lang: str, kind: str) -> str:
-        if constructs.kind_of(name) is None:
+        known = constructs.kind_of(name)
+        if known is None:
             return f"unknown type {name}"
-        rows = self.rows(constructs.drill_down(self.nodes, name, lang, kind).join(sections.breadcrumbs(self.sections), ["doc_id", "sec_id"]), "sec_id", "line_start")
-        total = sum(r["n"] for r in rows)
-        return "\n".join([f"{total} {name}", *(f"{r['breadcrumb']}  " + (f":{r['line_start']}-{r['line_end']} {r['detail']}" if r["line_start"] else f"{r['n']}") for r in rows)])
+        label = NAMES[known]
+        rows = self.rows(views.type_hits(self.nodes, name, lang, kind).join(self._crumbs(), ["doc_id", "sec_id"]), "sec_id", "ord")
+        if not rows:
+            return f"No {label} found."
+        out = []
+        for r in rows:
+            head = f"{r['breadcrumb']} ({render.tokens(r['tokens'])})"
+            out += [head] * (head not in out) + [f"  {r['line']}"]
+        return "\n".join(out)
+
+    def _crumbs(self) -> DataFrame:
+        return sections.breadcrumbs(self.sections).join(self.sections.select("doc_id", "sec_id", "tokens"), ["doc_id", "sec_id"])
 
     def at(self, line: int) -> str:
         points = self.docs.select("doc_id", F.lit(line).alias("line"))
-        node, section = lines.node_at(self.nodes, points).first(), lines.section_at(self.sections, points).first()
-        return f"{node['kind'] if node else 'nothing'} in {section['title'] if section else 'no section'}"
+        node = views.line_view(lines.node_at(self.nodes, points), self.nodes).first()
+        section = lines.section_at(self.sections, points).join(self._crumbs(), ["doc_id", "sec_id"]).first()
+        own = [f"Section: {section['breadcrumb']}"] if section else []
+        return "\n".join([f"line {line}", *own, f"Node:    {node['detail']}" if node else "No matching node."])
 
     def since(self, path: str, ref: str) -> str:
         spark = self.docs.sparkSession
@@ -121,8 +127,15 @@ class Views:
         changed = diffs.changed_lines(diff)
         if changed.isEmpty():
             return f"no changes since {ref}"
-        rows = self.rows(lines.changed_sections(self.sections, constructs.notables(self.nodes), changed), "sec_id")
-        return "\n".join(f"{r['title']}: {r['own_lines']} line{render.plural(r['own_lines'])}, {r['constructs']} construct{render.plural(r['constructs'])}" for r in rows) or "changes are outside any heading"
+        details: dict[int, list[str]] = {}
+        for r in views.changed_constructs(self.nodes, changed).orderBy("line").collect():
+            details.setdefault(r["sec_id"], []).append("  " + r["detail"])
+        rows = self.rows(lines.changed_sections(self.sections, constructs.notables(self.nodes), changed).join(self._crumbs(), ["doc_id", "sec_id"]), "sec_id")
+        out = []
+        for r in rows:
+            n = r["own_lines"]
+            out += [f"{r['breadcrumb']} ({render.tokens(r['tokens'])})", *details.get(r["sec_id"], [f"  {n} line{render.plural(n)} changed"])]
+        return "\n".join(out) or "Changes are outside any heading (frontmatter, intro, etc)."
 
     def expand(self, name: str) -> str:
         r = sections.expand(self.sections, name).first()

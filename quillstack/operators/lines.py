@@ -7,7 +7,7 @@ rows all meet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lines of a bin.
@@ -32,7 +32,8 @@ def node_at(nodes: DataFrame, points: DataFrame, open_ended: bool = False) -> Da
 
 
 def section_at(secs: DataFrame, points: DataFrame) -> DataFrame:
-    """(doc_id, line, sec_id, title): the innermost section that covers each line; a section without an end is open."""
+    """(doc_id, line, sec_id, title): the innermost section that covers each line; a
+    section without an end, of which a document has one at most (its last heading, with nothing below), is open."""
     rows = secs.select("doc_id", "sec_id", "title", "line_start", "line_end")
     hits = covering(rows, points).select("doc_id", "line", "sec_id", "title")
     open_ = rows.where("line_end = 0").join(points, "doc_id").where("line_start <= line").select("doc_id", "line", "sec_id", "title")
@@ -41,11 +42,13 @@ def section_at(secs: DataFrame, points: DataFrame) -> DataFrame:
 
 def changed_sections(secs: DataFrame, notable: DataFrame, changed: DataFrame) -> DataFrame:
     """Sections with changed lines of their own, or constructs that start on one:
-    (doc_id, sec_id, title, own_lines, constructs)."""
-    touched = covering(secs.select("doc_id", "sec_id", "line_start", "line_end"), changed).select("doc_id", "sec_id", "line")
-    kids = secs.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("sec_id"), "line_start", "line_end")
-    deeper = covering(kids, changed).select("doc_id", "sec_id", "line").distinct()
-    own = touched.join(deeper, ["doc_id", "sec_id", "line"], "left_anti").groupBy("doc_id", "sec_id").agg(F.count("*").alias("own_lines"))
+    (doc_id, sec_id, title, own_lines, constructs).
+
+    A line is a section's own if no child of it covers the line, too: of the sections that
+    cover a line, six at most, those that are no other's parent.
+    """
+    touched = covering(secs.select("doc_id", "sec_id", "parent_id", "title", "line_start", "line_end"), changed)
+    above = F.collect_set("parent_id").over(Window.partitionBy("doc_id", "line"))
+    per = touched.withColumn("above", above).groupBy("doc_id", "sec_id").agg(F.first("title").alias("title"), F.count_if(~F.array_contains("above", F.col("sec_id"))).alias("own_lines"))
     hit = notable.select("doc_id", "sec_id", F.col("line_start").alias("line")).join(changed, ["doc_id", "line"], "left_semi").groupBy("doc_id", "sec_id").agg(F.count("*").alias("constructs"))
-    both = touched.select("doc_id", "sec_id").distinct().join(own, ["doc_id", "sec_id"], "left").join(hit, ["doc_id", "sec_id"], "left").na.fill(0)
-    return both.where("own_lines > 0 OR constructs > 0").join(secs.select("doc_id", "sec_id", "title"), ["doc_id", "sec_id"])
+    return per.join(hit, ["doc_id", "sec_id"], "left").na.fill(0, ["constructs"]).where("own_lines > 0 OR constructs > 0").select("doc_id", "sec_id", "title", "own_lines", "constructs")

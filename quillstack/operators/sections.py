@@ -94,3 +94,8 @@ def tree(secs: DataFrame) -> DataFrame:
     shown = secs.join(steps, ["doc_id", "sec_id"], "left_anti")
     siblings = Window.partitionBy("doc_id", F.coalesce("parent_id", F.lit(0))).orderBy("sec_id")
     return shown.withColumn("last", F.lead("sec_id").over(siblings).isNull())
+
+
+def document_totals(secs: DataFrame) -> DataFrame:
+    """(doc_id, sections, total_tokens): tokens of a document of any kind are the sum over all its sections."""
+    return secs.groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum("tokens").alias("total_tokens"))

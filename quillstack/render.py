@@ -32,74 +32,6 @@ def box(title: str, lines: list[str], width: int = 60) -> str:
     return "\n".join([*out, "╰" + "─" * width + "╯"])
 
 
-def _n(n: int, one: str, many: str | None = None) -> str | None:
-    return f"{n} {one if n == 1 else many or one + 's'}" if n else None
-
-
-def summary_lines(c: dict) -> list[str]:
-    """Up to three rows of a document's counters; those that are 0 are left out."""
-    tasks = _n(c["tasks"], "task")
-    rows = (
-        [_n(c["callouts"], "callout"), _n(c["tables"], "table"), _n(c["code_blocks"], "code block"), f"{c['math_blocks']} math" if c["math_blocks"] else None, f"{c['html_blocks']} html" if c["html_blocks"] else None, _n(c["footnotes"], "footnote"), _n(c["definition_lists"], "def list")],
-        [f"{tasks} ({c['tasks_checked']} done)" if tasks else None, f"{c['wiki_links']} wiki" if c["wiki_links"] else None, _n(c["wiki_embeds"], "embed")],
-        [_n(c["mentions"], "@mention"), _n(c["issue_refs"], "issue ref"), _n(c["commit_refs"], "commit ref"), f"{c['emojis']} emoji" if c["emojis"] else None],
-    )
-    return [" · ".join(x for x in r if x) for r in rows if any(r)]
-
-
-def piece(n: dict) -> str:
-    """A construct in a section's annotation."""
-    kind, at = n["kind"], f":{n['line_start']}"
-    if kind == "callout":
-        return f"{n['variant']} {at}"
-    if kind == "table":
-        head = (n["headers"] or [""])[0]
-        raw = head.encode()
-        return f"{at} {head if len(raw) <= 16 else clipped(raw, 13) + '...'}".rstrip()
-    if kind == "code_block":
-        return f"{n['language'] or ('(none)' if n['fenced'] else '(indent)')} {at}" + (f"-{n['line_end']}" if n["line_end"] > n["line_start"] else "")
-    if kind == "html_block":
-        return f"<{n['tag']}> {at}"
-    if kind == "footnote_def":
-        return f"^{n['ref_id']} {at}"
-    if kind == "link_ref_def":
-        return f"[{n['label']}] {at}"
-    return at
-
-
-LABELS = {"callout": None, "code_block": None, "html_block": None, "footnote_def": None, "table": "table", "math_block": "math", "definition_list": "term", "link_ref_def": "ref"}
-
-
-def annotation(nodes: list[dict], stats: dict, key_terms: list[str]) -> str:
-    """What stands behind a section's title: its constructs by kind in order of appearance, counts, or else key terms."""
-    groups: dict[str, list[dict]] = {}
-    for n in nodes:
-        groups.setdefault(n["kind"], []).append(n)
-    parts = []
-    for kind, own in groups.items():
-        shown = [n for n in own if not (kind == "html_block" and (n["tag"] == "comment" or n["tag"].startswith("/")))]
-        if not shown:
-            continue
-        text = ", ".join(map(piece, shown))
-        label = LABELS[kind]
-        count = sum(n["number"] or 0 for n in shown) if kind == "definition_list" else len(shown)
-        parts.append(f"{count} {label}{'' if label == 'math' else plural(count)} {text}" if label else text)
-    if stats.get("tasks"):
-        parts.append(f"{stats['tasks']} task{plural(stats['tasks'])} ({stats['tasks_checked']} done)")
-    for name, label in (("wiki_links", "wiki"), ("wiki_embeds", "embed"), ("mentions", "mention"), ("issue_refs", "issue"), ("commit_refs", "commit"), ("emojis", "emoji")):
-        n = stats.get(name)
-        if n:
-            parts.append(f"{n} {label}{'' if label in ('wiki', 'emoji') else plural(n)}")
-    return " · ".join(parts) if parts else ", ".join(key_terms)
-
-
 def tree(rows: list[dict]) -> str:
-    """rows: sections in order with depth, last, title, tokens and note. Indents by the last flags above."""
-    out, open_ = [], []
-    for r in rows:
-        open_ = open_[: r["depth"] - 1] + [r["last"]]
-        lead = "".join("    " if last else "│   " for last in open_[1:-1])
-        branch = "" if r["depth"] == 1 else "└── " if r["last"] else "├── "
-        note = f"  {r['note']}" if r.get("note") else ""
-        out.append(f"{lead}{branch}{r['title']} ({tokens(r['tokens'])}){note}")
-    return "\n".join(out)
+    """rows: sections in order with indent, title, tokens and note."""
+    return "\n".join(f"{r['indent']}{r['title']} ({tokens(r['tokens'])})" + (f"  {r['note']}" if r["note"] else "") for r in rows)

@@ -47,7 +47,7 @@ def by_page(pages: list[str]) -> list[dict]:
     """A section for each page with text; one that says so if none has."""
     out = [{"level": 1, "title": f"Page {k}", "content": t, "own": len(t.encode()) // 4, "tokens": len(t.encode()) // 4, "kids": [], "page": k} for k, t in enumerate(pages, 1) if t.strip()]
     if pages and not out:
-        return [{"level": 1, "title": f"({len(pages)} pages - no extractable text)", "own": 0, "tokens": 0, "kids": []}]
+        return [{"level": 1, "title": f"({len(pages)} pages - no extractable text)", "own": 0, "tokens": 0, "kids": [], "page": 1, "last": len(pages)}]
     return out
 
 
@@ -62,7 +62,7 @@ def rows(data: bytes | None):
         number += 1
         own = number
         page = s.get("page", 0)
-        yield own, parent, s["level"], s["title"], s.get("content", ""), s["own"], s["tokens"], [], page, page
+        yield own, parent, s["level"], s["title"], s.get("content", ""), s["own"], s["tokens"], [], page, s.get("last", page)
         for k in s["kids"]:
             yield from walk(k, own)
 

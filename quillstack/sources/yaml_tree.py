@@ -106,7 +106,7 @@ def _map_title(v: Value, index: int) -> str:
     for k, x in pairs:
         if k.text.lower() in ("name", "id", "title") and x.kind == "scalar" and x.text:
             return x.text
-    if pairs and pairs[0][1].kind == "scalar":
+    if pairs and pairs[0][0].kind == pairs[0][1].kind == "scalar" and pairs[0][1].text:
         return short_title(f"{pairs[0][0].text}: {pairs[0][1].text}")
     return f"[{index}]"
 

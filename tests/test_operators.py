@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack import cli, render, streaming
-from quillstack.functions import text
-from quillstack.operators import constructs, export, lines, references, search, sections
+from quillstack.functions import display, text
+from quillstack.operators import constructs, export, lines, references, search, sections, views
 from quillstack.plans import registry
 from quillstack.sources import corpus
 from tests.test_markdown import DOC
@@ -125,11 +125,24 @@ def test_json(docs, nodes):
 def test_render():
     assert [render.tokens(n) for n in (0, 500, 999, 1000, 1500, 10000, 1250)] == ["0", "500", "999", "1.0k", "1.5k", "10.0k", "1.2k"]
     assert [render.centred("test", 10), render.centred("hello", 5), render.centred("hi", 6), render.centred("abcdef", 3)] == ["   test", "hello", "  hi", "abc"]
-    zero = dict.fromkeys(constructs.COUNTERS, 0)
-    assert render.summary_lines(zero) == [] and render.summary_lines(zero | {"callouts": 5, "tasks": 1, "tasks_checked": 1, "mentions": 2}) == ["5 callouts", "1 task (1 done)", "2 @mentions"]
-    assert render.annotation([{"kind": "callout", "variant": "note", "line_start": 10}, {"kind": "callout", "variant": "warning", "line_start": 20}], {}, []) == "note :10, warning :20"
-    assert render.annotation([{"kind": "definition_list", "number": 3, "line_start": 7}], {}, []) == "3 terms :7"
-    assert render.annotation([], {"wiki_embeds": 2}, ["x"]) == "2 embeds" and render.annotation([], {}, ["a", "b"]) == "a, b"
+
+
+def test_display_columns(spark):
+    numbers = [0, 500, 999, 1000, 1050, 1150, 1250, 1350, 1500, 1750, 2450, 9950, 10000, 99950, 1234567]
+    got = spark.createDataFrame([(n,) for n in numbers], "n long").select(display.short_number(F.col("n")).alias("s")).collect()
+    assert [r.s for r in got] == [render.tokens(n) for n in numbers]
+    df = spark.createDataFrame([("test", "é" * 40, 'a"b\\c')], "t string, l string, q string")
+    r = df.select(*[display.centred(F.col("t"), n).alias(f"c{n}") for n in (10, 4, 3)], display.preview(F.col("l"), 60).alias("p"), display.file_title(F.concat("l", "t")).alias("f"), display.quoted(F.col("q")).alias("q"), display.padded(F.col("t"), 6).alias("w"), display.padded(F.col("t"), 2).alias("n")).first()
+    assert (r.c10, r.c4, r.c3, r.w, r.n, r.q) == ("   test", "test", "tes", "test  ", "test", '"a\\"b\\\\c"')
+    assert r.p == "é" * 28 + "..." and r.f.startswith("...é") and len(r.f.encode()) <= 50
+    counters = [[1] + [0] * 15, [0] * 16, [5, 0, 0, 0, 0, 0, 0, 0, 1, 1, 0, 0, 2, 0, 0, 0]]
+    rows = spark.createDataFrame(counters, ", ".join(f"{c} long" for c in constructs.COUNTERS)).select(views.summary_rows().alias("r")).collect()
+    assert [x.r for x in rows] == [["1 callout"], [], ["5 callouts", "1 task (1 done)", "2 @mentions"]]
+
+
+def test_notes(nodes):
+    got = {r.sec_id: r.note for r in views.notes(nodes, sections.sections(nodes)).where("doc_id = 1").collect()}
+    assert got[3].startswith("note :26 · 1 table :33 A · python :39-41, (none) :43, (indent) :") and " · 1 math :" in got[3] and " · <div> :" in got[3] and "3 tasks (2 done)" in got[3] and got[2] == ""
 
 
 def test_text_columns(spark):
@@ -143,7 +156,8 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "c.yaml").write_text("server:\n  host: h.example\n")
     a = str(tmp_path / "a.md")
     assert cli.run(spark, [a]).splitlines()[1].startswith("└── Code (") and "sh :8-9" in cli.run(spark, [a])
-    assert cli.run(spark, [a, "--at", "8"]) == "code_block in Code" and cli.run(spark, [a, "-t", "code"]).startswith("1 code")
+    assert cli.run(spark, [a, "--at", "8"]) == "line 8\nSection: A > Code\nNode:    code L8-9  lang=sh" and cli.run(spark, [a, "-t", "code"]).endswith("\n  :8-9  sh        ")
+    assert cli.run(spark, [a, "-t", "callout"]) == "No callouts found."
     assert "b.md (2←)" in cli.run(spark, [str(tmp_path), "--refs"]) and "2 files" in cli.run(spark, [str(tmp_path)])
     assert json.loads(cli.run(spark, [str(tmp_path), "-j"]))["total_docs"] == 2
     assert "host" in cli.run(spark, [str(tmp_path / "c.yaml")])

@@ -18,6 +18,7 @@ def test_yaml_shapes():
     assert titles("server:\n  ssl:\n    on: true\n") == [(1, "server"), (2, "ssl"), (3, "on")]
     assert titles("- apple\n- name: web\n  x: 1\n- run: echo\n- [a]\n") == [(1, "apple"), (1, "web"), (2, "name"), (2, "x"), (1, "run: echo"), (2, "run"), (1, "[3]"), (2, "a")]
     assert titles("a: {b: 1, c: 2}") == [(1, "a"), (2, "b"), (2, "c")]
+    assert titles("- c: ''\n- {x: [1]}\n- ? [k]\n  : v\n") == [(1, "[0]"), (2, "c"), (1, "[1]"), (2, "x"), (3, "1"), (1, "[2]"), (2, "")]
     assert titles(" \n") == [] and titles("just text") == [(1, "just text")]
     with pytest.raises(yaml.YAMLError):
         titles("a: [")
@@ -53,7 +54,7 @@ def make_pdf(pages, outline=()):
 def test_pdf(spark):
     rows = list(pdf.rows(make_pdf(["Hello \\(world\\)", ""])))
     assert [(r[3], r[4], r[8]) for r in rows] == [("Page 1", "Hello (world)\nab", 1)]
-    assert [r[3] for r in pdf.rows(make_pdf(["", ""]))] == ["(2 pages - no extractable text)"]
+    assert [(r[3], r[8], r[9]) for r in pdf.rows(make_pdf(["", ""]))] == [("(2 pages - no extractable text)", 1, 2)]
     rows = list(pdf.rows(make_pdf(["x" * 80], outline=True)))
     assert [(r[2], r[3], r[1]) for r in rows] == [(1, "One", None), (2, "1", 1), (1, "Two", None)]
     with pytest.raises(ValueError):
