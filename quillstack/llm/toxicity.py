@@ -1,16 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A clause is read as a sequence of token classes: insult, threat, target, negation,
-reported speech, other. Small transducers give weights to what they accept: insults
-weigh what the labels say of their cue; a target near an insult or after a threat adds;
-a negation before an insult and a frame of reported speech take away. Their composition
-is the product machine whose path weight is the sum of theirs, and a clause's score is
-the best path through it. A document's score is a logistic function of its matched
-clauses' scores.
-
-Insult cues (words and word beginnings) are learned as a greedy cover: the cue that
-explains most toxic documents of the sample not yet explained, next to no clean ones,
-is taken until none is worth it. Copies of a document add no cues of their own so.
+reported speech, other. Small transducers say what they accept by the arcs taken: insults
+weigh what the labels say of their cue; an insult may be tied to a target before it, or
+wait for one after it; a threat before a target, a negation before an insult and a frame of
+reported speech have arcs of their own. They are composed into one machine, whose path
+weight is the sum of its arcs' weights, and a clause's score is that of the best path
+through it. Arc weights start from fixed values and are fitted to the labels. A document's
+score is a logistic function of its matched clauses' scores, of their number and of the
+length of the text.
+
+Insult cues (words and word beginnings) are those that labelled toxic texts hold many
+times as often, for each word of text, as clean ones. They are taken as a greedy cover:
+the cue that most toxic documents hold comes first, and a document that has a few cues
+counts no more, until none is worth it. Copies of a document add few cues of their own so.
 """
 
 from __future__ import annotations
@@ -37,69 +40,91 @@ _CLAUSE = re.compile(r"[.!?;:\n]+")
 _EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…*#%$&|-"
 
 #: Cues may be whole words or beginnings of these lengths.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
+
+
+# What an arc may count.
+CUE, BEFORE, AFTER, MENACE, NEGATED, REPORTED = range(6)
+#: Weights of these arcs before the labels are seen; a cue's arc weighs the cue's own weight.
+PRIOR = (1.0, 1.0, 1.0, 3.0, -1.5, -1.0)
 
 
 class Transducer:
-    """States from 0 and arcs (state, class) -> [(next state, weight)]. A class without an
-    arc keeps the state and weighs nothing. Insult arcs weigh a factor of the cue."""
+    """States and arcs (state, class) -> [(next state, what the arc counts, or None)]. State 0
+    is the first. A class without an arc keeps the state."""
 
     def __init__(self, arcs: dict):
         self.arcs = arcs
 
-    def step(self, state: int, kind: int) -> list[tuple[int, float]]:
-        return self.arcs.get((state, kind), [(state, 0.0)])
+    def step(self, state, kind: int) -> list:
+        return self.arcs.get((state, kind), [(state, None)])
 
 
-def within(opens: int, closes: int, window: int, weight: float, again: bool = False) -> Transducer:
-    """Weighs class `closes` when it comes at most `window` tokens after class `opens`."""
+def within(opens: int, closes: int, window: int, counts: int) -> Transducer:
+    """Counts class `closes` at most `window` tokens after class `opens`."""
     arcs = {}
     for left in range(window + 1):
         for kind in range(6):
-            nxt = window if kind == opens else max(0, left - 1)
-            arcs[left, kind] = [(nxt, weight if left and kind == closes else 0.0)]
+            follows = window if kind == opens else max(0, left - 1)
+            arcs[left, kind] = [(follows, counts if left and kind == closes else None)]
     return Transducer(arcs)
 
 
-#: The grammar: pairs of classes near each other, in the given order, and their weights.
-GRAMMAR = (
-    within(TARGET, INSULT, 5, 1.0),
-    within(INSULT, TARGET, 5, 1.0),
-    within(THREAT, TARGET, 3, 3.0),
-    within(NEGATION, INSULT, 2, -1.5),
-    within(REPORT, INSULT, 6, -1.0),
-)
+def attached(window: int) -> Transducer:
+    """Ties each insult to one target at most: to one before it, or to one after it. A state
+    is how long a target can still be used (above 0) or an insult still waits (below)."""
+    arcs = {}
+    for state in range(-window, window + 1):
+        later = state - 1 if state > 0 else min(0, state + 1)
+        for kind in range(6):
+            arcs[state, kind] = [(later, None)]
+        arcs[state, TARGET] = [(window, None)]
+        arcs[state, INSULT] = [(-window, None)]
+        if state > 0:
+            arcs[state, INSULT] = [(0, BEFORE), (-window, None), (later, None)]
+        elif state < 0:
+            arcs[state, TARGET] = [(0, AFTER), (window, None)]
+    return Transducer(arcs)
+
+
+GRAMMAR = (attached(5), within(THREAT, TARGET, 3, MENACE), within(NEGATION, INSULT, 2, NEGATED), within(REPORT, INSULT, 6, REPORTED))
 
 
 class Composition:
-    """The product of transducers, with states and arcs made as they are met."""
+    """The product of transducers under arc weights, with states and arcs made as they are met."""
 
-    def __init__(self, parts):
-        self.parts = parts
+    def __init__(self, parts, weights=PRIOR):
+        self.parts, self.weights = parts, tuple(weights)
         self.start = (0,) * len(parts)
         self.known: dict = {}
 
-    def step(self, states: tuple, kind: int) -> list[tuple[tuple, float]]:
+    def step(self, states: tuple, kind: int) -> list:
+        """(next states, weight, what is counted) of each way on."""
         key = states, kind
         if key not in self.known:
-            paths = [((), 0.0)]
+            paths = [((), ())]
             for part, state in zip(self.parts, states, strict=True):
-                paths = [((*s, n), w + x) for s, w in paths for n, x in part.step(state, kind)]
-            self.known[key] = paths
+                paths = [((*s, n), c if counts is None else (*c, counts)) for s, c in paths for n, counts in part.step(state, kind)]
+            self.known[key] = [(s, sum(self.weights[k] for k in c), c) for s, c in paths]
         return self.known[key]
 
-    def best(self, kinds: list[int], weights: list[float]) -> float:
-        """Weight of the best path over a clause; weights: the cues' own."""
-        now = {self.start: 0.0}
-        for kind, own in zip(kinds, weights, strict=True):
+    def best(self, kinds: list[int], cues: list[float]) -> tuple[float, list[float]]:
+        """Weight of the best path over a clause, and how much each arc counts on it. Of equals the first."""
+        now = {self.start: (0.0, ())}
+        for kind, own in zip(kinds, cues, strict=True):
             following: dict = {}
-            for states, total in now.items():
-                for nxt, w in self.step(states, kind):
-                    value = total + w + own
-                    if value > following.get(nxt, -np.inf):
-                        following[nxt] = value
+            for states, (total, path) in now.items():
+                for nxt, w, c in self.step(states, kind):
+                    value = total + w + own * self.weights[CUE]
+                    if nxt not in following or value > following[nxt][0]:
+                        following[nxt] = value, path + c if c else path
             now = following
-        return max(now.values())
+        value, path = max(now.values(), key=lambda x: x[0])
+        counted = [0.0] * len(self.weights)
+        counted[CUE] = float(sum(cues))
+        for k in path:
+            counted[k] += 1
+        return value, counted
 
 
 class Classes(dict):
@@ -124,61 +149,86 @@ def cues_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)] if word else []
 
 
-FEATURES = 5
+FEATURES = 7
 
 
-def clause_features(text: str | None, classes: Classes, grammar: Composition) -> list[float]:
-    """Best clause score, sum of scores, matched clauses, their share of clauses, log of the words."""
+def clause_features(text: str | None, classes: Classes, grammar: Composition) -> tuple[list[float], list[float]]:
+    """Of a text: best clause score, and logarithms of the sum of scores, of the matched
+    clauses, of the cues, and of the words; the shares of matched clauses and of cues. Then
+    what the arcs count in its matched clauses, for each of these."""
     lowered = (text or "").lower()
     words = lowered.split()
+    length = float(np.log1p(len(words)))
     if not any(classes[w][0] in (INSULT, THREAT) for w in words):
-        return [0.0, 0.0, 0.0, 0.0, float(np.log1p(len(words)))]
-    scores, clauses = [], 0
+        return [0.0, 0.0, 0.0, 0.0, length, 0.0, 0.0], [0.0] * len(PRIOR)
+    scores, clauses, cues, arcs = [], 0, 0, np.zeros(len(PRIOR))
     for clause in _CLAUSE.split(lowered):
         found = [classes[w] for w in clause.split()]
         clauses += bool(found)
         if any(k in (INSULT, THREAT) for k, _ in found):
-            score = grammar.best([k for k, _ in found], [w for _, w in found])
-            if score > 0:
-                scores.append(score)
-    if not scores:
-        return [0.0, 0.0, 0.0, 0.0, float(np.log1p(len(words)))]
-    return [max(scores), float(np.log1p(sum(scores))), float(np.log1p(len(scores))), len(scores) / clauses, float(np.log1p(len(words)))]
-
-
-def _cover(toxic: list[list[str]], clean: Counter, n_clean: int, most: int, least: int = 2) -> dict[str, float]:
-    """Cues for the toxic documents, given by their cues, and their weights."""
-    holders: dict[str, list[int]] = {}
+            score, counted = grammar.best([k for k, _ in found], [w for _, w in found])
+            arcs += counted
+            cues += sum(k == INSULT for k, _ in found)
+            scores.append(max(score, 0.0))
+    n = len(scores)
+    return [max(scores), float(np.log1p(sum(scores))), float(np.log1p(n)), float(np.log1p(cues)), length, n / clauses, float(np.log1p(100 * cues / len(words)))], (arcs / n).tolist()
+
+
+def _cover(toxic: list[list[str]], weight: dict[str, float], most: int, least: int, deep: int) -> dict[str, float]:
+    """Cues for the toxic documents, given by the candidates that they hold: at each step the
+    one that most documents hold that have fewer than `deep` cues yet, ties by weight; a word
+    before its beginnings."""
+    holders: dict[str, set[int]] = {}
     for k, cues in enumerate(toxic):
         for c in cues:
-            holders.setdefault(c, []).append(k)
-    weight = {c: float(np.log((len(h) + 0.5) / (len(toxic) + 1)) - np.log((clean[c] + 0.5) / (n_clean + 1))) for c, h in holders.items() if len(h) >= least}
-    # Gain: documents explained, less clean documents at odds; a word beats its beginnings on ties.
-    usable = {c: set(holders[c]) for c, w in weight.items() if w > 3 and clean[c] * 50 <= len(holders[c])}
+            holders.setdefault(c, set()).add(k)
     out: dict[str, float] = {}
-    gain = {c: len(h) for c, h in usable.items()}
-    left = set(range(len(toxic)))
+    gain = {c: len(h) for c, h in holders.items() if len(h) >= least}
+    left = dict.fromkeys(range(len(toxic)), deep)
     while left and len(out) < most:
-        best = max(gain, key=lambda c: (gain[c], "*" not in c, c), default=None)
+        best = max(gain, key=lambda c: (gain[c], weight[c], "*" not in c, c), default=None)
         if best is None or gain[best] < least:
             break
         out[best] = weight[best]
-        gone = usable.pop(best) & left
-        left -= gone
-        del gain[best]
-        for k in gone:
-            for c in toxic[k]:
-                if c in gain:
-                    gain[c] -= 1
+        stem = best.rstrip("*")
+        for c in [c for c in gain if c == best or c != stem and c.rstrip("*") != stem and (stem.startswith(c.rstrip("*")) or "*" in best and c.startswith(stem))]:
+            del gain[c]  # and cues that say the same less well: shorter beginnings, and what begins with it
+        for k in holders[best] & left.keys():
+            left[k] -= 1
+            if not left[k]:
+                del left[k]
+                for c in toxic[k]:
+                    if c in gain:
+                        gain[c] -= 1
     return out
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 5_000, most_cues: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _fitted_arcs(arcs: np.ndarray, y: np.ndarray, row_weights: np.ndarray, support: int = 20) -> list[float]:
+    """Arc weights in units of the cue's, from labelled texts that have matched clauses; arcs
+    that fewer than `support` of these take, and all if cues say nothing, keep their prior."""
+    some = arcs.any(axis=1)
+    out = list(PRIOR)
+    if not 0 < y[some].sum() < some.sum():
+        return out
+    _, scale, b = fit_logistic(arcs[some], y[some], row_weights[some])
+    own = b[:-1] / scale
+    if own[CUE] <= 0:
+        return out
+    for k in range(1, len(out)):
+        if np.count_nonzero(arcs[:, k]) >= support:
+            out[k] = float(np.clip(own[k] / own[CUE], -3.0, 3.0))
+    return out
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 5_000, most_cues: int = 2_000, candidates: int = 20_000, ratio: float = 20.0, least: int = 3, deep: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every text. Returns doc_id, held_out, score and predicted.
 
     Labels are learned from rows whose crc32(doc_id as text) mod 5 isn't 0, at most
-    `most` of each value: this bounds what training reads, and the cues that the driver
-    holds. Only texts are inputs of a score.
+    `most` of each value: this bounds what training reads. Candidates for cues are words
+    and beginnings that `least` toxic texts hold and that are `ratio` times as frequent in
+    toxic texts as in clean ones; the driver holds `candidates` of them at most, those that
+    most texts hold, and for each toxic text of the sample which of them it has.
+    Only texts are inputs of a score.
     Null or empty text: no clause matches, the score of clean texts. Null ids: not held
     out. No labels: the score is 0.5's constant and nothing is learned. Repeated rows:
     rows of their own. Very long texts: whole. Other columns are ignored.
@@ -189,46 +239,65 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
     sample, stands_for = labelled_sample(docs, labels.select("doc_id", label), label, most, fold(F.col("doc_id")) != 0)
     sample = written(sample, "toxicity-sample")
 
-    def cues(batches):
-        """Cues of each toxic document; those of clean ones counted by part, under a null id."""
+    def counted(batches):
+        """For each part: cues with the texts that hold them and how often, of toxic and of clean texts; words under a null cue."""
         for batch in batches:
-            ids, lists, n = [], [], []
-            clean: Counter = Counter()
-            for text, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = {c for w in set((text or "").lower().split()) for c in cues_of(w.strip(_EDGES))}
-                if y:
-                    ids.append(1), lists.append(sorted(own)), n.append([])
-                else:
-                    clean.update(own)
-            yield pa.RecordBatch.from_arrays([pa.array(ids + [0], pa.int32()), pa.array(lists + [list(clean)], pa.list_(pa.string())), pa.array(n + [list(clean.values())], pa.list_(pa.int64()))], ["y", "cues", "counts"])
-
-    parts = written(sample.select("doc_id", "text", "y").mapInArrow(cues, "y int, cues array<string>, counts array<long>"), "toxicity-cues")
-    of_toxic = parts.where("y = 1").select(F.explode("cues").alias("cue")).groupBy("cue").count().where("count > 1").select("cue")
-    of_clean = parts.where("y = 0").select(F.explode(F.arrays_zip("cues", "counts")).alias("c")).select(F.col("c.cues").alias("cue"), F.col("c.counts").alias("n"))
-    clean = of_clean.groupBy("cue").agg(F.sum("n").alias("n"))
-    rare = written(of_toxic.join(clean, "cue", "left").select("cue", F.coalesce("n", F.lit(0)).alias("n")).where("n <= 100"), "toxicity-rare")
-    counted = {r["cue"]: r["n"] for r in rare.where("n > 0").collect()}
-    kept = {r["cue"] for r in rare.where("n = 0").collect()} | set(counted)
-    toxic = [[c for c in r["cues"] if c in kept] for r in parts.where("y = 1").select("cues").toLocalIterator()]
-    n_clean = sample.where("y = 0").count()
-    lexicon = spark.sparkContext.broadcast(_cover(toxic, Counter(counted), n_clean, most_cues))
-
-    def features(batches):
-        classes, grammar = Classes(lexicon.value), Composition(GRAMMAR)
+            held: dict = {}
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                words = Counter((text.as_py() or "").lower().split())
+                own: Counter = Counter()
+                for w, n in words.items():
+                    for c in cues_of(w.strip(_EDGES)):
+                        own[c] += n
+                held[None, y] = (held.get((None, y), (0, 0))[0] + 1, held.get((None, y), (0, 0))[1] + sum(words.values()))
+                for c, n in own.items():
+                    texts, times = held.get((c, y), (0, 0))
+                    held[c, y] = texts + 1, times + n
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in held], pa.string()), pa.array([y for _, y in held], pa.int32()), pa.array([t for t, _ in held.values()], pa.int64()), pa.array([n for _, n in held.values()], pa.int64())], ["cue", "y", "texts", "times"])
+
+    parts = written(sample.select("text", "y").mapInArrow(counted, "cue string, y int, texts long, times long"), "toxicity-cues")
+    of = lambda y, c: F.sum(F.when(F.col("y") == y, F.col(c)).otherwise(0))
+    words = {r["y"]: r["n"] for r in parts.where("cue IS NULL").groupBy("y").agg(F.sum("times").alias("n")).collect()}
+    rates = parts.where("cue IS NOT NULL").groupBy("cue").agg(of(1, "texts").alias("texts"), of(1, "times").alias("toxic"), of(0, "times").alias("clean"))
+    odds = (F.col("toxic") + 0.5) / float(words.get(1, 0) + 1) / ((F.col("clean") + 0.5) / float(words.get(0, 0) + 1))
+    rates = rates.where(F.col("texts") >= least).withColumn("weight", F.log(odds)).where(odds >= ratio)
+    weight = {r["cue"]: r["weight"] for r in rates.orderBy(F.desc("texts"), F.desc("weight"), "cue").limit(candidates).collect()}
+    known = spark.sparkContext.broadcast(weight)
+
+    def holding(batches):
+        """The candidates that each toxic text has."""
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([clause_features(t.as_py(), classes, grammar) for t in batch.column(1)], pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted({c for w in set((t.as_py() or "").lower().split()) for c in cues_of(w.strip(_EDGES)) if c in known.value}) for t in batch.column(0)], pa.list_(pa.string()))], ["cues"])
+
+    # Each text once: copies hold no more than the text does.
+    toxic = [r["cues"] for r in sample.where("y = 1").select("text").distinct().mapInArrow(holding, "cues array<string>").collect()]
+    lexicon = spark.sparkContext.broadcast(_cover(sorted(toxic), weight, most_cues, least, deep))
+
+    def features(weights):
+        def run(batches):
+            classes, grammar = Classes(lexicon.value), Composition(GRAMMAR, weights)
+            for batch in batches:
+                rows = [clause_features(t.as_py(), classes, grammar) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in rows], pa.list_(pa.float64())), pa.array([a for _, a in rows], pa.list_(pa.float64()))], ["y", "x", "arcs"])
+
+        rows = sample.select("y", "text").mapInArrow(run, "y int, x array<double>, arcs array<double>").collect()
+        y = np.array([r["y"] for r in rows], float)
+        x, arcs = (np.array([r[c] for r in rows], float).reshape(-1, n) for c, n in (("x", FEATURES), ("arcs", len(PRIOR))))
+        order = np.lexsort((*x.T, *arcs.T, y))  # the same sums whatever order the rows came in
+        return x[order], arcs[order], y[order]
+
+    def stands(y):
+        return np.array([stands_for.get(int(v), 1.0) for v in y])
 
-    rows = sample.select("y", "text").mapInArrow(features, "y int, x array<double>").collect()
-    y = np.array([r["y"] for r in rows], float)
-    x = np.array([r["x"] for r in rows], float).reshape(-1, FEATURES)
-    order = np.lexsort((*x.T, y))  # the same sums whatever order the rows came in
-    x, y = x[order], y[order]
-    model = spark.sparkContext.broadcast(fit_logistic(x, y, np.array([stands_for.get(int(v), 1.0) for v in y])))
+    _, arcs, y = features(PRIOR)
+    arc_weights = _fitted_arcs(arcs, y, stands(y))
+    x, _, y = features(arc_weights)
+    model = spark.sparkContext.broadcast(fit_logistic(x, y, stands(y), ridge=0.1))
 
     def score(batches):
-        classes, grammar = Classes(lexicon.value), Composition(GRAMMAR)
+        classes, grammar = Classes(lexicon.value), Composition(GRAMMAR, arc_weights)
         for batch in batches:
-            x = np.array([clause_features(t.as_py(), classes, grammar) for t in batch.column(1)], float).reshape(-1, FEATURES)
+            x = np.array([clause_features(t.as_py(), classes, grammar)[0] for t in batch.column(1)], float).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-logits(model.value, x))))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

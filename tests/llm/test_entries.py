@@ -13,7 +13,7 @@ import corpus_pipeline
 from quillstack.llm import entries, media, packing, webp
 from tests.llm import test_jaccard, test_mixing, test_spans
 
-SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, LARGER, LARGEST = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 pytestmark = pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
 
 
@@ -107,8 +107,17 @@ def test_op7(spark):
     got = {r.doc_id: r for r in entries.op7_toxicity(spark, LARGER).collect()}
     assert len(got) == len(rows(spark, "documents", ["doc_id"], LARGER))
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for d, r in got.items())
-    right = [got[d].predicted == y for d, y in labels.items() if got[d].held_out]
-    assert sum(right) >= 0.9 * len(right)
+    held = [(got[d].predicted, y) for d, y in labels.items() if got[d].held_out]
+    assert sum(p for p, y in held if not y) == 0 and sum(p for p, y in held if y) >= 0.8 * sum(y for _, y in held)
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGEST), reason="no test tables")
+def test_op7_held_out(spark):
+    """Recall and precision on rows that are not learned from: 92 of 97 and 0.98 when this was written; some labelled texts hold no cue."""
+    labels = dict(rows(spark, "labels", ["doc_id", "toxic"], LARGEST))
+    held = [(r.predicted, labels[r.doc_id]) for r in entries.op7_toxicity(spark, LARGEST).where("held_out").collect() if r.doc_id in labels]
+    caught = sum(p and y for p, y in held)
+    assert caught >= 0.9 * sum(y for _, y in held) and caught >= 0.95 * sum(p for p, _ in held)
 
 
 def test_op8(spark):

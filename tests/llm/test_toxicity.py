@@ -4,13 +4,15 @@ import random
 import zlib
 from itertools import product
 
+import numpy as np
+
 from quillstack.llm import toxicity as tox
 
 
 def score(clause, cues):
     classes = tox.Classes(cues)
     found = [classes[w] for w in clause.split()]
-    return tox.Composition(tox.GRAMMAR).best([k for k, _ in found], [w for _, w in found])
+    return tox.Composition(tox.GRAMMAR).best([k for k, _ in found], [w for _, w in found])[0]
 
 
 def test_clauses():
@@ -24,11 +26,44 @@ def test_clauses():
     assert score("nothing to see", cues) == 0
 
 
-def test_composition_is_the_sum_of_its_parts():
-    whole = tox.Composition(tox.GRAMMAR)
+def paths(kinds, part=0):
+    """Everything that a transducer may count over kinds, by walking all its paths."""
+    transducer, out = tox.GRAMMAR[part], []
+    todo = [(0, 0, ())]
+    while todo:
+        at, state, counted = todo.pop()
+        if at == len(kinds):
+            out.append(counted)
+            continue
+        todo += [(at + 1, n, counted if c is None else (*counted, c)) for n, c in transducer.step(state, kinds[at])]
+    return out
+
+
+def test_best_path_against_all_paths():
+    weights = (1.0, 1.3, 0.7, 3.0, -1.5, -1.0)
+    whole = tox.Composition(tox.GRAMMAR, weights)
     for kinds in product(range(6), repeat=4):
-        parts = sum(tox.Composition([t]).best(list(kinds), [0.0] * 4) for t in tox.GRAMMAR)
-        assert abs(whole.best(list(kinds), [0.0] * 4) - parts) < 1e-9
+        got, counted = whole.best(list(kinds), [0.5 if k == tox.INSULT else 0.0 for k in kinds])
+        want = sum(max(sum(weights[c] for c in p) for p in paths(kinds, part)) for part in range(len(tox.GRAMMAR))) + 0.5 * kinds.count(tox.INSULT)
+        assert abs(got - want) < 1e-9
+        assert abs(got - sum(w * c for w, c in zip(weights, counted, strict=True))) < 1e-9
+
+
+def test_an_insult_has_one_target():
+    kinds = [tox.TARGET, tox.INSULT, tox.TARGET]
+    one = lambda before, after: tox.Composition(tox.GRAMMAR, (1.0, before, after, 3.0, -1.5, -1.0)).best(kinds, [0.0, 1.0, 0.0])[0]
+    assert one(1.0, 0.5) == 2.0 and one(0.5, 1.5) == 2.5 and one(-1.0, -1.0) == 1.0
+
+
+def test_arc_weights_follow_the_labels():
+    rng = np.random.default_rng(2)
+    arcs = np.zeros((400, 6))
+    arcs[:, tox.CUE] = rng.uniform(1, 5, 400)
+    arcs[:, tox.BEFORE] = rng.integers(0, 2, 400)
+    y = (arcs[:, tox.CUE] + 2 * arcs[:, tox.BEFORE] + rng.normal(0, 0.7, 400) > 4).astype(float)
+    got = tox._fitted_arcs(arcs, y, np.ones(400))
+    assert 1.0 < got[tox.BEFORE] <= 3.0 and got[tox.NEGATED] == tox.PRIOR[tox.NEGATED]
+    assert tox._fitted_arcs(arcs, np.zeros(400), np.ones(400)) == list(tox.PRIOR)
 
 
 def corpus(n=600):
@@ -61,6 +96,15 @@ def test_held_out_accuracy(spark):
     assert by[9000].score == by[9001].score == by[9002].score < 0.5
 
 
+def test_repeated_rows_and_long_texts(spark):
+    docs, labels = corpus()
+    long = " ".join(t for _, t in docs[1:4]) * 400 + " you zork."
+    df = spark.createDataFrame([*[(*d, 1) for d in docs], (*docs[4], 2), (7000, long, 3)], "doc_id long, text string, y int").repartition(3)
+    got = tox.score_documents(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    same = [r.score for r in got if r.doc_id == docs[4][0]]
+    assert len(got) == len(docs) + 2 and len(same) == 2 and same[0] == same[1] and sum(r.doc_id == 7000 for r in got) == 1
+
+
 def test_no_labels_and_empty(spark):
     docs, labels = corpus(20)
     df, none = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int")
