@@ -2,9 +2,11 @@
 
 First pass: every page's containers are scored by the running text right below them, and
 the page votes with its best few. A vote is for a generalised path: the tags from the
-body down with their classes, digits taken out. Spark adds the votes up per host (sums
-combined before the shuffle, so a host with most pages costs a row for each path and
-task) and the path with most votes wins. Second pass: every page's text is taken from
+body down with their classes, digits taken out. Spark adds the votes up per host, path and
+hash of the container's text, then per host and path; a path's votes count by the share of
+its texts that differ, so that a long notice that every page repeats loses to articles.
+All sums are combined before their shuffle. The path with most votes wins; paths whose
+texts repeat several times as much as its own are the host's furniture. Second pass: every page's text is taken from
 the containers at its host's winning path, or, where it has none, from its own best one.
 """
 
@@ -14,6 +16,7 @@ import re
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +38,14 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in class, id and role that mark what isn't the article: whole words, and beginnings.
 HINTS = frozenset("ad ads adv advert adverts advertisement advertising adslot sponsor sponsored promo promoted promotion sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs pager pagination footer foot copyright masthead topbar cookie cookies consent gdpr notice notices banner alert popup modal overlay paywall subscribe subscription newsletter signup login share sharing social related recommended recommendations trending popular widget comment comments commentlist discussion disqus respond reply replies tags toolbar skip complementary contentinfo search hidden".split())
 STARTS = ("advert", "sidebar", "comment", "cookie", "breadcrumb", "newsletter", "sponsor", "pagination", "navbar", "navigation")
+# Parts of articles, whatever they are called.
+UNHINTED = frozenset("body html main article figure figcaption picture pre code blockquote h1 h2 h3 h4 h5 h6 em strong b i".split())
 # What follows these in a class is about the page or its subject, not what the element is (has-sidebar, tag-search).
 ABOUT = frozenset("has have with without no category tag".split())
 # Of hinted elements, those that are often longer than the article.
 LONG = ("comment", "discussion", "disqus", "respond", "repl", "cookie", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "paywall")
+#: How many times as often as the winner's texts those of a host's furniture repeat.
+REPEATS = 3
 SITE_HEADERS = frozenset("header siteheader pageheader".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
@@ -77,7 +84,7 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool, str]:
             named += " " + value
         elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             skipped = True
-    if named and tag not in ("body", "html", "main", "article"):
+    if named and tag not in UNHINTED:
         words = [w for n in named.split() for w in _words(n)]
         found = {w for w in words if w in HINTS or w.startswith(STARTS)}
         if tag != "header" and not any(w in ("article", "entry", "post", "story") for w in words):
@@ -278,11 +285,18 @@ def at_path(root: Node, path: str) -> list[Node]:
     return now
 
 
-def main_text(html: str | None, path: str | None) -> tuple[str, str | None]:
-    """Text of a page, and the path that it was taken from."""
+def main_text(html: str | None, path: str | None, furniture: list[str] | None = None) -> tuple[str, str | None]:
+    """Text of a page, and the path that it was taken from; elements at the furniture's paths
+    are left out where the page has other text."""
     if not html:
         return "", None
     root = parse(html)
+    left_out = [n for f in furniture or () for n in at_path(root, f)]
+    for n in left_out:
+        n.skipped = True
+    if left_out and not blocks_of(root):
+        for n in left_out:
+            n.skipped = False
     found = at_path(root, path) if path else []
     text = "\n".join(t for n in found for _, t, _ in blocks_of(n))
     if text:
@@ -306,26 +320,33 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def vote(batches):
         for batch in batches:
-            totals: dict[tuple[str, str], float] = {}
+            totals: dict[tuple[str, str, int], tuple[int, int]] = {}
             for h, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 html = html.as_py()
                 best = candidates(parse(html)) if html else []
                 everything = sum(s for s, _ in best)
                 for s, n in best:
                     if s > 0:
-                        key = h, path_of(n)
-                        totals[key] = totals.get(key, 0.0) + s / everything
-            yield pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in totals], pa.string()), "path": pa.array([p for _, p in totals], pa.string()), "votes": pa.array([round(v * 1e6) for v in totals.values()], pa.int64())})
-
-    votes = rows.select("host", "html").mapInArrow(vote, "host string, path string, votes long")
-    winners = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes")).groupBy("host").agg(F.max(F.struct("votes", "path")).alias("w"))
-    winners = written(winners.select("host", F.col("w.path").alias("winning")), "pages-winners")
+                        key = h, path_of(n), xxhash.xxh3_64_intdigest("\n".join(t for _, t, _ in blocks_of(n)).encode("utf-8", "surrogatepass")) >> 1
+                        pages_, votes = totals.get(key, (0, 0))
+                        totals[key] = pages_ + 1, votes + round(s / everything * 1e6)
+            hosts, paths, texts = zip(*totals, strict=True) if totals else ((), (), ())
+            counts = [list(x) for x in zip(*totals.values(), strict=True)] or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(texts, pa.int64()), pa.array(counts[0], pa.int64()), pa.array(counts[1], pa.int64())], ["host", "path", "text", "pages", "votes"])
+
+    votes = rows.select("host", "html").mapInArrow(vote, "host string, path string, text long, pages long, votes long")
+    texts = votes.groupBy("host", "path", "text").agg(F.sum("pages").alias("pages"), F.sum("votes").alias("votes"))
+    paths = written(texts.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"), (F.count("*") / F.sum("pages")).alias("differ")), "pages-paths")
+    best = paths.groupBy("host").agg(F.max(F.struct(F.floor(F.col("votes") * F.col("differ")).alias("votes"), "path", "differ")).alias("w")).select("host", F.col("w.path").alias("winning"), F.col("w.differ").alias("own"))
+    repeated = (F.col("pages") >= 3) & (F.col("differ") * REPEATS <= F.col("own")) & ~F.startswith("winning", "path")
+    winners = paths.join(best, "host").groupBy("host").agg(F.first("winning").alias("winning"), F.collect_list(F.when(repeated, F.col("path"))).alias("furniture"))
+    winners = written(winners, "pages-winners")
 
     def again(batches):
         for batch in batches:
-            done = [main_text(h.as_py(), p) for h, p in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
+            done = [main_text(h.as_py(), p, f) for h, p, f in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             texts = [t for t, _ in done]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([p for _, p in done], pa.string())], ["page_id", "url", "text", "n_chars", "path"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return rows.join(winners, "host", "left").select("page_id", "url", "html", "winning").mapInArrow(again, f"page_id {kind}, url string, text string, n_chars long, path string")
+    return rows.join(winners, "host", "left").select("page_id", "url", "html", "winning", "furniture").mapInArrow(again, f"page_id {kind}, url string, text string, n_chars long, path string")
