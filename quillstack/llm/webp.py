@@ -2,9 +2,13 @@
 
 `decode` reads any lossless image: prefix codes, back-references, colour cache, entropy
 images, and the predictor, cross-colour, subtract-green and palette transforms.
-`encode_samples` stores bytes as the green samples of an image under one prefix code.
-`decode_many` decodes streams that hold nothing but such literals side by side, two
-symbols a step, and hands every other stream to `decode`.
+`encode_samples` stores bytes as the green samples of an image in the smallest of these
+forms: literals; literals and back-references to what repeats; either of them over a
+palette that packs several pixels into one, where 16 samples or fewer occur; or over what a
+predictor leaves, where its entropy is far less. Images of one channel have no use for the
+others: nothing crosses colours, and a cache entry costs the bits of the sample itself.
+`decode_many` decodes streams that hold nothing but literals side by side, two symbols a
+step, and hands every other stream to `decode`.
 """
 
 from __future__ import annotations
@@ -129,14 +133,6 @@ def read_code(bits: Bits, size: int) -> Code:
     return Code(lengths)
 
 
-def _extended(bits: Bits, symbol: int) -> int:
-    """Length or distance of its prefix symbol and extra bits."""
-    if symbol < 4:
-        return symbol + 1
-    extra = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
-
-
 def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     """An entropy-coded image as ARGB words; main: it may have several groups of codes."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -151,20 +147,50 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (GREEN + (1 << cache_bits if cache_bits else 0), PLAIN, PLAIN, PLAIN, DISTANCE)
     groups = [[read_code(bits, n) for n in sizes] for _ in range(count)]
     cache = [0] * (1 << cache_bits) if cache_bits else None
-    shift, out, n, cached = 32 - cache_bits, [], width * height, 0
-    green, red, blue, alpha, distance = groups[0]
-    while len(out) < n:
-        at = len(out)
+    shift, out, n, cached, at = 32 - cache_bits, [], width * height, 0, 0
+    data, pos = bits.data, bits.at >> 3
+    window, held = int.from_bytes(data[pos : pos + 16], "little") >> (bits.at & 7), 128 - (bits.at & 7)
+    pos += 16
+    tables = [[(c.table(), (1 << c.longest) - 1) if c.only is None else ([(c.only, 0)], 0) for c in g] for g in groups]
+    constant = [c[1].only << 16 | c[2].only | c[3].only << 24 if all(x.only is not None for x in c[1:4]) else None for c in groups]
+    own, fixed = tables[0], constant[0]
+    while at < n:
+        if held < 64:  # no pixel takes more
+            window |= int.from_bytes(data[pos : pos + 16], "little") << held
+            held += 128
+            pos += 16
         if group_of is not None:
-            green, red, blue, alpha, distance = groups[group_of[(at // width >> block) * across + (at % width >> block)]]
-        s = green.read(bits)
+            g = group_of[(at // width >> block) * across + (at % width >> block)]
+            own, fixed = tables[g], constant[g]
+        table, mask = own[0]
+        s, k = table[window & mask]
+        window >>= k
+        held -= k
         if s < 256:
-            r = red.read(bits)
-            b = blue.read(bits)
-            out.append(alpha.read(bits) << 24 | r << 16 | s << 8 | b)
+            if fixed is not None:
+                out.append(fixed | s << 8)
+            else:
+                p = s << 8
+                for (table, mask), place in zip(own[1:4], (16, 0, 24), strict=True):
+                    x, k = table[window & mask]
+                    window >>= k
+                    held -= k
+                    p |= x << place
+                out.append(p)
+            at += 1
         elif s < GREEN:
-            length = _extended(bits, s - 256)
-            d = _extended(bits, distance.read(bits))
+            values = []
+            for symbol in (s - 256, None):
+                if symbol is None:
+                    table, mask = own[4]
+                    symbol, k = table[window & mask]
+                    window >>= k
+                    held -= k
+                extra = max(0, (symbol - 2) >> 1)
+                values.append(symbol + 1 if symbol < 4 else ((2 + (symbol & 1)) << extra) + (window & ((1 << extra) - 1)) + 1)
+                window >>= extra if symbol >= 4 else 0
+                held -= extra if symbol >= 4 else 0
+            length, d = values
             if d > 120:
                 d -= 120
             else:
@@ -172,15 +198,20 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
                 d = max(1, x + y * width)
             if d > at or at + length > n:
                 raise ValueError("back-reference out of the image")
-            for k in range(at - d, at - d + length):
-                out.append(out[k])
+            if d >= length:
+                out += out[at - d : at - d + length]
+            else:
+                piece = out[at - d :]
+                out += (piece * (length // d + 1))[:length]
+            at += length
         else:
             for p in out[cached:]:
                 cache[(HASH * p & 0xFFFFFFFF) >> shift] = p
             cached = at
             out.append(cache[s - GREEN])
-        if bits.at > bits.n:
-            raise ValueError("the image ends early")
+            at += 1
+    bits.at = 8 * pos - held
+    bits.check()
     return np.array(out, np.uint32)
 
 
@@ -437,36 +468,217 @@ def size_of(n: int) -> tuple[int, int]:
 MOST = 1 << 26
 
 
+#: Least bytes of a repeat that is stored as a back-reference, most of one, and how far back it may lie.
+REPEAT, LONGEST_COPY, FARTHEST = 16, 4096, (1 << 20) - 120
+#: Bytes among which repeats are looked for at a time.
+REACH = 1 << 22
+
+
+def repeats(d: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, distance, length) of stretches of REPEAT bytes or more that were there before, in order and apart."""
+    out: list[tuple[int, int, int]] = []
+    for low in range(0, len(d), REACH):
+        out += [(low + s, c, n) for s, c, n in _repeats(d[low : low + REACH])]
+    return out
+
+
+def _repeats(d: np.ndarray) -> list[tuple[int, int, int]]:
+    m = len(d) - REPEAT + 1
+    if m < 2:
+        return []
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(d, 8)).view("<u8").ravel()
+    a, b = words[:m], words[8 : 8 + m]
+    bits = min(20, max(8, m.bit_length()))
+    h = ((a * np.uint64(0x9E3779B97F4A7C15) ^ b) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - bits)).astype(np.int64)
+    at = np.arange(m)
+    first = np.zeros(1 << bits, np.int64)
+    first[h[::-1]] = at[::-1]
+    c = first[h]
+    hit = np.flatnonzero((c < at) & (a[c] == a) & (b[c] == b))
+    if not len(hit):
+        return []
+    # Neighbours that repeat neighbours are one stretch.
+    new = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(c[hit]) != 1)))
+    starts = np.flatnonzero(new)
+    lasts = hit[np.concatenate((starts[1:], [len(hit)])) - 1]
+    out, done = [], 0
+    for s, before, last in zip(hit[starts].tolist(), c[hit[starts]].tolist(), lasts.tolist(), strict=True):
+        distance, end = s - before, last + REPEAT
+        s = max(s, done)
+        if end - s < REPEAT or distance > FARTHEST:
+            continue
+        for k in range(s, end, LONGEST_COPY):
+            out.append((k, distance, min(LONGEST_COPY, end - k)))
+        done = end
+    return out
+
+
+def _prefixed(v: int) -> tuple[int, int, int]:
+    """Prefix symbol, extra bits and their number of a length or distance."""
+    u = v - 1
+    if u < 4:
+        return u, 0, 0
+    high = u.bit_length() - 1
+    return 2 * high + (u >> high - 1 & 1), u & (1 << high - 1) - 1, high - 1
+
+
+def _near_codes(width: int) -> dict[int, int]:
+    codes: dict[int, int] = {}
+    for k, (x, y) in enumerate(NEAR, 1):
+        codes.setdefault(max(1, x + y * width), k)
+    return codes
+
+
+def _green_image(head: Writer, d: np.ndarray, width: int, copies: list[tuple[int, int, int]], rest: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the codes of an image whose green samples are d, and red, blue and alpha the
+    constants of rest; returns values and sizes of the bits that follow."""
+    near = _near_codes(width) if copies else {}
+    covered = np.zeros(len(d) + 1, np.int64)
+    items = []  # place, symbol of the length, its extra bits, symbol of the distance, its extra bits
+    for s, distance, n in copies:
+        covered[s] += 1
+        covered[s + n] -= 1
+        items.append((s, _prefixed(n), _prefixed(near.get(distance, distance + 120))))
+    plain = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    counts = np.bincount(d[plain], minlength=GREEN)
+    far = np.zeros(DISTANCE, np.int64)
+    for _, (length, _, _), (symbol, _, _) in items:
+        counts[256 + length] += 1
+        far[symbol] += 1
+    lengths = code_lengths(counts)
+    if items:
+        far_lengths = code_lengths(far)
+    write_code(head, lengths[: (GREEN if items else 256)].tolist())
+    for only in rest:
+        write_code(head, [1 if s == only else 0 for s in range(only + 1)])
+    write_code(head, far_lengths.tolist() if items else [1])
+    single = np.count_nonzero(lengths) < 2
+    code, size = np.zeros(GREEN, np.uint64), np.zeros(GREEN, np.int64)
+    if not single:
+        for s, n, bits in canonical(lengths.tolist()):
+            code[s], size[s] = bits, n
+    values, sizes, keys = [code[d[plain]]], [size[d[plain]]], [plain * 4]
+    if items:
+        far_code = {s: (0, 0) for s in np.flatnonzero(far_lengths).tolist()}
+        if len(far_code) > 1:
+            far_code = {s: (bits, n) for s, n, bits in canonical(far_lengths.tolist())}
+        more = [((int(code[256 + a]), int(size[256 + a])), (x, n), far_code[b], (y, m)) for _, (a, x, n), (b, y, m) in items]
+        values.append(np.array([v for row in more for v, _ in row], np.uint64))
+        sizes.append(np.array([n for row in more for _, n in row], np.int64))
+        keys.append((np.array([s for s, _, _ in items])[:, None] * 4 + np.arange(4)).ravel())
+    order = np.argsort(np.concatenate(keys), kind="stable") if items else slice(None)
+    return np.concatenate(values)[order], np.concatenate(sizes)[order]
+
+
+def _stream(head: Writer, values: np.ndarray, n: np.ndarray) -> bytes:
+    """The bits of head and then of the values, each of at most 32 bits."""
+    if not n.any():
+        return head.value.to_bytes(-(-head.n // 8), "little")
+    ends = np.cumsum(n)
+    at = ends - n + (head.n & 31)
+    word = at >> 5
+    v = values << (at & 31).astype(np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    sums = np.zeros(int(word[-1]) + 2, np.uint64)
+    sums[word[first]] = np.add.reduceat(v & np.uint64(0xFFFFFFFF), first)
+    sums[word[first] + 1] += np.add.reduceat(v >> np.uint64(32), first)
+    full, rest = head.n >> 5 << 5, head.value >> (head.n >> 5 << 5)
+    sums[0] += np.uint64(rest)
+    stream = (head.value & ((1 << full) - 1)).to_bytes(full // 8, "little") + sums.astype("<u4").tobytes()
+    return stream[: -(-(head.n + int(ends[-1])) // 8)]
+
+
+def _start(width: int, height: int) -> Writer:
+    head = Writer()
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
+        head.put(value, n)  # signature, size, no alpha, version
+    return head
+
+
+def _single(head: Writer, pixels: list[tuple[int, int]]) -> None:
+    """A small image of (alpha, green) pixels behind its codes, without cache."""
+    head.put(0, 1)
+    greens, alphas = ([p[k] for p in pixels] for k in (1, 0))
+    lengths = [code_lengths(np.bincount(x, minlength=256)).tolist() for x in (greens, alphas)]
+    write_code(head, lengths[0])
+    write_code(head, [1])
+    write_code(head, [1])
+    write_code(head, lengths[1])
+    write_code(head, [1])
+    codes = [{s: (bits, n) for s, n, bits in canonical(x)} for x in lengths]
+    for alpha, green in pixels:
+        for x, own in ((green, codes[0]), (alpha, codes[1])):
+            if len(own) > 1:
+                head.put(*own[x])
+
+
+def _plain(d: np.ndarray, width: int, height: int, copies) -> bytes:
+    head = _start(width, height)
+    head.put(0, 3)  # no transform, no cache, one group
+    return _stream(head, *_green_image(head, d, width, copies, (0, 0, 255)))
+
+
+def _palette(d: np.ndarray, width: int, height: int) -> bytes:
+    """Indices of the samples, several to a pixel."""
+    used = np.unique(d)
+    pack = 3 if len(used) <= 2 else 2 if len(used) <= 4 else 1
+    head = _start(width, height)
+    head.put(1 | 3 << 1, 3)
+    head.put(len(used) - 1, 8)
+    steps = np.diff(used.astype(np.int64), prepend=0)
+    _single(head, [(255 if k == 0 else 0, int(x)) for k, x in enumerate(steps)])
+    head.put(0, 3)
+    each = 8 >> pack
+    index = np.searchsorted(used, d).reshape(height, -1, 1 << pack)
+    packed = (index << each * np.arange(1 << pack)).sum(axis=2).astype(np.uint8).ravel()
+    return _stream(head, *_green_image(head, packed, width >> pack, repeats(packed), (0, 0, 255)))
+
+
+def _predicted(d: np.ndarray, width: int, height: int, mode: int, left: np.ndarray) -> bytes:
+    """What predictor 1 (left) or 2 (above) leaves of the samples."""
+    head = _start(width, height)
+    head.put(1, 3)
+    head.put(7, 3)
+    _single(head, [(0, mode)] * ((-(-width >> 9)) * (-(-height >> 9))))
+    head.put(0, 3)
+    return _stream(head, *_green_image(head, left, width, repeats(left), (0, 0, 0)))
+
+
+def _residuals(d: np.ndarray, width: int, mode: int) -> np.ndarray:
+    out = d.reshape(-1, width).copy()
+    if mode == 1:
+        out[:, 1:] -= d.reshape(-1, width)[:, :-1]
+        out[1:, 0] -= d.reshape(-1, width)[:-1, 0]
+    else:
+        out[1:] -= d.reshape(-1, width)[:-1]
+        out[0, 1:] -= d[: width - 1]
+    return out.ravel()
+
+
+def _entropy(d: np.ndarray) -> float:
+    p = np.bincount(d, minlength=256)
+    p = p[p > 0] / len(d)
+    return float(-(p * np.log2(p)).sum())
+
+
 def encode_samples(data: bytes) -> bytes:
-    """A WebP file whose green samples are data (a positive multiple of 64 bytes, MOST at most)."""
+    """A WebP file whose green samples are data (a positive multiple of 64 bytes, MOST at
+    most): the smallest of the forms that may pay; of equals the plainest."""
     d = np.frombuffer(data, np.uint8)
     width, height = size_of(len(d))
-    lengths = code_lengths(np.bincount(d, minlength=256))
-    head = Writer()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
-        head.put(value, n)  # signature, size, no alpha, version, no transform, no cache, one group
-    write_code(head, lengths.tolist())
-    for only in (0, 0, 255, 0):
-        write_code(head, [1 if s == only else 0 for s in range(only + 1)])
-    if np.count_nonzero(lengths) < 2:
-        stream = head.value.to_bytes(-(-head.n // 8), "little")
-    else:
-        bits, sizes = np.zeros(256, np.uint64), lengths.astype(np.int64)
-        for s, _, code in canonical(lengths.tolist()):
-            bits[s] = code
-        n = sizes[d]
-        ends = np.cumsum(n)
-        at = ends - n + (head.n & 31)
-        word = at >> 5
-        v = bits[d] << (at & 31).astype(np.uint64)
-        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        sums = np.zeros(int(word[-1]) + 2, np.uint64)
-        sums[word[first]] = np.add.reduceat(v & np.uint64(0xFFFFFFFF), first)
-        sums[word[first] + 1] += np.add.reduceat(v >> np.uint64(32), first)
-        full, rest = head.n >> 5 << 5, head.value >> (head.n >> 5 << 5)
-        sums[0] += np.uint64(rest)
-        stream = (head.value & ((1 << full) - 1)).to_bytes(full // 8, "little") + sums.astype("<u4").tobytes()
-        stream = stream[: -(-(head.n + int(ends[-1])) // 8)]
+    own = _entropy(d)
+    copies = repeats(d)
+    # Back-references make decoding slower: they are used where they cover an eighth of the samples.
+    if sum(n for _, _, n in copies) * 8 < len(d):
+        copies = []
+    forms = [_plain(d, width, height, copies)]
+    if 1 < len(np.unique(d)) <= 16:
+        forms.append(_palette(d, width, height))
+    for mode in (1, 2):
+        left = _residuals(d, width, mode)
+        if _entropy(left) < own * 0.75:
+            forms.append(_predicted(d, width, height, mode, left))
+    stream = min(forms, key=len)
     pad = b"\0" * (len(stream) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(stream) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + pad
 

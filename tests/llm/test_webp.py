@@ -193,6 +193,76 @@ def test_samples_round_trip():
 
 
 
+def header(data):
+    """Kind of a file's first transform, as a list; empty without one."""
+    bits = webp.Bits(webp.stream_of(data))
+    webp._header(bits)
+    return [bits.read(2)] if bits.read(1) else []
+
+
+def samples(data):
+    return (webp.decode(data) >> 8 & 255).astype(np.uint8).tobytes()
+
+
+def test_forms_of_texts():
+    rnd = random.Random(6)
+    word = lambda n=5: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    prose = " ".join(word(rnd.randint(2, 9)) for _ in range(900))
+    line = " ".join(word() for _ in range(12)) + "\n"
+    far = word(3000) + prose[:800] + word(2500) + prose[:800] * 3
+    texts = {"prose": prose, "lines": line * 60, "runs": "a" * 5000 + "b", "few": "".join(rnd.choice("abcd") for _ in range(700)), "sixteen": "".join(rnd.choice("0123456789abcde") for _ in range(3000)), "two": "ab" * 40 + "b" * 48, "far": far, "short": "x", "empty": ""}
+    sizes = {}
+    for name, text in texts.items():
+        payload, _ = media.payload_of(text)
+        stored = webp.encode_samples(payload)
+        assert samples(stored) == payload == webp.decode_payloads([stored])[0], name
+        sizes[name] = len(stored) / len(payload)
+    assert header(webp.encode_samples(media.payload_of(texts["few"])[0])) == [3]
+    assert sizes["lines"] < 0.1 and sizes["runs"] < 0.05 and sizes["few"] < 0.4 and sizes["far"] < 0.5 < sizes["prose"] < 0.65
+
+
+def test_predictors_where_they_pay():
+    ramp = bytes((k * 3 + (k // 64) * 7) % 256 for k in range(64 * 40))
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 256, 64)
+    below = np.cumsum(np.vstack([rows, rng.integers(0, 2, (50, 64))]), axis=0).astype(np.uint8).tobytes()
+    for data in (ramp, below):
+        stored = webp.encode_samples(data)
+        assert header(stored) == [0] and samples(stored) == data and len(stored) < len(data) / 3
+
+
+@pytest.mark.parametrize("width", [64, 128])
+def test_each_form_is_read_back(width):
+    rng = np.random.default_rng(4)
+    d = rng.choice(np.array([7, 9, 200, 31], np.uint8), width * 30)
+    d[width * 10 : width * 20] = d[: width * 10]
+    wrap = lambda x: b"RIFF" + (12 + len(x) + (len(x) & 1)).to_bytes(4, "little") + b"WEBPVP8L" + len(x).to_bytes(4, "little") + x + b"\0" * (len(x) & 1)
+    forms = [webp._plain(d, width, 30, []), webp._plain(d, width, 30, webp.repeats(d)), webp._palette(d, width, 30)]
+    forms += [webp._predicted(d, width, 30, mode, webp._residuals(d, width, mode)) for mode in (1, 2)]
+    for x in forms:
+        assert samples(wrap(x)) == d.tobytes()
+
+
+def test_repeats():
+    rng = np.random.default_rng(8)
+    d = rng.integers(0, 4, 4000).astype(np.uint8)
+    d[3000:3900] = d[100:1000]
+    d[2000:2300] = 5
+    done = 0
+    for s, distance, n in webp.repeats(d):
+        assert s >= done and distance > 0 and all(d[s + k] == d[s + k - distance] for k in range(n))
+        done = s + n
+    assert sum(n for _, _, n in webp.repeats(d)) >= 900 + 270
+
+
+def test_files_of_another_encoder():
+    """Two well-known images of one pixel that web pages probe browsers with."""
+    import base64
+
+    for text in ("UklGRh4AAABXRUJQVlA4TBEAAAAvAAAAAAfQ//73v/+BiOh/AAA=", "UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="):
+        assert webp.decode(base64.b64decode(text)).tolist() in ([[0xFFFFFFFF]], [[0]])
+
+
 def test_media(spark):
     rows = [(1, "hello world"), (2, None), (3, ""), (4, "é" * 5000), (1, "hello world"), (None, "x" * 64)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
