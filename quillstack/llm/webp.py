@@ -488,10 +488,10 @@ def _repeats(d: np.ndarray) -> list[tuple[int, int, int]]:
         return []
     words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(d, 8)).view("<u8").ravel()
     a, b = words[:m], words[8 : 8 + m]
-    bits = min(20, max(8, m.bit_length()))
+    bits = min(22, max(8, m.bit_length() + 2))
     h = ((a * np.uint64(0x9E3779B97F4A7C15) ^ b) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - bits)).astype(np.int64)
     at = np.arange(m)
-    first = np.zeros(1 << bits, np.int64)
+    first = np.zeros(1 << bits, np.int32)  # of windows in one slot the earliest is known: a few repeats are missed
     first[h[::-1]] = at[::-1]
     c = first[h]
     hit = np.flatnonzero((c < at) & (a[c] == a) & (b[c] == b))
@@ -499,20 +499,32 @@ def _repeats(d: np.ndarray) -> list[tuple[int, int, int]]:
         return []
     # Neighbours that repeat neighbours are one stretch.
     new = np.concatenate(([True], (np.diff(hit) != 1) | (np.diff(c[hit]) != 1)))
-    starts = np.flatnonzero(new)
-    lasts = hit[np.concatenate((starts[1:], [len(hit)])) - 1]
-    out, done = [], 0
-    for s, before, last in zip(hit[starts].tolist(), c[hit[starts]].tolist(), lasts.tolist(), strict=True):
-        distance, end = s - before, last + REPEAT
-        s = max(s, done)
-        if end - s < REPEAT or distance > FARTHEST:
-            continue
-        for k in range(s, end, LONGEST_COPY):
-            out.append((k, distance, min(LONGEST_COPY, end - k)))
-        done = end
+    firsts, before = hit[new], c[hit[new]]
+    ends = hit[np.concatenate((np.flatnonzero(new)[1:], [len(hit)])) - 1] + REPEAT
+    out, done, k = [], 0, 0
+    while k < len(firsts):
+        distance, end = int(firsts[k] - before[k]), int(ends[k])
+        s = max(int(firsts[k]), done)
+        if distance <= FARTHEST:
+            if end < len(d) and d[end] == d[end - distance]:
+                end = _extended(d, end, distance)
+            out += [(x, distance, min(LONGEST_COPY, end - x)) for x in range(s, end, LONGEST_COPY)]
+            done = end
+        k = max(k + 1, int(np.searchsorted(ends, done + REPEAT)))
     return out
 
 
+def _extended(d: np.ndarray, end: int, distance: int) -> int:
+    """Where a stretch that repeats what is distance before it stops."""
+    step = 64
+    while end < len(d):
+        differs = d[end : end + step] != d[end - distance : end - distance + len(d[end : end + step])]
+        if differs.any():
+            return end + int(differs.argmax())
+        end, step = min(len(d), end + step), 2 * step
+    return end
+
+
 def _prefixed(v: int) -> tuple[int, int, int]:
     """Prefix symbol, extra bits and their number of a length or distance."""
     u = v - 1
