@@ -488,13 +488,20 @@ def _repeats(d: np.ndarray) -> list[tuple[int, int, int]]:
         return []
     words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(d, 8)).view("<u8").ravel()
     a, b = words[:m], words[8 : 8 + m]
-    bits = min(22, max(8, m.bit_length() + 2))
-    h = ((a * np.uint64(0x9E3779B97F4A7C15) ^ b) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - bits)).astype(np.int64)
+    bits = min(20, max(8, m.bit_length() + 1))
     at = np.arange(m)
-    first = np.zeros(1 << bits, np.int32)  # of windows in one slot the earliest is known: a few repeats are missed
-    first[h[::-1]] = at[::-1]
-    c = first[h]
-    hit = np.flatnonzero((c < at) & (a[c] == a) & (b[c] == b))
+    c, rest = at.copy(), at
+    for factor in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F):  # those whose slot another window has try again
+        h = ((a[rest] * np.uint64(factor) ^ b[rest]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - bits)).astype(np.int64)
+        first = np.zeros(1 << bits, np.int32)
+        first[h[::-1]] = rest[::-1]
+        found = first[h]
+        same = (a[found] == a[rest]) & (b[found] == b[rest])
+        c[rest[same]] = found[same]
+        rest = rest[~same]
+        if not len(rest):
+            break
+    hit = np.flatnonzero(c < at)
     if not len(hit):
         return []
     # Neighbours that repeat neighbours are one stretch.
