@@ -541,6 +541,12 @@ def _prefixed(v: int) -> tuple[int, int, int]:
     return 2 * high + (u >> high - 1 & 1), u & (1 << high - 1) - 1, high - 1
 
 
+def _only(out: Writer, symbol: int) -> None:
+    """The description of a code of one symbol below 256."""
+    out.put(1 | (symbol > 1) << 2, 3)
+    out.put(symbol, 8 if symbol > 1 else 1)
+
+
 def _near_codes(width: int) -> dict[int, int]:
     codes: dict[int, int] = {}
     for k, (x, y) in enumerate(NEAR, 1):
@@ -569,8 +575,11 @@ def _green_image(head: Writer, d: np.ndarray, width: int, copies: list[tuple[int
         far_lengths = code_lengths(far)
     write_code(head, lengths[: (GREEN if items else 256)].tolist())
     for only in rest:
-        write_code(head, [1 if s == only else 0 for s in range(only + 1)])
-    write_code(head, far_lengths.tolist() if items else [1])
+        _only(head, only)
+    if items:
+        write_code(head, far_lengths.tolist())
+    else:
+        _only(head, 0)
     single = np.count_nonzero(lengths) < 2
     code, size = np.zeros(GREEN, np.uint64), np.zeros(GREEN, np.int64)
     if not single:
@@ -693,7 +702,7 @@ def encode_samples(data: bytes) -> bytes:
     forms = [_plain(d, width, height, copies)]
     if 1 < len(np.unique(d)) <= 16:
         forms.append(_palette(d, width, height))
-    for mode in (1, 2):
+    for mode in (1, 2) if own > 5 else ():  # below that, as in prose, prediction has never paid
         left = _residuals(d, width, mode)
         if _entropy(left) < own * 0.75:
             forms.append(_predicted(d, width, height, mode, left))
