@@ -18,6 +18,10 @@ _HTML = re.compile(r"<(?:[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*
 _BARE = re.compile(r"(?:https?://|ftp://|www\.)[^\s<]+|[A-Za-z0-9._+-]+@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+")
 _DESTINATION = re.compile(r"<((?:[^<>\n\\]|\\.)*)>|((?:\\.|[^\s\\()]|\((?:\\.|[^\s\\()]|\([^\s()]*\))*\))*)")
 _TITLE = re.compile(r"\"((?:\\.|[^\"\\])*)\"|'((?:\\.|[^'\\])*)'|\(((?:\\.|[^()\\])*)\)", re.S)
+#: Without any of these, text is plain.
+_SPECIAL = re.compile(r"[\\\n`<*_~\[\]@]|://|www\.")
+_TICKS, _WORD, _NOTE_REF, _LABEL, _SPACE = (re.compile(x) for x in ("`+", r"[^\W_]+", r"\[\^([^\]\s]+)\]", r"\[((?:\\.|[^\[\]\\])*)\]", r"\s*"))
+_RUNS = {c: re.compile(re.escape(c) + "+") for c in "*_~"}
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -91,24 +95,24 @@ def _strip_emphasis(pieces: list[Piece]) -> None:
 
 def _tail(text: str, at: int) -> tuple[str, str, int] | None:
     """Destination, title and end of an inline link's `(...)` at `at`."""
-    k = at + 1
-    space = re.compile(r"\s*")
-    k = space.match(text, k).end()
+    k = _SPACE.match(text, at + 1).end()
     m = _DESTINATION.match(text, k)
     url = m[1] if m[1] is not None else m[2] or ""
     end = m.end()
-    k = space.match(text, end).end()
+    k = _SPACE.match(text, end).end()
     title = ""
     if k > end:
         t = _TITLE.match(text, k)
         if t:
             title = next(x for x in t.groups() if x is not None)
-            k = space.match(text, t.end()).end()
+            k = _SPACE.match(text, t.end()).end()
     return (url, title, k + 1) if text[k : k + 1] == ")" else None
 
 
 def parse(text: str, links: dict[str, tuple[str, str]], notes: set[str]) -> list[Piece]:
     """The pieces of text. links: definitions by normal label; notes: footnote labels."""
+    if not _SPECIAL.search(text):
+        return [Piece("text", text)] if text else []
     out: list[Piece] = []
     openers: list[tuple[int, int, bool]] = []  # (index in out, place behind the bracket, image)
     plain: list[str] = []
@@ -136,7 +140,7 @@ def parse(text: str, links: dict[str, tuple[str, str]], notes: set[str]) -> list
             out.append(Piece("hard" if len(soft) - len(stripped) >= 2 else "soft"))
             at += 1
         elif c == "`":
-            run = re.compile("`+").match(text, at).group()
+            run = _TICKS.match(text, at).group()
             m = re.compile(rf"(?<!`){run}(?!`)").search(text, at + len(run))
             if m is None:
                 plain.append(run)
@@ -157,13 +161,13 @@ def parse(text: str, links: dict[str, tuple[str, str]], notes: set[str]) -> list
             out.append(Piece("html", m.group()))
             at = m.end()
         elif c in "*_~":
-            run = re.compile(re.escape(c) + "+").match(text, at).group()
+            run = _RUNS[c].match(text, at).group()
             opens, closes = _flanks(text, at, at + len(run))
             flush()
             ok = c != "~" or len(run) <= 2
             out.append(Piece("run", run, opens=opens and ok, closes=closes and ok))
             at += len(run)
-        elif c == "[" and (m := re.compile(r"\[\^([^\]\s]+)\]").match(text, at)) and m[1] in notes:
+        elif c == "[" and (m := _NOTE_REF.match(text, at)) and m[1] in notes:
             flush()
             out.append(Piece("note", m[1]))
             at = m.end()
@@ -187,7 +191,7 @@ def parse(text: str, links: dict[str, tuple[str, str]], notes: set[str]) -> list
             if text[at : at + 1] == "(":
                 found = _tail(text, at)
             if found is None:
-                m = re.compile(r"\[((?:\\.|[^\[\]\\])*)\]").match(text, at)
+                m = _LABEL.match(text, at)
                 name = m[1] if m and m[1].strip() else label
                 if normal_label(name) in links:
                     found = (*links[normal_label(name)], m.end() if m else at)
@@ -206,7 +210,7 @@ def parse(text: str, links: dict[str, tuple[str, str]], notes: set[str]) -> list
             before = text[at - 1 : at]
             m = _BARE.match(text, at) if not before or before.isspace() or before in "*_~(" else None
             if m is None:
-                word = re.compile(r"[^\W_]+").match(text, at)
+                word = _WORD.match(text, at)
                 end = word.end() if word else at + 1
                 plain.append(text[at:end])
                 at = end
@@ -260,25 +264,26 @@ def embed_size(size: str | None) -> tuple[int, int]:
 
 def scan(text: str, known_urls: set[str]):
     """(kind, attributes) of the constructs in text, family by family. known_urls: already links."""
-    for m in _SCAN["EMBED"].finditer(text):
+    linked = "[[" in text  # what a pattern can't do without is looked for first
+    for m in _SCAN["EMBED"].finditer(text) if linked else ():
         w, h = embed_size(m[4])
         yield "wiki_embed", {"target": m[1].strip(), "width": w, "height": h}
-    for m in _SCAN["WIKI"].finditer(text):
+    for m in _SCAN["WIKI"].finditer(text) if linked else ():
         yield "wiki_link", {"target": m[2].strip(), "anchor": m[3] or "", "block": m[4] or "", "alias": m[5] or ""}
-    for m in _SCAN["ENTITY"].finditer(text):
+    for m in _SCAN["ENTITY"].finditer(text) if "&" in text else ():
         yield "entity", {"raw": m.group()}
-    for m in _SCAN["MENTION"].finditer(text):
+    for m in _SCAN["MENTION"].finditer(text) if "@" in text else ():
         yield "mention", {"user": m[2]}
-    for m in _SCAN["ISSUE"].finditer(text):
+    for m in _SCAN["ISSUE"].finditer(text) if "#" in text or "GH-" in text else ():
         yield "issue_ref", {"repo": m[3] or "", "number": _int(m[2] or m[4] or m[5] or m[6])}
     for m in _SCAN["COMMIT"].finditer(text):
         yield "commit_ref", {"sha": m[1]}
-    for m in _SCAN["EMOJI"].finditer(text):
+    for m in _SCAN["EMOJI"].finditer(text) if ":" in text else ():
         yield "emoji", {"emoji": m[1]}
-    for m in _SCAN["MATH"].finditer(text):
+    for m in _SCAN["MATH"].finditer(text) if "$" in text else ():
         yield "inline_math", {"tex": m[1].strip()}
     seen = set(known_urls)
-    for m in _SCAN["URL"].finditer(text):
+    for m in _SCAN["URL"].finditer(text) if "http" in text else ():
         url = m.group().rstrip(rx.URL_TAIL)
         if url not in seen:
             seen.add(url)

@@ -19,7 +19,6 @@ from . import inline
 
 Line = tuple[int, str]
 
-_BLANK = re.compile(r"\s*$")
 _ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _FENCE = re.compile(r"( {0,3})(`{3,}|~{3,})[ \t]*(.*?)[ \t]*$")
 _BREAK = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
@@ -48,6 +47,7 @@ TEXTS = ("title", "text", "raw", "language", "code", "variant", "tex", "fence",
 NUMBERS = ("level", "list_start", "width", "height", "number")
 FLAGS = ("is_setext", "fenced", "ordered", "tight", "checked", "is_header", "is_bare", "is_mail", "hard")
 LISTS = ("headers", "aligns")
+_PLACE = {name: k for k, name in enumerate((*TEXTS, *NUMBERS, *FLAGS, *LISTS))}
 
 
 def tokens(text: str) -> int:
@@ -82,6 +82,14 @@ class Node:
         return ""
 
 
+#: What the first line of any block but a paragraph or indented code begins with.
+_MARKS = frozenset("#`~*-_>+[<0123456789")
+
+
+def _blank(text: str) -> bool:
+    return not text or text.isspace()
+
+
 def _indent(text: str) -> int:
     return len(text) - len(text.lstrip(" "))
 
@@ -110,6 +118,8 @@ class Parser:
 
     def starts_block(self, text: str) -> bool:
         """Whether a line ends an open paragraph."""
+        if text.lstrip(" ")[:1] not in _MARKS:
+            return False
         if _ATX.match(text) or _BREAK.match(text) or _QUOTE.match(text) or _NOTE.match(text):
             return True
         if (m := _FENCE.match(text)) and not (m[2][0] == "`" and "`" in m[3]):
@@ -123,10 +133,12 @@ class Parser:
         at = 0
         while at < len(lines):
             number, text = lines[at]
-            if _BLANK.match(text):
+            if _blank(text):
                 at += 1
             elif _indent(text) >= 4:
                 at = self.indented(lines, at, out)
+            elif text.lstrip(" ")[0] not in _MARKS:
+                at = self.paragraph(lines, at, out)
             elif m := _ATX.match(text):
                 title = re.sub(r"^#+$", "", m[2] or "")
                 out.append(Node("heading", number, number, 0, {"level": len(m[1]), "is_setext": False}, lines=[(number, title)]))
@@ -150,10 +162,10 @@ class Parser:
 
     def indented(self, lines, at, out) -> int:
         code = []
-        while at < len(lines) and (_BLANK.match(lines[at][1]) or _indent(lines[at][1]) >= 4):
+        while at < len(lines) and (_blank(lines[at][1]) or _indent(lines[at][1]) >= 4):
             code.append(lines[at])
             at += 1
-        while _BLANK.match(code[-1][1]):
+        while _blank(code[-1][1]):
             code.pop()
         text = "".join(t[4:] + "\n" for _, t in code)
         out.append(Node("code_block", code[0][0], code[-1][0] + 1, tokens(text), {"language": "", "fenced": False, "code": text}))
@@ -177,7 +189,7 @@ class Parser:
         kind = next(k for k, (o, _) in enumerate(_HTML) if o.match(lines[at][1]))
         close, body = _HTML[kind][1], []
         while at < len(lines):
-            if close is None and _BLANK.match(lines[at][1]):
+            if close is None and _blank(lines[at][1]):
                 break
             body.append(lines[at])
             at += 1
@@ -189,7 +201,7 @@ class Parser:
 
     def lazy(self, gathered: list[Line], text: str) -> bool:
         """Whether text, without its container's marker, goes on with the paragraph that ends gathered."""
-        if not gathered or _BLANK.match(text) or _BLANK.match(gathered[-1][1]) or self.starts_block(text) or _SETEXT.match(text) and "=" not in text:
+        if not gathered or _blank(text) or _blank(gathered[-1][1]) or self.starts_block(text) or _SETEXT.match(text) and "=" not in text:
             return False
         return self.ends_in_paragraph(gathered)
 
@@ -232,7 +244,7 @@ class Parser:
             blank = False
             while at < len(lines):
                 number, text = lines[at]
-                if _BLANK.match(text):
+                if _blank(text):
                     if len(body) == 1 and not body[0][1].strip():
                         break  # an empty item takes no blank lines
                     body.append((number, ""))
@@ -246,7 +258,7 @@ class Parser:
                     break
                 at += 1
             trailing = False
-            while len(body) > 1 and _BLANK.match(body[-1][1]):
+            while len(body) > 1 and _blank(body[-1][1]):
                 body.pop()
                 trailing = True
             item = Node("list_item")
@@ -254,13 +266,13 @@ class Parser:
                 item.kids = self.blocks(body)
             node.kids.append(item)
             ends = [k.start for k in item.kids]
-            loose = loose or any(_BLANK.match(t) and any(s > no for s in ends) and not any(k.start < no < k.end for k in item.kids if k.kind in ("code_block", "list")) for no, t in body)
+            loose = loose or any(_blank(t) and any(s > no for s in ends) and not any(k.start < no < k.end for k in item.kids if k.kind in ("code_block", "list")) for no, t in body)
             following = lines[at][1] if at < len(lines) else ""
             again = _ITEM.match(following)
             if trailing and again and again[2][-1] == mark and not _BREAK.match(following):
                 loose = True
-            while at < len(lines) and _BLANK.match(lines[at][1]):
-                nxt = next((t for _, t in lines[at:] if not _BLANK.match(t)), "")
+            while at < len(lines) and _blank(lines[at][1]):
+                nxt = next((t for _, t in lines[at:] if not _blank(t)), "")
                 again = _ITEM.match(nxt)
                 if not (again and again[2][-1] == mark):
                     break
@@ -277,7 +289,7 @@ class Parser:
         at += 1
         while at < len(lines):
             number, text = lines[at]
-            if _BLANK.match(text):
+            if _blank(text):
                 body.append((number, ""))
             elif _indent(text) >= 4:
                 body.append((number, text[4:]))
@@ -286,7 +298,7 @@ class Parser:
             else:
                 break
             at += 1
-        while len(body) > 1 and _BLANK.match(body[-1][1]):
+        while len(body) > 1 and _blank(body[-1][1]):
             body.pop()
         inner = self.blocks(body)
         node = Node("footnote_def", body[0][0], body[-1][0], 0, {"ref_id": m[1]})
@@ -301,7 +313,7 @@ class Parser:
             if body and (m := _SETEXT.match(text)) and (rest := self.definitions(body)):
                 out.append(Node("heading", rest[0][0], rest[-1][0], 0, {"level": 1 if m[1][0] == "=" else 2, "is_setext": True}, lines=[(n, t.strip()) for n, t in rest]))
                 return at + 1
-            if _BLANK.match(text) or body and self.starts_block(text):
+            if _blank(text) or body and self.starts_block(text):
                 break
             if body and _DEFINITION.match(text):
                 return self.definition_list(lines, at, body, out)
@@ -310,7 +322,7 @@ class Parser:
                 return self.table(lines, at, body[-1], out)
             body.append((number, text))
             at += 1
-        if at + 1 < len(lines) and _BLANK.match(lines[at][1]) and _DEFINITION.match(lines[at + 1][1]):
+        if at + 1 < len(lines) and _blank(lines[at][1]) and _DEFINITION.match(lines[at + 1][1]):
             return self.definition_list(lines, at + 1, body, out)
         self.close_paragraph(body, out)
         return at
@@ -346,7 +358,7 @@ class Parser:
             at += 1
             while at < len(lines):
                 number, text = lines[at]
-                if _BLANK.match(text):
+                if _blank(text):
                     body.append((number, ""))
                 elif _indent(text) >= min(offset, 4):
                     body.append((number, text[min(offset, _indent(text)) :]))
@@ -356,7 +368,7 @@ class Parser:
                     break
                 at += 1
             back = 0
-            while len(body) > 1 and _BLANK.match(body[-1][1]):
+            while len(body) > 1 and _blank(body[-1][1]):
                 body.pop()
                 back += 1
             node.kids.append(Node("definition", kids=self.blocks(body)))
@@ -374,7 +386,7 @@ class Parser:
 
         node = Node("table", attributes={"aligns": aligns}, kids=[row(head, True)])
         at += 1
-        while at < len(lines) and not _BLANK.match(lines[at][1]) and not self.starts_block(lines[at][1]):
+        while at < len(lines) and not _blank(lines[at][1]) and not self.starts_block(lines[at][1]):
             node.kids.append(row(lines[at], False))
             at += 1
         out.append(node)
@@ -538,16 +550,20 @@ def _all(nodes: list[Node]):
 
 def rows(text: str | None, compat: bool = False):
     """Rows of nodes in pre-order, as tuples in the order of schemas.NODES without doc_id."""
-    number = 0
+    out: list[tuple] = []
 
     def walk(node, parent, top, top_kind, depth, atomic):
-        nonlocal number
-        own = number
-        number += 1
-        a = node.attributes
-        yield (own, parent, top, depth, node.kind, node.start, node.end, node.tokens, atomic, top_kind, node.raw_text() if depth == 1 else None, *(a.get(k) for k in TEXTS), *(a.get(k) for k in NUMBERS), *(a.get(k) for k in FLAGS), *(a.get(k) for k in LISTS))
+        own = len(out)
+        values = [None] * len(_PLACE)
+        for name, value in node.attributes.items():
+            place = _PLACE.get(name)
+            if place is not None:
+                values[place] = value
+        out.append((own, parent, top, depth, node.kind, node.start, node.end, node.tokens, atomic, top_kind, node.raw_text() if depth == 1 else None, *values))
+        inside = atomic or node.kind in ATOMIC
         for kid in node.kids:
-            yield from walk(kid, own, top, top_kind, depth + 1, atomic or node.kind in ATOMIC)
+            walk(kid, own, top, top_kind, depth + 1, inside)
 
     for top, node in enumerate(parse(text or "", compat)):
-        yield from walk(node, None, top, node.kind, 1, False)
+        walk(node, None, top, node.kind, 1, False)
+    return out
