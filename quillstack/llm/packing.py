@@ -7,8 +7,9 @@ source. Bins are kept by residual, with one bit for each residual that some bin
 that the tightest bin is a successor search; each bin carries bitmaps of its clusters
 and sources, and the search goes on to the next bin until a compatible one is found.
 
-Pieces are dealt by a hash into groups of about group_size, packed on their own: a hot
-source or a large cluster spreads over all groups.
+Pieces are dealt by a hash into groups of about group_size, packed on their own, so that
+the tightest bin is sought among those of a piece's group; what that costs is the bins that
+a group ends with half filled. A hot source or a large cluster spreads over all groups.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def pack_group(pdf: pd.DataFrame, capacity: int, source_limit: int) -> pd.DataFr
     return pdf
 
 
-def pack(docs: DataFrame, capacity: int = 2048, source_limit: int = 3, group_size: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, source_limit: int = 3, group_size: int = 16384, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None) -> DataFrame:
     """Packs documents into bins of at most capacity words.
 
     Returns a row for each piece: doc_id, source, cluster, piece (from 0), start_word,

@@ -141,6 +141,22 @@ def test_op10(spark):
     assert sum(got[d].kept for d, y in labels.items() if y) >= 0.99 * sum(labels.values())
 
 
+@pytest.mark.skipif(not os.path.isdir(LARGEST), reason="no test tables")
+def test_op10_held_out(spark):
+    """Recall and precision for documents whose labels the classifier doesn't see."""
+    from pyspark.sql import functions as F
+
+    from quillstack.llm import quality
+
+    labels = spark.read.parquet(f"{LARGEST}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = spark.read.parquet(f"{LARGEST}/documents.parquet")
+    got = quality.score_documents(docs, labels.where(~held)).join(labels.where(held), "doc_id").select("kept", labels["quality"].alias("y")).collect()
+    kept, good = [r for r in got if r.kept], [r for r in got if r.y == 1]
+    right = sum(r.y == 1 for r in kept)
+    assert right >= 0.98 * len(good) and right >= 0.98 * len(kept)
+
+
 def test_pipeline(spark):
     """Each stage against a plain version of it, on what the stage before it kept."""
     from quillstack.llm.common import written

@@ -52,3 +52,68 @@ def test_accuracy_and_edges(spark):
 def test_features():
     assert quality.features_of(None) == quality.features_of(" \n") == [0.0] * quality.FEATURES
     assert quality.features_of("a a a a")[8] == pytest.approx(0.75)
+
+
+def test_features_by_hand():
+    rnd = random.Random(9)
+    for _ in range(40):
+        text = "".join(rnd.choice("aB1 ,|!#\n\té.") for _ in range(rnd.randint(1, 80)))
+        raw = text.encode()
+        words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+        if not words:
+            continue
+        solid = sum(c not in b" \n\t" for c in raw)
+        odd = sum(c in b"!#|" for c in raw)
+        capitals = raw.count(b"B")
+        letters = sum(c in b"aB" or c >= 128 for c in raw)
+        want = [odd / solid, min(1, odd / len(words)), sum(c in b",." for c in raw) / solid, capitals / max(1, letters), raw.count(b"1") / solid, letters / solid, raw.count(b"|") / len(words), raw.count(b"!") / len(words)]
+        # "!" and "|" are odd signs, commas and stops usual ones.
+        assert quality.features_of(text)[:8] == pytest.approx(want)
+        assert quality.features_of(text)[8:10] == pytest.approx([sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words), 1 - len(set(lines)) / len(lines)])
+
+
+def test_scores_by_hand(spark):
+    """The whole score again in plain Python, from the evidence on."""
+    import math
+
+    docs, labels = corpus(240)
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").repartition(3)
+    got = quality.score_documents(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+
+    def groups(key):
+        out = {}
+        for r in got:
+            out.setdefault(key(r), []).append(r.evidence)
+        return out
+
+    hosts, paths = groups(lambda r: r.host), groups(lambda r: (r.host, r.path))
+    rate = sum(r.evidence for r in got) / len(got)
+
+    def strength(parts):
+        n = sum(map(len, parts))
+        if len(parts) < 2 or n <= len(parts):
+            return 100.0
+        mean = [sum(p) / len(p) for p in parts]
+        within = max(sum((x - m) ** 2 for p, m in zip(parts, mean, strict=True) for x in p) / (n - len(parts)), 1e-6)
+        between = sum(len(p) * (m - rate) ** 2 for p, m in zip(parts, mean, strict=True))
+        spread = (between - (len(parts) - 1) * within) / max(n - sum(len(p) ** 2 for p in parts) / n, 1.0)
+        return min(max(within / max(spread, 1e-9), 5.0), 1e4)
+
+    of_hosts, of_paths = strength(list(hosts.values())), strength(list(paths.values()))
+    logit = lambda p: math.log(p / (1 - p))
+    for r in got:
+        h = (sum(hosts[r.host]) + of_hosts * rate) / (len(hosts[r.host]) + of_hosts)
+        own = paths[r.host, r.path]
+        p = (sum(own) + of_paths * h) / (len(own) + of_paths)
+        assert r.host_posterior == pytest.approx(h) and r.path_posterior == pytest.approx(p)
+        z = logit(min(max(r.evidence, 1e-12), 1 - 1e-12)) + logit(min(max(p, 1e-3), 1 - 1e-3)) - logit(rate)
+        assert r.quality == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and r.kept == (r.quality >= 0.5)
+
+
+def test_repeated_rows_long_texts_and_names(spark):
+    docs, labels = corpus(200)
+    rows = [(*d, 1, 2) for d in docs] + [(*docs[3], 1, 2), (700, docs[2][1] * 3000, "s1", "en", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, h int, evidence int").repartition(3)
+    got = quality.score_documents(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    twice = [r for r in got if r.doc_id == docs[3][0]]
+    assert len(got) == 202 and len(twice) == 2 and twice[0] == twice[1] and sum(r.doc_id == 700 for r in got) == 1
