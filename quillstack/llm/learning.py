@@ -44,7 +44,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, r
     rows_used: a condition on labels. Returns (doc_id, text, y) and for each value the
     number of labelled rows that one sampled row stands for.
 
-    Null labels or ids don't count; an id labelled twice counts with its smaller label.
+    Null labels or ids don't count; an id labelled twice counts with its smaller label, and
+    an id of several rows with its smallest text, so that no id fills the sample.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     if rows_used is not None:
@@ -55,4 +56,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, r
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64(F.col("doc_id"), F.lit(11)), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select("doc_id", "text").join(chosen, "doc_id"), {y: max(1.0, n / most) for y, n in counts.items()}
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return sample.select("doc_id", "text", "y"), {y: max(1.0, n / most) for y, n in counts.items()}

@@ -67,7 +67,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     is left after that is equal. Empty table or no words: no rows are taken, targets
     are 0. Other columns are dropped, so that clashing names don't matter.
     """
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    # By id and text, so that rows that share an id, or have none, are dealt over all buckets.
+    parts = F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit(""))
+    key = F.md5(F.concat_ws(":", *parts).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).cast("long").alias("size"), key.alias("_key"), F.xxhash64(id_col, source_col, text_col).alias("_sum"), (F.col(row_col) if row_col else F.lit(None).cast("long")).alias("_id"))
     rows = rows.withColumn("_bucket", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
     rows = written(rows.withColumn("_queue", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-rows")

@@ -335,8 +335,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int = 2, width: int = 8,
         if names:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    # Rows of one id, null or not, are dealt over as many shards as they fill: by their texts' checksums, and equal ones by place.
+    order = (F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("sum"), F.monotonically_increasing_id().alias("place"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *order)
+    rows = rows.repartitionByRange("doc_id", "sum", "place").sortWithinPartitions("doc_id", "sum", "place").select("doc_id", "text")
     return written(rows.mapInArrow(encode, "shard int, chunk int, n_ids long, payload binary"), "tokens", "none")
 
 

@@ -98,3 +98,18 @@ def test_write_and_read(spark):
         start += len(ids)
     assert got == want
     assert tokenfiles.read_tokens(tokenfiles.write_tokens(df.where("false"), PATH)).count() == 0
+
+
+def test_rows_of_one_id_are_dealt_out(spark):
+    rows = [(None, f"word {k} of many " * 20) for k in range(600)] + [(7, "the same text")] * 600
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = tokenfiles.write_tokens(df, PATH).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [len(tokenfiles.unpack_chunk(bytes(f.payload))[0]) for f in files]
+    assert sum(sizes) == 1200 and max(sizes) < 600
+    got = tokenfiles.read_tokens(tokenfiles.write_tokens(df, PATH)).collect()
+    ends = sorted((r.start, r.start + r.n_tokens, r.doc_id is None) for r in got)
+    assert all(a[1] == b[0] and a[2] >= b[2] for a, b in zip(ends, ends[1:], strict=False))
