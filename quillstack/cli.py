@@ -23,10 +23,11 @@ USAGE = """usage: python -m quillstack.cli [TARGET] [options]
   --since REF          sections changed since a git revision
   -r, --refs           links between files
   -j, --json           everything as JSON
+  --color              titles and notes in colours
   --stdin              a JSON manifest {root, files: [{path, content}]} on standard input"""
 
 _VALUES = {"-s": "section", "--section": "section", "-e": "expand", "--expand": "expand", "--search": "search", "-t": "type", "--type": "type", "--lang": "lang", "--kind": "kind", "--at": "at", "--since": "since"}
-_FLAGS = {"-r": "refs", "--refs": "refs", "-j": "json", "--json": "json", "--stdin": "stdin"}
+_FLAGS = {"-r": "refs", "--refs": "refs", "-j": "json", "--json": "json", "--stdin": "stdin", "--color": "color"}
 
 
 def options(args: list[str]) -> dict:
@@ -50,7 +51,8 @@ def options(args: list[str]) -> dict:
 
 
 class Views:
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, colours: bool = False):
+        self.colours = colours
         self.docs = docs.cache()
         plain = self.docs.where("format = 'md'")
         self.nodes = corpus.markdown_nodes(plain).cache()
@@ -68,7 +70,13 @@ class Views:
 
     def tree(self, secs: DataFrame | None = None) -> str:
         shown = views.indents(sections.tree(self.sections if secs is None else secs))
-        return render.tree(self.rows(shown.join(views.notes(self.nodes, self.sections), ["doc_id", "sec_id"], "left"), "sec_id"))
+        return render.tree(self.rows(shown.join(views.notes(self.nodes, self.sections), ["doc_id", "sec_id"], "left"), "sec_id"), self.colours)
+
+    def document(self) -> str:
+        """The tree below a box with the document's name, sections, tokens and counters."""
+        r = constructs.inventory(self.docs, self.nodes, self.sections).withColumn("rows", views.summary_rows()).first()
+        head = [f"Sections: {r['sections']} │ ~{render.tokens(r['total_tokens'])} tokens", *r["rows"]]
+        return "\n".join([render.box(r["filename"], head), "", self.tree()])
 
     def inventory(self, name: str) -> str:
         per = constructs.inventory(self.docs, self.nodes, self.sections)
@@ -107,10 +115,13 @@ class Views:
             return f"No {label} found."
         out = []
         for r in rows:
-            head = f"{r['breadcrumb']} ({render.tokens(r['tokens'])})"
-            out += [head] * (head not in out) + [f"  {r['line']}"]
+            head = self._head(r)
+            out += [head] * (head not in out) + ["  " + render.paint(r["line"], "dim", self.colours)]
         return "\n".join(out)
 
+    def _head(self, r: dict) -> str:
+        return f"{render.paint(r['breadcrumb'], 'bold cyan', self.colours)} {render.paint('(' + render.tokens(r['tokens']) + ')', 'dim', self.colours)}"
+
     def _crumbs(self) -> DataFrame:
         return sections.breadcrumbs(self.sections).join(self.sections.select("doc_id", "sec_id", "tokens"), ["doc_id", "sec_id"])
 
@@ -134,7 +145,7 @@ class Views:
         out = []
         for r in rows:
             n = r["own_lines"]
-            out += [f"{r['breadcrumb']} ({render.tokens(r['tokens'])})", *details.get(r["sec_id"], [f"  {n} line{render.plural(n)} changed"])]
+            out += [self._head(r), *details.get(r["sec_id"], [f"  {n} line{render.plural(n)} changed"])]
         return "\n".join(out) or "Changes are outside any heading (frontmatter, intro, etc)."
 
     def expand(self, name: str) -> str:
@@ -173,7 +184,7 @@ def run(spark: SparkSession, args: list[str], stdin=None) -> str:
         many = os.path.isdir(target)
         docs = corpus.read_directory(spark, target) if many else corpus.read_file(spark, target)
         name = os.path.basename(os.path.abspath(target))
-    v = Views(docs)
+    v = Views(docs, "color" in o)
     if "json" in o:
         return v.json(target)
     if "search" in o:
@@ -190,7 +201,7 @@ def run(spark: SparkSession, args: list[str], stdin=None) -> str:
         return v.expand(o["expand"])
     if "section" in o:
         return v.tree(sections.subtree(v.sections, o["section"]).drop("root"))
-    return v.tree()
+    return v.document()
 
 
 if __name__ == "__main__":

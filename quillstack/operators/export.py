@@ -1,7 +1,8 @@
 """JSON documents: the node and section trees of each document, nested.
 
 Trees can't be typed in Spark, so that each document's rows meet in one call, grouped by
-document; everything before that stays in tables.
+document; everything before that stays in tables. A task holds one document's nodes at a
+time: the bound is that of a single text, which the parser holds as well.
 """
 
 from __future__ import annotations

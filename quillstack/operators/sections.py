@@ -56,9 +56,13 @@ def sections(nodes: DataFrame) -> DataFrame:
     per = per.withColumn("own_end", F.when(F.col("last_line") > 0, F.col("last_line")).otherwise(F.coalesce(ahead - 1, F.lit(0))))
     per = per.withColumn("content", trimmed(F.array_join(F.transform("raws", lambda x: x["raw_text"]), "\n"))).drop("raws", "blocks", "last_line")
     per = outline(per)
-    # A subtree's sums, from each section to all that it is under: at most six rows a section.
-    sums = per.select("doc_id", "own_tokens", "own_end", F.explode("path").alias("sec_id")).groupBy("doc_id", "sec_id").agg(F.sum("own_tokens").alias("tokens"), F.max("own_end").alias("line_end"))
-    return per.drop("own_end").join(sums, ["doc_id", "sec_id"]).withColumn("key_terms", key_terms(F.col("content")))
+    # A subtree's sums, from each section to all that it is under: at most six rows a section,
+    # of which one carries its columns along. All of it stays where the windows put a document.
+    own_row = F.struct(*[c for c in per.columns if c not in ("doc_id", "own_end")])
+    steps = per.select("doc_id", "own_tokens", "own_end", F.explode("path").alias("step"), F.col("sec_id").alias("of"), own_row.alias("row"))
+    steps = steps.withColumn("row", F.when(F.col("step") == F.col("of"), F.col("row")))
+    sums = steps.groupBy("doc_id", "step").agg(F.first("row", ignorenulls=True).alias("row"), F.sum("own_tokens").alias("tokens"), F.max("own_end").alias("line_end"))
+    return sums.select("doc_id", "row.*", "tokens", "line_end").withColumn("key_terms", key_terms(F.col("content")))
 
 
 def breadcrumbs(secs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ The same text comes from the Spark and the ANSI SQL form of each.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,13 +206,18 @@ def nations_pdf(spark: SparkSession, sf_dir: str, outlined: bool) -> DataFrame:
     return r.join(per, r["r_regionkey"] == per["n_regionkey"]).select(F.col("r_regionkey").cast("long").alias("doc_id"), F.concat(F.lit("region_"), F.col("r_regionkey").cast("string"), F.lit(".pdf")).alias("filename"), F.lit("pdf").alias("format"), content.cast("binary").alias("raw"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where every executor sees it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/quillstack-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def region_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder with the regions' Markdown and YAML as files, a hidden one and one of another kind, in the cluster's shared folder.
 
     A file for each of five regions, written by the driver, as users' files are.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{base.rstrip('/')}/quillstack-files-{spark.sparkContext.applicationId}"
+    folder = shared_folder(spark, "files")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     files = [(r["filename"], r["content"]) for r in regions(spark, sf_dir).unionByName(regions_yaml(spark, sf_dir)).limit(10).collect()]
     for name, content in [*files, (".hidden.md", "# H"), ("notes.txt", "x"), ("deep/Upper.MD", "# Upper")]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import streaming
 from ..functions import display, scan, text
 from ..operators import constructs, export, lines, references, sections, views
 from ..sources import corpus, pdf
@@ -282,6 +283,34 @@ def json_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_ORDER = "'frontmatter,heading,paragraph,thematic_break,heading,paragraph,heading,list,list,heading,blockquote,callout,table,code_block,code_block,math_block,math_block,html_block,html_block,definition_list,heading,paragraph,footnote_def,footnote_def,link_ref_def,heading,paragraph,heading,paragraph'"
+
+
+@query("document_order", f"WITH {_P} SELECT k AS doc_id, {_ORDER} AS kinds FROM p")
+def document_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes and link definitions are found on their own and sorted in by line."""
+    top = _nodes(spark, sf_dir).where("depth = 1").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "kind"))).alias("n"))
+    return top.select("doc_id", F.array_join("n.kind", ",").alias("kinds"))
+
+
+_RANGES = (("5", "79 + d + k % 90"), ("13", "15"), ("17", "24 + d"), ("26 + d", "61 + d"), ("63 + d", "71 + d"), ("73 + d", "75 + d"), ("77 + d", "79 + d + k % 90"))
+
+
+@query("section_ranges", f"WITH {_P} " + " UNION ALL ".join(f"SELECT k AS doc_id, {n} AS sec_id, CAST({a} AS INTEGER) AS line_start, CAST({b} AS INTEGER) AS line_end, {1 if n == 1 else 2} AS depth FROM p" for n, (a, b) in enumerate(_RANGES, 1)))
+def section_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.sections(_nodes(spark, sf_dir)).select("doc_id", "sec_id", "line_start", "line_end", "depth")
+
+
+@query("stream_kinds", f"WITH {_P} SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT '{kind}' AS kind, CAST({n} AS BIGINT) AS n FROM p" for kind, n in _KINDS.items()) + ") GROUP BY kind")
+def stream_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive as a stream, parsed as they come, into a table."""
+    folder = corpora.shared_folder(spark, "stream")
+    corpora.parts(spark, sf_dir).repartition(4).write.mode("overwrite").parquet(f"{folder}/in")
+    nodes = streaming.nodes(streaming.documents(spark, f"{folder}/in", 2)).select("doc_id", "node_id", "kind")
+    nodes.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("kind").agg(F.count("*").alias("n"))
+
+
 # --- YAML ---
 
 _YAML_ROWS = (

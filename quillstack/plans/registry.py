@@ -42,7 +42,8 @@ _PARSED: dict = {}
 def parsed(spark: SparkSession, sf_dir: str, build) -> DataFrame:
     """The nodes of a corpus, parsed once in a session and kept for its later queries.
 
-    Kept in memory and on disk by Spark; what is lost or cleared is parsed again.
+    Kept in memory and on disk by Spark; what is lost or cleared is parsed again. Tables
+    that change under a session need forget() before they are read again.
     """
     key = spark.sparkContext.applicationId, sf_dir, build.__name__
     if key not in _PARSED:
@@ -50,6 +51,17 @@ def parsed(spark: SparkSession, sf_dir: str, build) -> DataFrame:
     return _PARSED[key]
 
 
+def forget() -> None:
+    """Lets go of all parsed corpora."""
+    for nodes in _PARSED.values():
+        nodes.unpersist()
+    _PARSED.clear()
+
+
+#: Corpora that several queries share, by name.
+CORPORA = {"conversations": corpora.conversations, "orders": corpora.orders, "regions": corpora.regions, "parts": corpora.parts}
+
+
 # --- text functions and the inline scan ---
 
 

@@ -155,7 +155,10 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "a.md").write_text("# A\n\n[b](b.md) [b](b.md)\n\n## Code\n\n```sh\nls\n```\n")
     (tmp_path / "c.yaml").write_text("server:\n  host: h.example\n")
     a = str(tmp_path / "a.md")
-    assert cli.run(spark, [a]).splitlines()[1].startswith("└── Code (") and "sh :8-9" in cli.run(spark, [a])
+    tree = cli.run(spark, [a]).splitlines()
+    assert tree[0].startswith("╭") and " a.md " in tree[0] and "Sections: 2 │ ~" in tree[1] and "1 code block" in tree[2]
+    assert tree[5].startswith("A (") and tree[6].startswith("└── Code (") and tree[6].endswith("sh :8-9")
+    assert "\033[1m\033[36mCode\033[0m" in cli.run(spark, [a, "--color"])
     assert cli.run(spark, [a, "--at", "8"]) == "line 8\nSection: A > Code\nNode:    code L8-9  lang=sh" and cli.run(spark, [a, "-t", "code"]).endswith("\n  :8-9  sh        ")
     assert cli.run(spark, [a, "-t", "callout"]) == "No callouts found."
     assert "b.md (2←)" in cli.run(spark, [str(tmp_path), "--refs"]) and "2 files" in cli.run(spark, [str(tmp_path)])
