@@ -1,19 +1,37 @@
 """Substring dedup against a plain pass over all spans."""
 
 import random
+import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillstack.llm import spans
 
 
+def plain_units(text):
+    """(start, end, sentence) of each unit: sentences, those of over REACH words cut word by word."""
+    out = []
+    for number, (a, b) in enumerate(spans.sentences(text)):
+        words = [m.span() for m in re.finditer(r"\S+", text[a:b])]
+        codes = [np.frombuffer(text[a + i : a + j].lower().encode("utf-32-le"), np.uint32) for i, j in words]
+        hashes = [spans.span_hashes(c, np.array([0]), np.array([len(c)])) for c in codes]
+        pairs = [int(spans.mixed(x * spans._BASE + y)[0]) for x, y in zip(hashes, hashes[1:], strict=False)]
+        cuts = {0}
+        for k in range(len(pairs) - spans.REACH + 1):
+            window = pairs[k : k + spans.REACH]
+            cuts.add(words[k + max(i for i, h in enumerate(window) if h == min(window)) + 1][0])
+        edges = [*sorted(cuts), b - a]
+        out += [(a + i, a + j, number) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    return out
+
+
 def brute(docs, min_sentences, min_words):
     """Removes, for each span in order of (doc, place), all but the first of its text."""
     seen, gone = {}, {}
     for doc, text in sorted(docs):
-        places = spans.sentences(text)
-        parts = [text[a:b].split() for a, b in places]
+        parts = [text[a:b].split() for a, b, _ in plain_units(text)]
         n = len(parts)
         runs = set()
         for i in range(n):
@@ -32,9 +50,9 @@ def brute(docs, min_sentences, min_words):
                 gone.setdefault(doc, set()).update(range(i, j))
     out = {}
     for doc, text in docs:
-        places, g = spans.sentences(text), gone.get(doc, set())
-        kept = "".join(text[a:b] for k, (a, b) in enumerate(places) if k not in g)
-        out[doc] = (kept.rstrip() if places and len(places) - 1 in g else kept, len(g))
+        places, g = plain_units(text), gone.get(doc, set())
+        kept = "".join(text[a:b] for k, (a, b, _) in enumerate(places) if k not in g)
+        out[doc] = (kept.rstrip() if places and len(places) - 1 in g else kept, len({places[k][2] for k in g}))
     return out
 
 
@@ -119,6 +137,13 @@ def test_units_cover_the_text_and_are_short(text):
     assert len(owner) == len(places) and {a for a, _ in spans.sentences(text)} <= {a for a, _ in places}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abA B\n.", max_size=300))
+def test_units_are_the_plain_ones(text):
+    places, owner = spans.units(text)
+    assert [(a, b, n) for (a, b), n in zip(places, owner.tolist(), strict=True)] == plain_units(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab .!?\n\té", max_size=80))
 def test_sentences_cover_the_text(text):
