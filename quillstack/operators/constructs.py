@@ -22,6 +22,9 @@ ALIASES = {
     "code_block": "code codeblock code-block", "callout": "callout alert admonition", "table": "table", "math_block": "math", "footnote_def": "footnote footnotes", "definition_list": "deflist definition definitions",
     "link_ref_def": "linkref linkrefs ref refs", "html_block": "html", "task_item": "task tasks", "wiki_link": "wiki wikilink", "wiki_embed": "embed", "mention": "mention mentions", "issue_ref": "issue issues", "commit_ref": "sha commit", "emoji": "emoji",
 }
+#: Columns of nodes that say whether one counts for a section, and those that the counters read.
+PLACED = ("kind", "under_atomic", "top_kind", "sec_id")
+COUNTING = ("kind", "checked", "under_atomic", "raw")
 _KIND_OF = {name: kind for kind, names in ALIASES.items() for name in names.split()}
 
 
@@ -50,8 +53,7 @@ def in_sections(nodes: DataFrame) -> DataFrame:
 
 def section_stats(nodes: DataFrame) -> DataFrame:
     """(doc_id, sec_id) with the eight counters of constructs that are only counted."""
-    rows = in_sections(nodes.select("doc_id", "node_id", "depth", "kind", "checked", "under_atomic", "top_kind"))
-    return rows.groupBy("doc_id", "sec_id").agg(*[c for c, name in zip(_counters(F.lit(True)), COUNTERS, strict=True) if name in STATS])
+    return in_sections(nodes).groupBy("doc_id", "sec_id").agg(*[c for c, name in zip(_counters(F.lit(True)), COUNTERS, strict=True) if name in STATS])
 
 
 def notables(nodes: DataFrame) -> DataFrame:

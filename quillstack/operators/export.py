@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .constructs import COUNTERS, inventory, notables
+from .constructs import COUNTERS, LISTED, inventory
+from .sections import assigned
 
 #: Which attribute is which field, by kind.
 FIELDS = {
@@ -31,6 +32,8 @@ FIELDS = {
     "wiki_link": {"target": "target"},
     "wiki_embed": {"target": "target"},
 }
+#: Columns of nodes that are exported.
+USED = ("node_id", "parent_id", "kind", "line_start", "line_end", "tokens", "checked", *sorted({c for f in FIELDS.values() for c in f.values()}))
 
 
 def _full(d: dict) -> dict:
@@ -55,9 +58,9 @@ def _clean(pdf: pd.DataFrame) -> list[dict]:
 
 def documents_json(docs: DataFrame, nodes: DataFrame, secs: DataFrame, refs: DataFrame) -> DataFrame:
     """(doc_id, filename, json): each document with its summary, sections, nodes and references."""
-    used = ["node_id", "parent_id", "kind", "line_start", "line_end", "tokens", "checked", *sorted({c for f in FIELDS.values() for c in f.values()})]
-    in_section = notables(nodes).select("doc_id", "node_id", "sec_id")
-    node_rows = nodes.select("doc_id", *used).join(in_section, ["doc_id", "node_id"], "left")
+    used = list(USED)
+    listed = (F.col("sec_id") > 0) & (F.col("top_kind") != "heading") & ~F.col("under_atomic") & F.col("kind").isin(*LISTED)  # as notables()
+    node_rows = assigned(nodes).select("doc_id", *used, F.when(listed, F.col("sec_id")).alias("sec_id"))
     lines = inventory(docs, nodes, secs)
     grouped_nodes = node_rows.groupBy("doc_id").agg(F.collect_list(F.struct(*used, "sec_id")).alias("nodes"))
     grouped_secs = secs.groupBy("doc_id").agg(F.collect_list(F.struct("sec_id", "parent_id", "level", "title", "tokens", "line_start", "line_end", "key_terms")).alias("secs"))

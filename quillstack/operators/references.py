@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import markdown_target
 
 
+#: Columns of nodes that references are made of.
+NEEDS = ("node_id", "kind", "url", "text", "line_start")
+
+
 def references(nodes: DataFrame) -> DataFrame:
     """(doc_id, ord, text, target, line): links to Markdown files, anchors taken off."""
     links = nodes.where("kind = 'link'").withColumn("target", markdown_target(F.col("url"))).where("target IS NOT NULL")

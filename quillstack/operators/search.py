@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .constructs import in_sections, notables
+from .constructs import notables
 
 
-def _fields(nodes: DataFrame) -> DataFrame:
-    """(doc_id, sec_id, field): what of a construct can be searched."""
-    own = notables(nodes)
+#: Columns of nodes that hold what of a construct can be searched.
+FIELDS = ("language", "code", "variant", "headers", "tex", "ref_id", "label", "url", "raw", "paragraphs")
+
+
+def search(secs: DataFrame, nodes: DataFrame, query: str) -> DataFrame:
+    """Sections that contain query, whatever the case: (doc_id, sec_id, title, in_title, in_content, in_constructs)."""
+    has = lambda c: F.contains(F.lower(c), F.lower(F.lit(query)))
     kind = F.col("kind")
     field = (
         F.when(kind == "code_block", F.concat_ws("\n", "language", "code"))
@@ -21,23 +25,12 @@ def _fields(nodes: DataFrame) -> DataFrame:
         .when(kind == "link_ref_def", F.concat_ws("\n", "label", "url"))
         .when(kind == "html_block", F.col("raw"))
     )
-    return own.select("doc_id", "sec_id", field.alias("field")).where("field IS NOT NULL")
-
-
-def search(secs: DataFrame, nodes: DataFrame, query: str) -> DataFrame:
-    """Sections that contain query, whatever the case: (doc_id, sec_id, title, in_title, in_content, in_constructs)."""
-    has = lambda c: F.contains(F.lower(c), F.lower(F.lit(query)))
-    found = _fields(nodes).where(has("field")).select("doc_id", "sec_id").unionByName(_callout_text(nodes).where(has("field")).select("doc_id", "sec_id")).distinct().withColumn("in_constructs", F.lit(True))
+    below = F.when(kind == "callout", F.exists("paragraphs", has))  # paragraphs right below a callout
+    found = notables(nodes).where(F.coalesce(has(field), F.lit(False)) | F.coalesce(below, F.lit(False))).select("doc_id", "sec_id").distinct().withColumn("in_constructs", F.lit(True))
     rows = secs.select("doc_id", "sec_id", "title", has("title").alias("in_title"), has("content").alias("in_content")).join(found, ["doc_id", "sec_id"], "left").na.fill(False, ["in_constructs"])
     return rows.where("in_title OR in_content OR in_constructs")
 
 
-def _callout_text(nodes: DataFrame) -> DataFrame:
-    """Paragraphs right below a callout."""
-    callouts = in_sections(nodes.select("doc_id", "node_id", "depth", "kind", "under_atomic", "top_kind")).where("kind = 'callout'").select("doc_id", "sec_id", F.col("node_id").alias("parent_id"))
-    return nodes.where("kind = 'paragraph'").select("doc_id", "parent_id", F.col("text").alias("field")).join(callouts, ["doc_id", "parent_id"])
-
-
 def with_children(hits: DataFrame, secs: DataFrame, most: int = 5) -> DataFrame:
     """Hits with the titles of their first child sections, and how many more there are."""
     kids = secs.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("sec_id"), F.col("sec_id").alias("child"), F.col("title").alias("child_title"))

@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.text import key_terms, trimmed
 
 LEVELS = range(1, 7)
+#: Columns of nodes that sections are made of; with tokens or raw_text they have tokens or content.
+NEEDS = ("node_id", "depth", "kind", "line_start", "line_end", "title", "level", "sec_id")
 
 
 def assigned(nodes: DataFrame) -> DataFrame:
-    """Nodes with sec_id: the number of the heading that they are under, 0 before the first."""
+    """Nodes with sec_id: the number of the heading that they are under, 0 before the first. The parser numbers them itself."""
+    if "sec_id" in nodes.columns:
+        return nodes
     so_far = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
     return nodes.withColumn("sec_id", F.sum(F.when((F.col("depth") == 1) & (F.col("kind") == "heading"), 1).otherwise(0)).over(so_far).cast("int"))
 
@@ -39,30 +43,31 @@ def outline(heads: DataFrame) -> DataFrame:
 
 def sections(nodes: DataFrame) -> DataFrame:
     """The sections table of Markdown documents. tokens are those of the subtree,
-    own_tokens those of the section itself; line_end is the subtree's last line."""
-    top = assigned(nodes.where("depth = 1").select("doc_id", "node_id", "depth", "kind", "line_start", "line_end", "tokens", "raw_text", "title", "level")).where("sec_id > 0")
+    own_tokens those of the section itself; line_end is the subtree's last line.
+    Nodes without tokens or raw_text: sections without tokens, or without content and key_terms."""
+    counted, read = "tokens" in nodes.columns, "raw_text" in nodes.columns
+    top = assigned(nodes).where("depth = 1 AND sec_id > 0").select("doc_id", *NEEDS, *["tokens"] * counted, *["raw_text"] * read).repartition("doc_id")
     own = F.col("kind") == "heading"
-    block = F.when(~own, F.struct("node_id", "raw_text"))
     per = top.groupBy("doc_id", "sec_id").agg(
         F.max(F.when(own, F.col("level"))).cast("int").alias("level"),
         F.max(F.when(own, F.col("title"))).alias("title"),
         F.max(F.when(own, F.col("line_start"))).alias("line_start"),
-        F.sum("tokens").alias("own_tokens"),
+        *[F.sum("tokens").alias("own_tokens")] * counted,
         F.coalesce(F.max_by(F.when(~own, F.col("line_end")), F.when(~own, F.col("node_id"))), F.lit(0)).alias("last_line"),
-        F.count(block).alias("blocks"),
-        F.array_sort(F.collect_list(block)).alias("raws"),
+        *[F.array_sort(F.collect_list(F.when(~own, F.struct("node_id", "raw_text")))).alias("raws")] * read,
     )
     ahead = F.lead("line_start").over(Window.partitionBy("doc_id").orderBy("sec_id"))
-    per = per.withColumn("own_end", F.when(F.col("last_line") > 0, F.col("last_line")).otherwise(F.coalesce(ahead - 1, F.lit(0))))
-    per = per.withColumn("content", trimmed(F.array_join(F.transform("raws", lambda x: x["raw_text"]), "\n"))).drop("raws", "blocks", "last_line")
+    per = per.withColumn("own_end", F.when(F.col("last_line") > 0, F.col("last_line")).otherwise(F.coalesce(ahead - 1, F.lit(0)))).drop("last_line")
+    if read:
+        per = per.withColumn("content", trimmed(F.array_join(F.transform("raws", lambda x: x["raw_text"]), "\n"))).drop("raws")
     per = outline(per)
     # A subtree's sums, from each section to all that it is under: at most six rows a section,
     # of which one carries its columns along. All of it stays where the windows put a document.
-    own_row = F.struct(*[c for c in per.columns if c not in ("doc_id", "own_end")])
-    steps = per.select("doc_id", "own_tokens", "own_end", F.explode("path").alias("step"), F.col("sec_id").alias("of"), own_row.alias("row"))
-    steps = steps.withColumn("row", F.when(F.col("step") == F.col("of"), F.col("row")))
-    sums = steps.groupBy("doc_id", "step").agg(F.first("row", ignorenulls=True).alias("row"), F.sum("own_tokens").alias("tokens"), F.max("own_end").alias("line_end"))
-    return sums.select("doc_id", "row.*", "tokens", "line_end").withColumn("key_terms", key_terms(F.col("content")))
+    carried = [c for c in per.columns if c not in ("doc_id", "own_end")]
+    itself = F.col("step") == F.col("sec_id")
+    steps = per.withColumn("step", F.explode("path")).select("doc_id", "step", "own_end", *["own_tokens"] * counted, *[F.when(itself, F.col(c)).alias(f"_{c}") for c in carried])
+    sums = steps.groupBy("doc_id", "step").agg(*[F.first(f"_{c}", ignorenulls=True).alias(c) for c in carried], *[F.sum("own_tokens").alias("tokens")] * counted, F.max("own_end").alias("line_end")).drop("step")
+    return sums.withColumn("key_terms", key_terms(F.col("content"))) if read else sums
 
 
 def breadcrumbs(secs: DataFrame) -> DataFrame:

@@ -14,13 +14,15 @@ _c = F.col
 _s = lambda c: c.cast("string")
 
 
-def with_snippets(nodes: DataFrame, all_nodes: DataFrame) -> DataFrame:
-    """Nodes with snippet: the first line of a callout's body, if that begins with a paragraph."""
-    below = all_nodes.where("parent_id IS NOT NULL").select("doc_id", _c("parent_id").alias("node_id"), "kind", "text", _c("node_id").alias("no"))
-    callouts = nodes.where("kind = 'callout'").select("doc_id", "node_id")
-    first = below.join(callouts, ["doc_id", "node_id"], "left_semi").groupBy("doc_id", "node_id").agg(F.min_by(F.struct("kind", "text"), "no").alias("f"))
-    first = first.where("f.kind = 'paragraph'").select("doc_id", "node_id", snippet(_c("f.text")).alias("snippet"))
-    return nodes.join(first, ["doc_id", "node_id"], "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
+def with_snippets(nodes: DataFrame) -> DataFrame:
+    """Nodes with snippet: the first line of a callout's body, which begins with a paragraph."""
+    first = F.when(_c("kind") == "callout", snippet(F.try_element_at("paragraphs", F.lit(1))))
+    return nodes.withColumn("snippet", F.coalesce(first, F.lit("")))
+
+
+#: Columns of nodes that the lines of the views show.
+SHOWN = ("node_id", "line_start", "line_end", "language", "fenced", "variant", "headers", "tex", "ref_id", "number", "label", "url", "link_title", "raw", "paragraphs")
+DETAILED = (*SHOWN, "level", "title", "text", "ordered", "format")
 
 
 def _hit(line: Column) -> Column:
@@ -48,20 +50,36 @@ def type_hits(nodes: DataFrame, kind: str, language: str = "", variant: str = ""
     section, with the kind's name. Counted kinds: one line with their number. Unknown
     kinds: no rows. language narrows code blocks only, variant callouts only."""
     kind = kind_of(kind) or kind
-    name = display.kind_name(F.lit(kind))
     if kind in COUNTED:
-        n = _c(COUNTED[kind])
-        done = F.concat(F.lit(" ("), _s(_c("tasks_checked")), F.lit(" done)")) if kind == "task_item" else F.lit("")
-        return section_stats(nodes).where(n > 0).select("doc_id", "sec_id", name.alias("name"), F.lit(0).alias("ord"), F.concat(_s(n), F.lit(" "), name, done).alias("line"))
+        return _count_lines(nodes, [kind])
     hits = notables(nodes).where(_c("kind") == kind)
     if language:
         hits = hits.where((_c("kind") != "code_block") | (F.lower("language") == language.lower()))
     if variant:
         hits = hits.where((_c("kind") != "callout") | (F.lower("variant") == variant.lower()))
-    return with_snippets(hits, nodes).select("doc_id", "sec_id", name.alias("name"), _c("node_id").alias("ord"), _hit(F.concat(F.lit(":"), _s(_c("line_start")))).alias("line"))
+    return _hit_lines(hits)
+
+
+def all_hits(nodes: DataFrame) -> DataFrame:
+    """The lines of type_hits() for every kind that has a name, in one pass for those that are listed and one for those that are counted."""
+    return _hit_lines(notables(nodes)).unionByName(_count_lines(nodes, list(COUNTED)))
+
+
+def _hit_lines(hits: DataFrame) -> DataFrame:
+    return with_snippets(hits).select("doc_id", "sec_id", display.kind_name(_c("kind")).alias("name"), _c("node_id").alias("ord"), _hit(F.concat(F.lit(":"), _s(_c("line_start")))).alias("line"))
+
+
+def _count_lines(nodes: DataFrame, kinds: list[str]) -> DataFrame:
+    def line(kind):
+        n, name = _c(COUNTED[kind]), display.kind_name(F.lit(kind))
+        done = F.concat(F.lit(" ("), _s(_c("tasks_checked")), F.lit(" done)")) if kind == "task_item" else F.lit("")
+        return F.when(n > 0, F.struct(name.alias("name"), F.concat(_s(n), F.lit(" "), name, done).alias("line")))
+
+    counts = section_stats(nodes).select("doc_id", "sec_id", F.explode(F.array(*[line(k) for k in kinds])).alias("hit")).where("hit IS NOT NULL")
+    return counts.select("doc_id", "sec_id", "hit.name", F.lit(0).alias("ord"), "hit.line")
 
 
-def node_details(nodes: DataFrame, all_nodes: DataFrame) -> DataFrame:
+def node_details(nodes: DataFrame) -> DataFrame:
     """Nodes with detail: the line that says what a node is."""
     kind, start, end = _c("kind"), _s(_c("line_start")), _s(_c("line_end"))
     at = lambda name: F.concat(F.lit(name + " L"), start, F.lit("  "))
@@ -83,13 +101,13 @@ def node_details(nodes: DataFrame, all_nodes: DataFrame) -> DataFrame:
         .when(kind == "thematic_break", F.concat(F.lit("thematic break L"), start))
         .otherwise(F.concat(kind, F.lit(" L"), start, F.lit("-"), end))
     )
-    return with_snippets(nodes, all_nodes).withColumn("detail", detail)
+    return with_snippets(nodes).withColumn("detail", detail)
 
 
 def line_view(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """found (doc_id, line, node_id) with the kind and detail of the node."""
-    own = nodes.join(found.select("doc_id", "node_id").distinct(), ["doc_id", "node_id"], "left_semi")
-    return found.select("doc_id", "line", "node_id").join(node_details(own, nodes).select("doc_id", "node_id", "kind", "detail"), ["doc_id", "node_id"]).select("doc_id", "line", "kind", "detail")
+    found = found.select("doc_id", "line", "node_id").hint("merge")  # many lines of a document may be asked for
+    return node_details(nodes).select("doc_id", "node_id", "kind", "detail").join(found, ["doc_id", "node_id"]).select("doc_id", "line", "kind", "detail")
 
 
 def _piece() -> Column:
@@ -154,8 +172,8 @@ def digest() -> Column:
 
 def changed_constructs(nodes: DataFrame, changed: DataFrame) -> DataFrame:
     """(doc_id, sec_id, line, detail): constructs that are listed and start on a changed line."""
-    hit = notables(nodes).join(changed.select("doc_id", _c("line").alias("line_start")).distinct(), ["doc_id", "line_start"], "left_semi")
-    return node_details(hit, nodes).select("doc_id", "sec_id", _c("line_start").alias("line"), "detail")
+    hit = notables(nodes).join(changed.select("doc_id", _c("line").alias("line_start")).hint("merge"), ["doc_id", "line_start"], "left_semi")
+    return node_details(hit).select("doc_id", "sec_id", _c("line_start").alias("line"), "detail")
 
 
 def indents(tree: DataFrame) -> DataFrame:
