@@ -59,3 +59,17 @@ def test_paragraphs_without_brackets_are_passed_over():
     whole = [dict(zip(markdown.NAMES, r, strict=True)) for r in markdown.rows(text)]
     want = [tuple(r[n] for n in names) for r in whole if r["depth"] == 1 or r["kind"] in kinds]
     assert want == markdown.rows(text, False, names, kinds) and not markdown._inlined(names, kinds)
+
+
+def test_plain_blocks_are_read_at_once(monkeypatch):
+    """An order's document never goes line by line; any document gives the rows that it gives line by line."""
+    order = "# Order 1\n\n> [!TIP]\n> Priority **1**\n\n## Lines\n\n| Line | Part |\n|---|:-:|\n| 1 | 2 |\n| 2 | 3 |\n\n## Tasks\n\n- [x] line 1\n- [ ] line deadbeef\n\n```sql\nSELECT 1\n\n```\n\nSee [c](c.md#t) and #1.\n"
+    pieces = ["word #1", "- a", "- [x] b", "- deadbee", "+ c", "", "", "> q", "> [!TIP]", "| a | b |", "|---|---|", "```", "x", "    y", ": d", "===", "[r]: u", "see [r] [^n]", "[^n]: note", "# H #", "#"]
+    docs = [order, order[:-1], DOC, DOC.replace("\n", "\r\n"), *("\n".join(pieces[(k * j + k) % len(pieces)] for j in range(9)) + "\n" * (k % 2) for k in range(1, 400))]
+    asked = [(markdown.NAMES, None), (("kind", "line_start", "line_end", "title", "sec_id", "raw_text", "raw"), frozenset(["top", *markdown.ATOMIC])), (("kind", "checked", "number"), frozenset(["task_item", "issue_ref", "commit_ref"])), (("kind", "url", "text"), frozenset(["link"]))]
+    at_once = [markdown.rows(d, compat, *a) for d in docs for compat in (False, True) for a in asked]
+    with monkeypatch.context() as m:
+        m.setattr(markdown.Parser, "plain", lambda self, c, text, at, number, out: at)
+        assert at_once == [markdown.rows(d, compat, *a) for d in docs for compat in (False, True) for a in asked]
+    monkeypatch.setattr(markdown.Parser, "block", None)
+    assert len(markdown.rows(order)) == 25
