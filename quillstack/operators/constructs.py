@@ -25,6 +25,8 @@ ALIASES = {
 #: Columns of nodes that say whether one counts for a section, and those that the counters read.
 PLACED = ("kind", "under_atomic", "top_kind", "sec_id")
 COUNTING = ("kind", "checked", "under_atomic", "raw")
+#: Kinds that the counters read; every document has nodes at its top, so that those without constructs have a row of zeros.
+SEEN = ("top", *LISTED, *COUNTED)
 _KIND_OF = {name: kind for kind, names in ALIASES.items() for name in names.split()}
 
 

@@ -18,20 +18,21 @@ def covering(ranges: DataFrame, points: DataFrame, start: str = "line_start", en
     """Rows of ranges joined with the points (doc_id, line) that they cover, by document and bin.
 
     Never by broadcast: points are often exploded from a few columns, and many more than the plan takes them for.
+    The rows keep the bin, _bin: grouped by it beside document and line, they needn't be moved again.
     """
     binned = ranges.where(F.col(end) >= F.col(start)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / BIN), F.floor(F.col(end) / BIN))))
     dots = points.withColumn("_bin", F.floor(F.col(line) / BIN))
-    return binned.join(dots.hint("merge"), ["doc_id", "_bin"]).where(F.col(line).between(F.col(start), F.col(end))).drop("_bin")
+    return binned.join(dots.hint("merge"), ["doc_id", "_bin"]).where(F.col(line).between(F.col(start), F.col(end)))
 
 
 def node_at(nodes: DataFrame, points: DataFrame, open_ended: bool = False) -> DataFrame:
     """(doc_id, line, node_id, kind): the last node in pre-order that covers each line.
     open_ended: nodes without a range cover every line, as with compat."""
     rows = nodes.select("doc_id", "node_id", "kind", "line_start", "line_end")
-    hits = covering(rows.where("line_start > 0"), points).select("doc_id", "line", "node_id", "kind")
+    hits = covering(rows.where("line_start > 0"), points).select("doc_id", "_bin", "line", "node_id", "kind")
     if open_ended:
-        hits = hits.unionByName(rows.where("line_end = 0").join(points.hint("merge"), "doc_id").where("line_start <= line").select("doc_id", "line", "node_id", "kind"))
-    return hits.groupBy("doc_id", "line").agg(F.max(F.struct("node_id", "kind")).alias("n")).select("doc_id", "line", "n.node_id", "n.kind")
+        hits = hits.unionByName(rows.where("line_end = 0").join(points.hint("merge"), "doc_id").where("line_start <= line").select("doc_id", F.floor(F.col("line") / BIN).alias("_bin"), "line", "node_id", "kind"))
+    return hits.groupBy("doc_id", "_bin", "line").agg(F.max(F.struct("node_id", "kind")).alias("n")).select("doc_id", "line", "n.node_id", "n.kind")
 
 
 def section_at(secs: DataFrame, points: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def changed_sections(secs: DataFrame, notable: DataFrame, changed: DataFrame) ->
     cover a line, six at most, those that are no other's parent.
     """
     touched = covering(secs.select("doc_id", "sec_id", "parent_id", "title", "line_start", "line_end"), changed)
-    above = F.collect_set("parent_id").over(Window.partitionBy("doc_id", "line"))
+    above = F.collect_set("parent_id").over(Window.partitionBy("doc_id", "_bin", "line"))
     per = touched.withColumn("above", above).groupBy("doc_id", "sec_id").agg(F.first("title").alias("title"), F.count_if(~F.array_contains("above", F.col("sec_id"))).alias("own_lines"))
     hit = notable.select("doc_id", "sec_id", F.col("line_start").alias("line")).join(changed.hint("merge"), ["doc_id", "line"], "left_semi").groupBy("doc_id", "sec_id").agg(F.count("*").alias("constructs"))
     return per.join(hit, ["doc_id", "sec_id"], "left").na.fill(0, ["constructs"]).where("own_lines > 0 OR constructs > 0").select("doc_id", "sec_id", "title", "own_lines", "constructs")

@@ -16,6 +16,9 @@ LEVELS = range(1, 7)
 #: Columns of nodes that sections are made of; with tokens or raw_text they have tokens or content.
 NEEDS = ("node_id", "depth", "kind", "line_start", "line_end", "title", "level", "sec_id")
 
+#: Columns that make sections without tokens and content from headings alone.
+OUTLINED = ("depth", "kind", "line_start", "title", "level", "sec_id", "last_line")
+
 
 def assigned(nodes: DataFrame) -> DataFrame:
     """Nodes with sec_id: the number of the heading that they are under, 0 before the first. The parser numbers them itself."""
@@ -46,16 +49,7 @@ def sections(nodes: DataFrame) -> DataFrame:
     own_tokens those of the section itself; line_end is the subtree's last line.
     Nodes without tokens or raw_text: sections without tokens, or without content and key_terms."""
     counted, read = "tokens" in nodes.columns, "raw_text" in nodes.columns
-    top = assigned(nodes).where("depth = 1 AND sec_id > 0").select("doc_id", *NEEDS, *["tokens"] * counted, *["raw_text"] * read).repartition("doc_id")
-    own = F.col("kind") == "heading"
-    per = top.groupBy("doc_id", "sec_id").agg(
-        F.max(F.when(own, F.col("level"))).cast("int").alias("level"),
-        F.max(F.when(own, F.col("title"))).alias("title"),
-        F.max(F.when(own, F.col("line_start"))).alias("line_start"),
-        *[F.sum("tokens").alias("own_tokens")] * counted,
-        F.coalesce(F.max_by(F.when(~own, F.col("line_end")), F.when(~own, F.col("node_id"))), F.lit(0)).alias("last_line"),
-        *[F.array_sort(F.collect_list(F.when(~own, F.struct("node_id", "raw_text")))).alias("raws")] * read,
-    )
+    per = _headings(nodes) if "last_line" in nodes.columns and not counted and not read else _gathered(nodes, counted, read)
     ahead = F.lead("line_start").over(Window.partitionBy("doc_id").orderBy("sec_id"))
     per = per.withColumn("own_end", F.when(F.col("last_line") > 0, F.col("last_line")).otherwise(F.coalesce(ahead - 1, F.lit(0)))).drop("last_line")
     if read:
@@ -70,6 +64,26 @@ def sections(nodes: DataFrame) -> DataFrame:
     return sums.withColumn("key_terms", key_terms(F.col("content"))) if read else sums
 
 
+def _headings(nodes: DataFrame) -> DataFrame:
+    """Sections' rows where the parser has told each heading its last line: nothing else has to be moved."""
+    heads = nodes.where("depth = 1 AND kind = 'heading'")
+    return heads.select("doc_id", "sec_id", F.col("level").cast("int").alias("level"), "title", "line_start", "last_line").repartition("doc_id")
+
+
+def _gathered(nodes: DataFrame, counted: bool, read: bool) -> DataFrame:
+    """Sections' rows from all nodes at the top of their documents."""
+    top = assigned(nodes).where("depth = 1 AND sec_id > 0").select("doc_id", *NEEDS, *["tokens"] * counted, *["raw_text"] * read).repartition("doc_id")
+    own = F.col("kind") == "heading"
+    return top.groupBy("doc_id", "sec_id").agg(
+        F.max(F.when(own, F.col("level"))).cast("int").alias("level"),
+        F.max(F.when(own, F.col("title"))).alias("title"),
+        F.max(F.when(own, F.col("line_start"))).alias("line_start"),
+        *[F.sum("tokens").alias("own_tokens")] * counted,
+        F.coalesce(F.max_by(F.when(~own, F.col("line_end")), F.when(~own, F.col("node_id"))), F.lit(0)).alias("last_line"),
+        *[F.array_sort(F.collect_list(F.when(~own, F.struct("node_id", "raw_text")))).alias("raws")] * read,
+    )
+
+
 def breadcrumbs(secs: DataFrame) -> DataFrame:
     """(doc_id, sec_id, breadcrumb): titles from the root, joined by >."""
     steps = secs.select("doc_id", "sec_id", F.posexplode("path").alias("pos", "step"))

@@ -1,6 +1,7 @@
 """Queries over corpora that are too large to keep: parsed for each query, with what it names only, against their SQL."""
 
 import os
+import re
 
 import pytest
 
@@ -73,3 +74,39 @@ def test_plain_blocks_are_read_at_once(monkeypatch):
         assert at_once == [markdown.rows(d, compat, *a) for d in docs for compat in (False, True) for a in asked]
     monkeypatch.setattr(markdown.Parser, "block", None)
     assert len(markdown.rows(order)) == 25
+
+
+def test_sections_from_headings_alone(spark):
+    """The parser tells headings their last line, so that no other node has to be moved; the sections are those of all nodes."""
+    from quillstack.operators import sections
+    from quillstack.sources import corpus
+
+    texts = [DOC, "# A\n", "x\n\n# A\n\n## B\n\ny\n\n***\n\n# C\n## D\n\n> # in\n\nz\n", "", "[^n]\n\n# A\n\n[^n]: note\n\n## B\n"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, content string")
+    for compat in (False, True):
+        want = sections.sections(corpus.markdown_nodes(docs, compat)).select("doc_id", "sec_id", "parent_id", "level", "title", "line_start", "line_end", "path", "depth")
+        got = sections.sections(corpus.markdown_nodes(docs, compat, sections.OUTLINED, frozenset(["heading"])))
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() > 10
+
+
+def test_counters_read_no_other_nodes(spark, large):
+    """Of an order, summary is handed its nodes at the top and its constructs, not rows and cells."""
+    from quillstack.operators import constructs
+
+    kinds = {r[0] for r in registry._order_nodes(spark, DATA, constructs.COUNTING, constructs.SEEN).select("kind").distinct().collect()}
+    assert "task_item" in kinds and "issue_ref" in kinds and not kinds & {"table_cell", "table_row", "link"}
+    docs = spark.createDataFrame([(1, "word\n"), (2, "- [x] a\n")], "doc_id long, content string")
+    from quillstack.sources import corpus
+
+    rows = constructs.summary(corpus.markdown_nodes(docs, columns=constructs.COUNTING, kinds=frozenset(constructs.SEEN))).select("doc_id", "tasks_checked")
+    assert sorted(map(tuple, rows.collect())) == [(1, 0), (2, 1)]
+
+
+@pytest.mark.parametrize(("name", "after"), [("node_at", "node_id"), ("changed_since", "collect_set")])
+def test_lines_are_not_moved_after_the_join(spark, large, name, after):
+    """What is at a line is found where the join by document and bin has put it: no exchange by document and line."""
+    plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    moved = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    joined = [m for m in moved if "_bin#" in m]
+    assert after in plan and len(joined) == 2 and not [m for m in joined if "line#" in m]
+    assert name == "changed_since" or not [m for m in moved if "line#" in m]
