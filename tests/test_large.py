@@ -110,3 +110,8 @@ def test_lines_are_not_moved_after_the_join(spark, large, name, after):
     joined = [m for m in moved if "_bin#" in m]
     assert after in plan and len(joined) == 2 and not [m for m in joined if "line#" in m]
     assert name == "changed_since" or not [m for m in moved if "line#" in m]
+
+
+def test_an_orders_lines_are_moved_as_values(spark, large):
+    plan = registry.queries()["type_callout"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(struct(l_linenumber" in plan
