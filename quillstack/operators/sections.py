@@ -19,6 +19,9 @@ NEEDS = ("node_id", "depth", "kind", "line_start", "line_end", "title", "level",
 #: Columns that make sections without tokens and content from headings alone.
 OUTLINED = ("depth", "kind", "line_start", "title", "level", "sec_id", "last_line")
 
+#: Columns that make sections with their own content, outside of their tree, from headings alone.
+OWN = ("depth", "kind", "title", "sec_id", "content")
+
 
 def assigned(nodes: DataFrame) -> DataFrame:
     """Nodes with sec_id: the number of the heading that they are under, 0 before the first. The parser numbers them itself."""
@@ -84,6 +87,14 @@ def _gathered(nodes: DataFrame, counted: bool, read: bool) -> DataFrame:
     )
 
 
+def own(nodes: DataFrame) -> DataFrame:
+    """(doc_id, sec_id, title, content, key_terms) of all sections. Where the parser has given headings their content nothing is moved."""
+    if "content" not in nodes.columns:
+        return sections(nodes).select("doc_id", "sec_id", "title", "content", "key_terms")
+    heads = nodes.where("depth = 1 AND kind = 'heading'").select("doc_id", "sec_id", "title", trimmed(F.col("content")).alias("content"))
+    return heads.withColumn("key_terms", key_terms(F.col("content")))
+
+
 def breadcrumbs(secs: DataFrame) -> DataFrame:
     """(doc_id, sec_id, breadcrumb): titles from the root, joined by >."""
     steps = secs.select("doc_id", "sec_id", F.posexplode("path").alias("pos", "step"))
@@ -94,8 +105,9 @@ def breadcrumbs(secs: DataFrame) -> DataFrame:
 def find(secs: DataFrame, name: str) -> DataFrame:
     """The first section of each document whose title contains name, whatever the case."""
     hits = secs.where(F.contains(F.lower("title"), F.lower(F.lit(name))))
-    first = hits.groupBy("doc_id").agg(F.min("sec_id").alias("sec_id"))
-    return secs.join(first, ["doc_id", "sec_id"])
+    rest = [c for c in secs.columns if c not in ("doc_id", "sec_id")]
+    first = hits.groupBy("doc_id").agg(F.min_by(F.struct("sec_id", *rest), "sec_id").alias("s"))  # secs are made once
+    return first.select(*[F.col(c) if c == "doc_id" else F.col("s")[c].alias(c) for c in secs.columns])
 
 
 def subtree(secs: DataFrame, name: str) -> DataFrame:
