@@ -15,7 +15,7 @@ NEEDS = ("node_id", "kind", "url", "text", "line_start")
 def references(nodes: DataFrame) -> DataFrame:
     """(doc_id, ord, text, target, line): links to Markdown files, anchors taken off."""
     links = nodes.where("kind = 'link'").withColumn("target", markdown_target(F.col("url"))).where("target IS NOT NULL")
-    return links.select("doc_id", F.col("node_id").alias("ord"), "text", "target", F.col("line_start").alias("line"))
+    return links.select("doc_id", F.col("node_id").alias("ord"), "text", "target", F.col("line_start").alias("line"), *["filename"] * ("filename" in nodes.columns))
 
 
 def hubs(refs: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
@@ -24,8 +24,9 @@ def hubs(refs: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
 
 
 def edges(refs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(filename, target, ord): each target of a file once, at its first place."""
-    return refs.join(docs.select("doc_id", "filename"), "doc_id").groupBy("filename", "target").agg(F.min("ord").alias("ord"))
+    """(filename, target, ord): each target of a file once, at its first place. docs aren't read where refs carry the filename."""
+    named = refs if "filename" in refs.columns else refs.join(docs.select("doc_id", "filename"), "doc_id")
+    return named.groupBy("filename", "target").agg(F.min("ord").alias("ord"))
 
 
 def back_edges(refs: DataFrame, docs: DataFrame) -> DataFrame:
