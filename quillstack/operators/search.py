@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .constructs import notables
+from ..functions.text import trimmed
+from .constructs import LISTED, PLACED, notables
 
 
 #: Columns of nodes that hold what of a construct can be searched.
 FIELDS = ("language", "code", "variant", "headers", "tex", "ref_id", "label", "url", "raw", "paragraphs")
 
 
-def search(secs: DataFrame, nodes: DataFrame, query: str) -> DataFrame:
-    """Sections that contain query, whatever the case: (doc_id, sec_id, title, in_title, in_content, in_constructs)."""
+#: Columns of nodes that can be searched without sections: each says what section it is of, and headings hold its content.
+PASSED = ("depth", "title", "content", "sec_title", *PLACED, *FIELDS)
+
+
+def search(secs: DataFrame | None, nodes: DataFrame, query: str) -> DataFrame:
+    """Sections that contain query, whatever the case: (doc_id, sec_id, title, in_title, in_content, in_constructs).
+    Nodes with the columns PASSED are searched in one pass, and only hits are moved; secs isn't read then."""
     has = lambda c: F.contains(F.lower(c), F.lower(F.lit(query)))
     kind = F.col("kind")
     field = (
@@ -26,7 +32,14 @@ def search(secs: DataFrame, nodes: DataFrame, query: str) -> DataFrame:
         .when(kind == "html_block", F.col("raw"))
     )
     below = F.when(kind == "callout", F.exists("paragraphs", has))  # paragraphs right below a callout
-    found = notables(nodes).where(F.coalesce(has(field), F.lit(False)) | F.coalesce(below, F.lit(False))).select("doc_id", "sec_id").distinct().withColumn("in_constructs", F.lit(True))
+    holds = F.coalesce(has(field), F.lit(False)) | F.coalesce(below, F.lit(False))
+    if "content" in nodes.columns:
+        head = (F.col("depth") == 1) & (kind == "heading")
+        listed = (F.col("sec_id") > 0) & (F.col("top_kind") != "heading") & ~F.col("under_atomic") & kind.isin(*LISTED)  # as notables()
+        flags = {"in_title": head & has("title"), "in_content": head & has(trimmed(F.col("content"))), "in_constructs": listed & holds}
+        hits = nodes.select("doc_id", "sec_id", F.col("sec_title").alias("title"), *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()]).where("in_title OR in_content OR in_constructs")
+        return hits.groupBy("doc_id", "sec_id").agg(F.first("title").alias("title"), *[F.max(n).alias(n) for n in flags])
+    found = notables(nodes).where(holds).select("doc_id", "sec_id").distinct().withColumn("in_constructs", F.lit(True))
     rows = secs.select("doc_id", "sec_id", "title", has("title").alias("in_title"), has("content").alias("in_content")).join(found, ["doc_id", "sec_id"], "left").na.fill(False, ["in_constructs"])
     return rows.where("in_title OR in_content OR in_constructs")
 

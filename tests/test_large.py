@@ -140,3 +140,25 @@ def test_counted_constructs_need_no_links_and_listed_ones_no_titles(monkeypatch)
     monkeypatch.setattr(markdown.inline, "parse", lambda text, *a: parsed.append(text) or [])
     markdown.rows(order, False, constructs.PLACED, frozenset(constructs.LISTED))
     assert parsed == []
+
+
+@pytest.mark.parametrize(("name", "table"), [("search_constructs", "orders"), ("ref_edges", "orders"), ("ref_back_edges", "orders"), ("expand_long", "part"), ("key_terms_capped", "part")])
+def test_documents_are_made_and_parsed_once(spark, large, monkeypatch, name, table):
+    """And no nodes are written on the way."""
+    monkeypatch.setattr(registry.corpora, "shared_folder", None)
+    plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and len(re.findall(rf"FileScan parquet .*/{table}\.parquet", plan)) == 1
+
+
+def test_search_in_one_pass_finds_what_sections_hold(spark):
+    from quillstack.operators import constructs, search, sections
+    from quillstack.sources import corpus
+
+    docs = spark.createDataFrame([(0, DOC), (1, "# A b\n\n> [!TIP]\n> a\n\n## C\n\n```sql\nB\n```\n\nb\n"), (2, "b\n"), (3, "# x\n\n> # b\n\n## y\n  b  \n")], "doc_id long, content string")
+    nodes = corpus.markdown_nodes(docs)
+    passed = corpus.markdown_nodes(docs, columns=search.PASSED, kinds=frozenset(["heading", *constructs.LISTED]))
+    for query in ("b", "tip", "note", "B\n", " "):
+        want = search.search(sections.sections(nodes), nodes, query)
+        assert sorted(map(str, search.search(None, passed, query).select(want.columns).collect())) == sorted(map(str, want.collect()))
+    want = sections.sections(nodes).select("doc_id", "sec_id", "title", "content", "key_terms")
+    assert sorted(map(str, sections.own(corpus.markdown_nodes(docs, columns=sections.OWN, kinds=frozenset(["heading"]))).collect())) == sorted(map(str, want.collect()))
