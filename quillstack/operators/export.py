@@ -2,18 +2,26 @@
 
 Trees can't be typed in Spark, so that each document's rows meet in one call, grouped by
 document; everything before that stays in tables. A task holds one document's nodes at a
-time: the bound is that of a single text, which the parser holds as well.
+time: the bound is that of a single text, which the parser holds as well. Where the tables
+are wanted for nothing else, Markdown becomes JSON in the call that parses it.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .constructs import COUNTERS, LISTED, inventory
+from ..functions import rx
+from ..sources import markdown
+from .constructs import COUNTED, COUNTERS, LISTED, inventory
 from .sections import assigned
 
 #: Which attribute is which field, by kind.
@@ -41,15 +49,25 @@ def _full(d: dict) -> dict:
     return {k: v for k, v in d.items() if v is True or v is False or v not in (None, "", 0, [])}
 
 
-def node_json(row: dict, kids: dict) -> dict:
-    out = {"kind": row["kind"], "line_start": row["line_start"], "line_end": row["line_end"], "tokens": row["tokens"]}
-    for name, column in FIELDS.get(row["kind"], {}).items():
-        value = row[column]
+def _node(kind: str, start: int, end: int, tokens: int, values, children: list[dict]) -> dict:
+    """values: gives a node's column by name."""
+    out = {"kind": kind, "line_start": start, "line_end": end, "tokens": tokens}
+    for name, column in FIELDS.get(kind, {}).items():
+        value = values(column)
         out[name] = list(value) if name in ("headers", "aligns") and value is not None else int(value) if name == "level" and value is not None else value
-    if row["kind"] == "task_item":
-        out["checked"] = bool(row["checked"])
-    out["children"] = [node_json(k, kids) for k in kids.get(row["node_id"], [])]
-    return {"kind": row["kind"]} | _full(out)
+    if kind == "task_item":
+        out["checked"] = bool(values("checked"))
+    out["children"] = children
+    return {"kind": kind} | _full(out)
+
+
+def node_json(row: dict, kids: dict) -> dict:
+    return _node(row["kind"], row["line_start"], row["line_end"], row["tokens"], row.get, [node_json(k, kids) for k in kids.get(row["node_id"], [])])
+
+
+def _dumped(doc: dict) -> str:
+    text = json.dumps(doc, ensure_ascii=False, default=lambda v: v.item() if hasattr(v, "item") else list(v))
+    return text.replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
 
 
 def _clean(pdf: pd.DataFrame) -> list[dict]:
@@ -90,7 +108,101 @@ def documents_json(docs: DataFrame, nodes: DataFrame, secs: DataFrame, refs: Dat
 
                 doc = {"filename": r["filename"], "tokens": int(r["total_tokens"]), "summary": _full({c: int(r[c]) for c in COUNTERS}), "sections": [section(s) for s in below.get(None, [])] or None}
                 doc |= _full({"nodes": [node_json(n, kids) for n in kids.get(None, [])], "references": [{"text": x["text"], "target": x["target"], "line": x["line"]} for x in plain(r["refs"])]})
-                out.append((r["doc_id"], r["filename"], json.dumps(doc, ensure_ascii=False, default=lambda v: v.item() if hasattr(v, "item") else list(v)).translate({60: "\\u003c", 62: "\\u003e", 38: "\\u0026"})))
+                out.append((r["doc_id"], r["filename"], _dumped(doc)))
             yield pd.DataFrame(out, columns=["doc_id", "filename", "json"])
 
     return rows.mapInPandas(build, "doc_id long, filename string, json string")
+
+
+# --- from the text alone ---
+
+#: Characters of JSON that a task holds before it hands them on.
+BATCH_CHARS = 4_000_000
+_BOLD, _CODE = re.compile(rx.BOLD), re.compile(rx.CODE)
+#: As functions.text.trimmed(): Java's blanks, and its end of text, which may stand before a last line end.
+_ENDS = re.compile(r"\A[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+(?=[\x85\u2028\u2029]?\Z)")
+
+
+def _trimmed(text: str) -> str:
+    return _ENDS.sub("", text) if text[:1].isspace() or text[-1:].isspace() else text
+
+
+def _key_terms(content: str) -> list[str]:
+    """As functions.text.key_terms()."""
+    bold = [_trimmed(m[0][2:-2]) for m in _BOLD.finditer(content)] if "**" in content or "__" in content else []
+    code = [_trimmed(x) for x in _CODE.findall(content)[:10]] if "`" in content else []
+    terms = [x for x in bold if x and len(x.encode()) < 50] + [x for x in code if x and len(x.encode()) < 40]
+    return list(dict.fromkeys(terms))[:5]
+
+
+def _shown(raw: str) -> bool:
+    """As functions.text.shown_html()."""
+    return not _trimmed(raw).startswith(("<!--", "</"))
+
+
+def text_json(filename: str | None, text: str | None, compat: bool = False) -> str:
+    """A Markdown document's JSON: what documents_json() makes of its tables."""
+    counts, refs, heads = dict.fromkeys(COUNTERS, 0), [], []
+
+    def made(node, top_kind, atomic) -> dict:
+        kind, values = node.kind, node.attributes.get
+        if not atomic:
+            if kind in LISTED:
+                counts[LISTED[kind]] += kind != "html_block" or _shown(values("raw"))
+            elif kind in COUNTED:
+                counts[COUNTED[kind]] += 1
+                counts["tasks_checked"] += kind == "task_item" and bool(values("checked"))
+        if kind == "link" and (target := values("url").split("#", 1)[0]).endswith(".md"):
+            refs.append({"text": values("text"), "target": target, "line": node.start})
+        inside = atomic or kind in markdown.ATOMIC
+        out = _node(kind, node.start, node.end, node.tokens, values, [made(k, top_kind, inside) for k in node.kids])
+        if heads and kind in LISTED and not atomic and top_kind != "heading":
+            heads[-1]["notables"].append(out)
+        return out
+
+    nodes = []
+    for node in markdown.parse(text or "", compat):
+        if node.kind == "heading":
+            heads.append({"level": node.attributes["level"], "title": node.attributes["title"], "tokens": node.tokens, "line_start": node.start, "line_end": 0, "raws": [], "notables": [], "children": []})
+        elif heads:
+            heads[-1]["tokens"] += node.tokens
+            heads[-1]["line_end"] = node.end
+            heads[-1]["raws"].append(node.raw_text())
+        nodes.append(made(node, node.kind, False))
+    roots, open_ = [], []
+    for head, following in itertools.zip_longest(heads, heads[1:]):
+        if head["line_end"] <= 0:
+            head["line_end"] = following["line_start"] - 1 if following else 0
+        while open_ and open_[-1]["level"] >= head["level"]:
+            open_.pop()
+        for above in open_:
+            above["tokens"] += head["tokens"]
+            above["line_end"] = max(above["line_end"], head["line_end"])
+        (open_[-1]["children"] if open_ else roots).append(head)
+        open_.append(head)
+
+    def section(s) -> dict:
+        rest = {"line_start": s["line_start"], "line_end": s["line_end"], "key_terms": _key_terms(_trimmed("\n".join(s["raws"]))), "notables": s["notables"], "children": [section(k) for k in s["children"]]}
+        return {"level": s["level"], "title": s["title"], "tokens": s["tokens"]} | _full(rest)
+
+    doc = {"filename": filename, "tokens": sum(h["tokens"] for h in heads), "summary": _full(counts), "sections": [section(s) for s in roots] or None}
+    return _dumped(doc | _full({"nodes": nodes, "references": refs}))
+
+
+def markdown_json(docs: DataFrame, compat: bool = False) -> DataFrame:
+    """(doc_id, filename, json) as documents_json(), of Markdown documents whose tables are
+    wanted for nothing else: no node is written or moved."""
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["filename"], T.StructField("json", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            begun, size, held = 0, 0, []
+            for at, (name, content) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                held.append(text_json(name.as_py(), content.as_py(), compat))
+                size += len(held[-1])
+                if size >= BATCH_CHARS or at + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[begun : at + 1], batch.column(1)[begun : at + 1], pa.array(held, pa.string())], schema=arrow)
+                    begun, size, held = at + 1, 0, []
+
+    return docs.select("doc_id", "filename", "content").mapInArrow(run, schema)

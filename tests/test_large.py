@@ -162,3 +162,30 @@ def test_search_in_one_pass_finds_what_sections_hold(spark):
         assert sorted(map(str, search.search(None, passed, query).select(want.columns).collect())) == sorted(map(str, want.collect()))
     want = sections.sections(nodes).select("doc_id", "sec_id", "title", "content", "key_terms")
     assert sorted(map(str, sections.own(corpus.markdown_nodes(docs, columns=sections.OWN, kinds=frozenset(["heading"]))).collect())) == sorted(map(str, want.collect()))
+
+
+def test_json_of_a_text_is_that_of_its_tables(spark):
+    from quillstack.operators import export, references, sections
+    from quillstack.sources import corpus
+
+    odd = [DOC, None, "", "word\n", "x\n\n# A & <b>\n\n### C\n\n[y](b.md#c) **two  ** `` ` `` `c` __e__\u2028\n\n## B\n\n- [x] a\n\n  ```sql\n  1\n  ```\n", "> # q\n> [z](z.md)\n\n# H [in](h.md) `c`\n\n<!-- n -->\n\n</div>\n\n<p>\n", "# A\n## B\n# C\n\n***\n"]
+    pieces = ["# H `c`", "### K", "- [x] a [l](l.md)", "> [!TIP]", "> **b**", "", "", "| a | [b](b.md) |", "|---|---|", "```", "    y ", ": d", "see [r] [^n] #1", "[^n]: note `z`", "[r]: u.md", "$$", "<div>", "\u0085"]
+    texts = [*odd, *("\n".join(pieces[(k * j + k) % len(pieces)] for j in range(11)) for k in range(1, 150))]
+    docs = spark.createDataFrame([(k, f"{k}.md", t) for k, t in enumerate(texts)], "doc_id long, filename string, content string").repartition(4)
+    for compat in (False, True):
+        nodes = corpus.markdown_nodes(docs, compat).persist()
+        want = export.documents_json(docs, nodes, sections.sections(nodes), references.references(nodes))
+        assert dict(export.markdown_json(docs, compat).select("filename", "json").collect()) == dict(want.select("filename", "json").collect())
+        nodes.unpersist()
+
+
+def test_json_is_made_where_documents_are_parsed(spark, large, monkeypatch):
+    """Documents are dealt out once; no node is written, moved or grouped, and what a task holds is bounded by its bytes."""
+    from quillstack.operators import export
+
+    monkeypatch.setattr(registry.corpora, "shared_folder", None)
+    plan = registry.queries()["json_nodes"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
+    monkeypatch.setattr(export, "BATCH_CHARS", 1)
+    docs = spark.createDataFrame([(k, f"{k}.md", f"# {k}\n") for k in range(7)], "doc_id long, filename string, content string")
+    assert sorted(r.filename for r in export.markdown_json(docs).collect()) == [f"{k}.md" for k in range(7)]
