@@ -189,3 +189,22 @@ def test_json_is_made_where_documents_are_parsed(spark, large, monkeypatch):
     monkeypatch.setattr(export, "BATCH_CHARS", 1)
     docs = spark.createDataFrame([(k, f"{k}.md", f"# {k}\n") for k in range(7)], "doc_id long, filename string, content string")
     assert sorted(r.filename for r in export.markdown_json(docs).collect()) == [f"{k}.md" for k in range(7)]
+
+
+def test_notes_pass_over_what_refers_to_none(monkeypatch):
+    """A part's blocks of usual form are read by one pattern each, and those without a note make no node where notes alone are asked for."""
+    blocks = ["***", "[[Page 1]] @u", "**bold** and [^n]", "`c` z", "$$\nx\n$$", "\\[\ny\n\\]", "[^n]: Note with[^m] in it.", "[^m]: Other.", "[r]: https://r.example 'R'", "    code [^n]", "<div>\n[^n]\n</div>", "<!-- [^n] -->", "Term\n: first[^m]\n: second", "See [^m] and [r].", "# H [^n]", "- a", "> q [^m]"]
+    texts = [DOC, "\n\n".join(blocks), *("\n\n".join(blocks[(k * j + k) % len(blocks)] for j in range(9)) + "\n" * (k % 3) for k in range(1, 200)), *("\n".join(blocks[(k * j + k) % len(blocks)] for j in range(9)) for k in range(1, 200))]
+    names = tuple(n for n in markdown.NAMES if n in ("kind", "ref_id", "label", "line_start"))
+    whole = [markdown.rows(t, compat) for t in texts for compat in (False, True)]
+    alone = [markdown.rows(t, compat, names, frozenset(["footnote_def", "footnote_ref"])) for t in texts for compat in (False, True)]
+    at = [markdown.NAMES.index(n) for n in names]
+    assert alone == [[tuple(r[k] for k in at) for r in rows if r[4] in ("footnote_def", "footnote_ref")] for rows in whole] and sum(map(len, alone)) > 1000
+    with monkeypatch.context() as m:
+        m.setattr(markdown.Parser, "plain", lambda self, c, text, at, number, out: at)
+        assert whole == [markdown.rows(t, compat) for t in texts for compat in (False, True)]
+    made = []
+    monkeypatch.setattr(markdown.Parser, "block", None)
+    monkeypatch.setattr(markdown.Parser, "finish", lambda self, nodes, *a, f=markdown.Parser.finish: made.append([n.kind for n in nodes]) or f(self, nodes, *a))
+    markdown.rows("# H\n\nSee [^n].\n\n***\n\n- [x] a\n\n<div>\n\n    c\n\n**b**\n\n[[P]]\n\nT\n: d\n\n[^n]: Note.\n\n[r]: u\n", False, names, frozenset(["footnote_def", "footnote_ref"]))
+    assert made == [["paragraph"], ["paragraph"]]
