@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import display
 from ..functions.display import counted, padded, preview
 from ..functions.text import html_tag, plural, snippet
+from . import lines
 from .constructs import COUNTED, STATS, kind_of, notables, section_stats
 
 _c = F.col
@@ -110,6 +111,14 @@ def line_view(found: DataFrame, nodes: DataFrame) -> DataFrame:
     return node_details(nodes).select("doc_id", "node_id", "kind", "detail").join(found, ["doc_id", "node_id"]).select("doc_id", "line", "kind", "detail")
 
 
+def details_at(nodes: DataFrame, points: DataFrame) -> DataFrame:
+    """(doc_id, line, kind, detail): line_view() of lines.node_at() in one pass. A node is
+    moved once, with its detail, and found where the join by document and bin has put it."""
+    rows = node_details(nodes.where("line_start > 0")).select("doc_id", "node_id", "kind", "detail", "line_start", "line_end")
+    hits = lines.covering(rows, points).groupBy("doc_id", "_bin", "line").agg(F.max(F.struct("node_id", "kind", "detail")).alias("n"))
+    return hits.select("doc_id", "line", "n.kind", "n.detail")
+
+
 def _piece() -> Column:
     """A construct in its section's note."""
     kind, at = _c("kind"), F.concat(F.lit(":"), _s(_c("line_start")))

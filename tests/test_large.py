@@ -208,3 +208,24 @@ def test_notes_pass_over_what_refers_to_none(monkeypatch):
     monkeypatch.setattr(markdown.Parser, "finish", lambda self, nodes, *a, f=markdown.Parser.finish: made.append([n.kind for n in nodes]) or f(self, nodes, *a))
     markdown.rows("# H\n\nSee [^n].\n\n***\n\n- [x] a\n\n<div>\n\n    c\n\n**b**\n\n[[P]]\n\nT\n: d\n\n[^n]: Note.\n\n[r]: u\n", False, names, frozenset(["footnote_def", "footnote_ref"]))
     assert made == [["paragraph"], ["paragraph"]]
+
+
+def test_what_is_at_a_line_takes_one_pass(spark, large, monkeypatch):
+    """Parts are parsed once and written nowhere; a node is moved once, by document and bin. The lines are those of both steps."""
+    from quillstack.operators import lines, views
+    from quillstack.sources import corpus
+
+    with monkeypatch.context() as m:
+        m.setattr(registry.corpora, "shared_folder", None)
+        m.setattr(registry.corpora, "TASK_DOCUMENTS", 50)
+        plan = registry.queries()["line_details"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    moved = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert plan.count("MapInArrow") == 1 and sum("_bin#" in x for x in moved) == 2 and not [x for x in moved if "line#" in x or "node_id#" in x]
+    docs = spark.createDataFrame([(0, DOC), (1, "word\n"), (2, "# A\n" + "x y\n" * 200 + "\n" * 90 + "- [x] `b`\n")], "doc_id long, content string")
+    for compat in (False, True):
+        nodes = corpus.markdown_nodes(docs, compat).persist()
+        points = spark.range(0, 330).selectExpr("id % 3 AS doc_id", "CAST(id AS INT) AS line").unionByName(spark.range(1, 90).selectExpr("0L AS doc_id", "CAST(id AS INT) AS line"))
+        want = views.line_view(lines.node_at(nodes, points), nodes)
+        got = views.details_at(nodes, points)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() > 100
+        nodes.unpersist()
