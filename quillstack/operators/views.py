@@ -62,12 +62,14 @@ def type_hits(nodes: DataFrame, kind: str, language: str = "", variant: str = ""
 
 
 def all_hits(nodes: DataFrame) -> DataFrame:
-    """The lines of type_hits() for every kind that has a name, in one pass for those that are listed and one for those that are counted."""
+    """The lines of type_hits() for every kind that has a name, in one pass for those that are listed and one for those that are counted.
+    Of nodes without node_id, for which the parser reads no inline content, ord is null."""
     return _hit_lines(notables(nodes)).unionByName(_count_lines(nodes, list(COUNTED)))
 
 
 def _hit_lines(hits: DataFrame) -> DataFrame:
-    return with_snippets(hits).select("doc_id", "sec_id", display.kind_name(_c("kind")).alias("name"), _c("node_id").alias("ord"), _hit(F.concat(F.lit(":"), _s(_c("line_start")))).alias("line"))
+    order = _c("node_id") if "node_id" in hits.columns else F.lit(None).cast("int")
+    return with_snippets(hits).select("doc_id", "sec_id", display.kind_name(_c("kind")).alias("name"), order.alias("ord"), _hit(F.concat(F.lit(":"), _s(_c("line_start")))).alias("line"))
 
 
 def _count_lines(nodes: DataFrame, kinds: list[str]) -> DataFrame:

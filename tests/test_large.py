@@ -229,3 +229,21 @@ def test_what_is_at_a_line_takes_one_pass(spark, large, monkeypatch):
         got = views.details_at(nodes, points)
         assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.count() > 100
         nodes.unpersist()
+
+
+def test_hits_need_no_inline_content(spark, large, monkeypatch):
+    """Without the numbers of nodes, of which hits show none, the parser reads paragraphs for their constructs only; the lines stay the same."""
+    from quillstack.operators import constructs, views
+    from quillstack.sources import corpus
+
+    asked = []
+    with monkeypatch.context() as m:
+        m.setattr(registry.corpus, "markdown_nodes", lambda docs, compat=False, columns=None, kinds=None, kept=(), f=corpus.markdown_nodes: asked.append((columns, kinds)) or f(docs, compat, columns, kinds, kept))
+        assert registry.queries()["type_hits"](spark, DATA).columns == ["doc_id", "sec_id", "name", "line"]
+    assert len(asked) == 1 and not markdown._inlined(*asked[0])
+    docs = spark.createDataFrame([(0, DOC), (1, "# A\n\n> [!TIP] `c` <b> #1\n> [x](y)\n\n- [x] [a #2](b.md) `#3` :smile:\n\nx <https://a.example/#4> @u\n"), (2, "")], "doc_id long, content string")
+    for compat in (False, True):
+        all_, few = corpus.markdown_nodes(docs, compat), corpus.markdown_nodes(docs, compat, *asked[0])
+        want, got = views.all_hits(all_).drop("ord"), views.all_hits(few).drop("ord")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 15
+    assert constructs.COUNTED.keys() <= asked[0][1]
